@@ -136,18 +136,23 @@ def sentinel_to_null(df: DataFrame, columns: list[str], sentinel) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit(sentinel)) for c in columns})
 
 
+FILL_METHODS = ("ffill", "mean", "linear", "cubic", "zero")
+
+
 def compare_fills(
-    df: DataFrame, keys: list[str], order: list[str], feature: str, max_rows: int | None = MAX_ROWS
+    df: DataFrame, keys: list[str], order: list[str], feature: str, methods: tuple = FILL_METHODS,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Long table (keys, order, feature, method, original, filled) of the fill methods side by side."""
     ids = [*keys, *order]
-    base = df.select(*ids, F.col(feature).cast("double").alias("original"))
-    mean = column_means(base, ["original"])["original"]
-    wide = base.withColumns({m: F.col("original") for m in ("ffill", "linear", "cubic")}).withColumns(
-        {"mean": F.coalesce("original", F.lit(mean)), "zero": F.coalesce("original", F.lit(0.0))}
-    )
-    wide = forward_fill(wide, keys, order, ["ffill"], max_rows)
-    wide = interpolate_linear(wide, keys, order, ["linear"], max_rows)
-    wide = interpolate_cubic(wide, keys, order, ["cubic"], max_rows)
-    long = wide.unpivot([*ids, "original"], ["ffill", "mean", "linear", "cubic", "zero"], "method", "filled")
+    wide = df.select(*ids, F.col(feature).cast("double").alias("original"))
+    mean = column_means(wide, ["original"])["original"] if "mean" in methods else None
+    constant = {"mean": F.lit(mean).cast("double"), "zero": F.lit(0.0)}
+    along = {"ffill": forward_fill, "linear": interpolate_linear, "cubic": interpolate_cubic}
+    for m in methods:
+        if m in constant:
+            wide = wide.withColumn(m, F.coalesce("original", constant[m]))
+        else:
+            wide = along[m](wide.withColumn(m, F.col("original")), keys, order, [m], max_rows)
+    long = wide.unpivot([*ids, "original"], list(methods), "method", "filled")
     return long.withColumn("feature", F.lit(feature)).select(*ids, "feature", "method", "original", "filled")

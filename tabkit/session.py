@@ -29,21 +29,25 @@ def build_session(app: str = "tabkit", cores: str | int = "*", **conf) -> SparkS
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share; only a local session may fall back to a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="tabkit-")
+    return folder
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it back from there.
 
-    Used where a result is read more than once and must not be recomputed
-    differently, or where a driver loop would otherwise grow its lineage.
+    Used where a result is read more than once and must not be computed again,
+    or where a driver loop would otherwise grow its lineage.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tabkit-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
