@@ -43,13 +43,13 @@ def _label_pipeline(n_rows, C=1.0, max_iter=100):
 def multilabel_logit(spark, d):
     docs = _documents(spark, d)
     train = docs.filter("role = 'train'")
-    model = T.fit_kept(_label_pipeline(train.count()), train)
+    model = T.fit_kept(_label_pipeline(train.count(), max_iter=20), train)
     return Z.score_probabilities(model, docs.filter("role = 'test'"), ["doc_id"], LABELS)
 
 
 def random_search(spark, d):
     train = L.contiguous_folds(_documents(spark, d).filter("role = 'train'"), ["doc_id"], 3)
-    axes = {"C": log_grid(-1, 1, 10), "max_iter": [50, 100]}
+    axes = {"C": log_grid(-1, 1, 10), "max_iter": [10, 15]}
     scores = E.MacroAucEvaluator(LABELS).scores
     _, _, results = T.random_search(train, _label_pipeline, axes, scores, "roc_auc", "fold", 3, draws=3)
     # one row per tried combination
@@ -74,25 +74,23 @@ def _forest(spark, d):
     split = L.stratified_split(orders, "o_orderkey", ["o_orderstatus"], 0.33, 6)
     train = L.stratified_folds(split.filter("role = 'train'"), "label", ["o_orderkey"], 2)
     roles = R.Roles(numeric=["o_totalprice", "c_acctbal", "c_nationkey", "month"], categorical=["o_orderpriority"])
-    forest = T.forest_classifier("label", n_trees=10, max_depth=6)
+    forest = T.forest_classifier("label", n_trees=5, max_depth=4)
     stages = [R.column_bundle(roles, [lambda c: R.StandardScale(c, with_mean=False)]), forest]
     maps = T.param_maps(forest, T.grid(minInstancesPerNode=[5, 10]))
     quality = MulticlassClassificationEvaluator(metricName="accuracy")
     best = T.grid_search(train, stages, maps, quality, "fold", 2).bestModel
-    return best, train, split.filter("role = 'test'")
+    return best, split.filter("role = 'test'")
 
 
 def forest_grid(spark, d):
-    best, _, test = _forest(spark, d)
-    return Z.submission(Z.score_classes(best, test, ["o_orderkey"]), test.select("o_orderkey", F.lit(0).alias("prediction")), ["o_orderkey"])
+    best, test = _forest(spark, d)
+    template = test.select("o_orderkey", F.lit(0).alias("prediction"))
+    return Z.submission(Z.score_classes(best, test, ["o_orderkey"]), template, ["o_orderkey"])
 
 
 def impurity_importance(spark, d):
-    best, train, _ = _forest(spark, d)
-    flat = [s for stage in best.stages for s in (stage.stages if hasattr(stage, "stages") else [stage])]
-    from pyspark.ml import PipelineModel
-
-    return X.impurity_importance(PipelineModel(stages=flat), train)
+    rows = _price_rows(spark, d)
+    return X.impurity_importance(_price_model(rows, PRICE_FEATURES), rows)
 
 
 FEATURES = ["lag1", "month", "quarter", "total_seasonal", "total_trend"]
@@ -134,7 +132,7 @@ def per_entity(spark, d):
 
     def fit(rows, _):
         stages = [R.MedianImputer(["lag1"]), VectorAssembler(inputCols=FEATURES, outputCol="features")]
-        pipeline = Pipeline(stages=[*stages, T.histogram_regressor("total", rounds=3, rate=0.3)])
+        pipeline = Pipeline(stages=[*stages, T.histogram_regressor("total", rounds=2, rate=0.5)])
         return T.fit_kept(pipeline, rows.filter("role = 'train'"))
 
     models = T.fit_per_entity(weeks, "priority", fit)

@@ -6,7 +6,7 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.operators.ordered import MAX_ROWS, neighbourhood, null_safe_join, number_rows, running_sum
+from tabkit.operators.ordered import MAX_ROWS, neighbourhood, number_rows, running_sum
 
 
 def stack_labels(df: DataFrame, labels: dict[str, tuple[str, str]]) -> DataFrame:
@@ -19,12 +19,13 @@ def stack_labels(df: DataFrame, labels: dict[str, tuple[str, str]]) -> DataFrame
 
 
 def _by_score(df: DataFrame, keys: list[str], truth: str, score: str, max_rows: int | None) -> DataFrame:
-    """Positives and negatives per distinct score, and their running counts from the top score down."""
+    """Positives and negatives per distinct score, their running counts from the top score down, and totals."""
     per_score = df.groupBy(*keys, (-F.col(score)).alias("_down")).agg(
         F.count(F.when(F.col(truth) == 1, 1)).alias("_pos"), F.count(F.when(F.col(truth) == 0, 1)).alias("_neg")
     )
     sums = {"_tp": F.col("_pos"), "_fp": F.col("_neg")}
-    return running_sum(per_score, keys, ["_down"], sums, max_rows)
+    totals = {"_p": F.sum("_pos"), "_n": F.sum("_neg")}
+    return running_sum(per_score, keys, ["_down"], sums, max_rows, totals, derived=True)
 
 
 def roc_curve(
@@ -35,14 +36,15 @@ def roc_curve(
 
     `drop_collinear` leaves out the inner points of straight stretches.
     """
-    points = _by_score(df, keys, truth, score, max_rows).select(*keys, "_down", "_tp", "_fp")
-    totals = points.groupBy(*keys).agg(F.max("_tp").alias("_p"), F.max("_fp").alias("_f"))
-    start = totals.select(
-        *keys, F.lit(float("-inf")).alias("_down"), F.lit(0).cast("long").alias("_tp"), F.lit(0).cast("long").alias("_fp")
+    points = _by_score(df, keys, truth, score, max_rows).select(*keys, "_down", "_tp", "_fp", "_p", "_n")
+    zero = F.lit(0).cast("long")
+    start = points.groupBy(*keys).agg(
+        F.lit(float("-inf")).alias("_down"), zero.alias("_tp"), zero.alias("_fp"),
+        F.max("_p").alias("_p"), F.max("_n").alias("_n"),
     )
     points = points.unionByName(start)
     if drop_collinear:
-        rows = number_rows(points, keys, ["_down"], max_rows=max_rows)
+        rows = number_rows(points, keys, ["_down"], max_rows=max_rows, derived=True)
 
         def bends(w) -> dict[str, Column]:
             def bend(c):
@@ -52,15 +54,10 @@ def roc_curve(
             return {"_keep": ~inner | (bend("_tp") != 0) | (bend("_fp") != 0)}
 
         points = neighbourhood(rows, 1, 1, bends).df.filter("_keep")
-    if keys:
-        joined = null_safe_join(points, totals, keys, "inner")
-    else:
-        row = totals.first()
-        joined = points.withColumns({"_p": F.lit(row["_p"]), "_f": F.lit(row["_f"])})
-    return joined.select(
+    return points.select(
         *keys,
-        F.try_divide(F.col("_fp"), F.col("_f")).alias("fpr"),
-        F.try_divide(F.col("_tp"), F.col("_p")).alias("tpr"),
+        F.try_divide("_fp", "_n").alias("fpr"),
+        F.try_divide("_tp", "_p").alias("tpr"),
         (-F.col("_down")).alias("threshold"),
     )
 

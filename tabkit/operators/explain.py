@@ -45,7 +45,7 @@ def permutation_importance(
     target = F.col(label).cast("double")
     spread = base.agg((F.var_pop(target) * F.count(target)).alias("s")).first()["s"]
 
-    own = number_rows(base, [], [row_id], max_rows=max_rows)
+    own = number_rows(base, [], [row_id], max_rows=max_rows, derived=True)
     repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
     lent = df.select(row_id, F.struct(*features).alias("_lent")).withColumn("_repeat", repeat)
     lent = lent.withColumn("_draw", F.xxhash64(F.lit(seed), "_repeat", row_id))

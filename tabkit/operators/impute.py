@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.operators.ordered import MAX_ROWS, NumberedRows, nearest_value, null_safe_join, number_rows
+from tabkit.operators.ordered import MAX_ROWS, NumberedRows, nearest_values, null_safe_join, number_rows
 from tabkit.operators.profile import long_form
 from tabkit.operators.spline import knot_curvature
 from tabkit.operators.stats import as_double, quantiles
+from tabkit.session import small_side
 
 
 def nan_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,7 +29,7 @@ def fill_mean(df: DataFrame, columns: list[str], entity: list[str] | None = None
     """Fill with the column mean over the whole table, or over each entity."""
     if entity:
         means = df.groupBy(*entity).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
-        df = null_safe_join(df, means, entity)
+        df = null_safe_join(df, small_side(means), entity)
         filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_mean_{c}")) for c in columns}
         return df.withColumns(filled).drop(*[f"_mean_{c}" for c in columns])
     means = column_means(df, columns)
@@ -74,14 +75,7 @@ def forward_fill(
 ) -> DataFrame:
     """Carry the last known value forward within each entity."""
     rows = number_rows(df, keys, order, max_rows=max_rows)
-    return nearest_value(rows, {c: F.col(c) for c in columns}).df.drop(rows.pos)
-
-
-def _around(rows: NumberedRows, known: Column) -> NumberedRows:
-    """Nearest known value before and after each row, as `_prev` and `_next`."""
-    rows = rows.replace(rows.df.withColumn("_known", known))
-    rows = nearest_value(rows, {"_prev": F.col("_known")})
-    return nearest_value(rows, {"_next": F.col("_known")}, forward=False)
+    return nearest_values(rows, before={c: F.col(c) for c in columns}).df.drop(rows.pos)
 
 
 def interpolate_linear(
@@ -96,11 +90,11 @@ def interpolate_linear(
         x = F.col(rows.pos)
         value = F.col(c).cast("double")
         point = F.when(value.isNotNull(), F.struct(x.alias("x"), value.alias("y")))
-        rows = _around(rows, point)
+        rows = nearest_values(rows, {"_prev": point}, {"_next": point})
         p, n = F.col("_prev"), F.col("_next")
         line = p["y"] + (n["y"] - p["y"]) * (x - p["x"]) / (n["x"] - p["x"])
         filled = F.when(value.isNotNull(), value).when(n.isNull(), p["y"]).otherwise(line)
-        rows = rows.replace(rows.df.withColumn(c, filled).drop("_known", "_prev", "_next"))
+        rows = rows.replace(rows.df.withColumn(c, filled).drop("_prev", "_next"))
     return rows.df.drop(rows.pos)
 
 
@@ -117,13 +111,13 @@ def interpolate_cubic(
         curved = knot_curvature(rows, value, max_rows)
         at_row = rows.replace(null_safe_join(rows.df, curved, [*keys, rows.pos]))
         point = F.when(F.col("_m").isNotNull(), F.struct(x.alias("x"), value.alias("y"), F.col("_m").alias("m")))
-        rows = _around(at_row, point)
+        rows = nearest_values(at_row, {"_prev": point}, {"_next": point})
         p, n = F.col("_prev"), F.col("_next")
         h = (n["x"] - p["x"]).cast("double")
         a, b = (n["x"] - x) / h, (x - p["x"]) / h
         curve = a * p["y"] + b * n["y"] + ((a * a * a - a) * p["m"] + (b * b * b - b) * n["m"]) * h * h / 6
         filled = F.when(value.isNotNull(), value).otherwise(curve)
-        rows = rows.replace(rows.df.withColumn(c, filled).drop("_known", "_prev", "_next", "_m"))
+        rows = rows.replace(rows.df.withColumn(c, filled).drop("_prev", "_next", "_m"))
     return rows.df.drop(rows.pos)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tabkit.session import broadcast_if_small, stable
+from tabkit.session import small_side, stable
 
 MAX_ROWS = 250_000
 MAX_LEVELS = 12
@@ -116,7 +116,7 @@ def _cell(ordinals: list[tuple[str, Column]], dim: Column, lo: Column, hi: Colum
 
 
 def split_hot(
-    df: DataFrame, keys: list[str], order: list[str], max_rows: int | None = MAX_ROWS
+    df: DataFrame, keys: list[str], order: list[str], max_rows: int | None = MAX_ROWS, derived: bool = False
 ) -> tuple[DataFrame, list[str]]:
     """Cut groups above `max_rows` into consecutive buckets along `order`.
 
@@ -126,7 +126,8 @@ def split_hot(
     number is a function of its row and of exact counts and ranges, so a
     recomputed task puts every row where it was. Cells are equally wide; one
     that is still too full is cut again, on the next order column once the
-    first no longer varies.
+    first no longer varies. Cutting reads the rows several times: say
+    `derived=True` when they come out of a shuffle that should not be repeated.
     """
     if max_rows is None:
         return df, []
@@ -141,15 +142,15 @@ def split_hot(
     if largest is None or largest <= max_rows or not ordinals:
         return df, []
 
-    laid, buckets = df, []
+    laid, buckets = stable(df) if derived else df, []
     for level in range(MAX_LEVELS):
         group = keys + buckets
         todo = laid if level == 0 else laid.filter(F.col(f"_cut{level - 1}"))
-        cuts = stable(_choose_cut(_profile(todo, group, ordinals), len(ordinals), max_rows))
+        cuts = small_side(_choose_cut(_profile(todo, group, ordinals), len(ordinals), max_rows))
         if cuts.isEmpty():
             break
         if group:
-            laid = null_safe_join(laid, broadcast_if_small(cuts), group)
+            laid = null_safe_join(laid, cuts, group)
         else:
             row = cuts.first()
             laid = laid.withColumns(
@@ -167,17 +168,39 @@ def split_hot(
     return laid, buckets
 
 
+def with_totals(df: DataFrame, keys: list[str], totals: dict[str, Column], split: bool) -> DataFrame:
+    """Add aggregates over each row's group.
+
+    Small groups use a window on the partitioning already there; if some are
+    above the limit, an aggregate with partial sums is joined back instead.
+    """
+    if not split:
+        return df.withColumns({n: a.over(partition(keys)) for n, a in totals.items()})
+    few = small_side(df.groupBy(*keys).agg(*[a.alias(n) for n, a in totals.items()]))
+    if keys:
+        return null_safe_join(df, few, keys, "inner")
+    row = few.first()
+    return df.withColumns({n: F.lit(row[n]) for n in totals})
+
+
 def running_sum(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     sums: dict[str, Column],
     max_rows: int | None = MAX_ROWS,
+    totals: dict[str, Column] | None = None,
+    derived: bool = False,
 ) -> DataFrame:
-    """Add running totals (up to and including the row) of the given expressions."""
+    """Add running totals (up to and including the row) of the given expressions.
+
+    `totals` names aggregates over the whole group to add as well.
+    """
     inputs = {f"_in_{out}": expr for out, expr in sums.items()}
-    laid, buckets = split_hot(df.withColumns(inputs), keys, order, max_rows)
+    laid, buckets = split_hot(df.withColumns(inputs), keys, order, max_rows, derived)
     sort = [F.col(c).asc_nulls_first() for c in order]
+    if totals:
+        laid = with_totals(laid, keys, totals, bool(buckets))
     if not buckets:
         w = partition(keys).orderBy(*sort).rowsBetween(W.unboundedPreceding, 0)
         return laid.withColumns({o: F.sum(f"_in_{o}").over(w) for o in sums}).drop(*inputs)
@@ -224,10 +247,14 @@ class NumberedRows:
 
 
 def number_rows(
-    df: DataFrame, keys: list[str], order: list[str], pos: str = "_pos", max_rows: int | None = MAX_ROWS
+    df: DataFrame, keys: list[str], order: list[str], pos: str = "_pos", max_rows: int | None = MAX_ROWS,
+    derived: bool = False,
 ) -> NumberedRows:
-    """Number the rows of each group 0, 1, 2, ... along `order` (which must have no ties)."""
-    laid, buckets = split_hot(df, keys, order, max_rows)
+    """Number the rows of each group 0, 1, 2, ... along `order` (which must have no ties).
+
+    Numbers that took bucket-wise work are written out, as what follows reads them more than once.
+    """
+    laid, buckets = split_hot(df, keys, order, max_rows, derived)
     rows = NumberedRows(laid, keys, order, pos, bool(buckets), max_rows or MAX_ROWS)
     if not buckets:
         return rows.replace(laid.withColumn(pos, F.row_number().over(rows.window()) - F.lit(1).cast("long")))
@@ -253,45 +280,55 @@ def number_rows(
         .filter(F.col(ROW) == 1)
         .drop("_weight", ROW, HOT, *buckets)
     )
-    return rows.replace(numbered)
+    return rows.replace(stable(numbered))
+
 
+def nearest_values(
+    rows: NumberedRows, before: dict[str, Column] | None = None, after: dict[str, Column] | None = None
+) -> NumberedRows:
+    """Per row the last non-null value up to it (`before`) and the next one from it on (`after`).
+
+    Both directions share one shuffle.
+    """
+    before, after = before or {}, after or {}
+    if not rows.split:
+        w = rows.window()
+        up, down = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+        found = {o: F.last(v, ignorenulls=True).over(up) for o, v in before.items()}
+        found |= {o: F.first(v, ignorenulls=True).over(down) for o, v in after.items()}
+        return rows.replace(rows.df.withColumns(found))
 
-def _seeded(rows: NumberedRows, values: dict[str, Column], forward: bool) -> DataFrame:
-    """Rows plus, per block, the nearest non-null value of each expression outside it."""
     pos, keys = F.col(rows.pos), rows.keys
-    block = F.floor(pos / F.lit(rows.block_rows))
-    data = rows.df.withColumns({**values, "_block": block, ROW: F.lit(1)})
-    pick = F.max_by if forward else F.min_by
-    nearest = data.groupBy(*keys, "_block").agg(
-        *[pick(c, F.when(F.col(c).isNotNull(), pos)).alias(c) for c in values]
+    ins_b = {f"_b_{o}": v for o, v in before.items()}
+    ins_a = {f"_a_{o}": v for o, v in after.items()}
+    data = rows.df.withColumns(
+        {**ins_b, **ins_a, "_block": F.floor(pos / F.lit(rows.block_rows)), ROW: F.lit(1)}
+    )
+
+    def known_at(c):
+        return F.when(F.col(c).isNotNull(), pos)
+
+    # one row per block: the block's own last and first known values
+    ends = data.groupBy(*keys, "_block").agg(
+        *[F.max_by(c, known_at(c)).alias(c) for c in ins_b], *[F.min_by(c, known_at(c)).alias(c) for c in ins_a]
     )
     w = partition(keys).orderBy("_block")
-    if forward:
-        w = w.rowsBetween(W.unboundedPreceding, -1)
-        found = {c: F.last(c, ignorenulls=True).over(w) for c in values}
-    else:
-        w = w.rowsBetween(1, W.unboundedFollowing)
-        found = {c: F.first(c, ignorenulls=True).over(w) for c in values}
-    seeds = nearest.withColumns(found).withColumn(ROW, F.lit(0 if forward else 2))
-    return data.unionByName(seeds, allowMissingColumns=True)
-
-
-def nearest_value(rows: NumberedRows, values: dict[str, Column], forward: bool = True) -> NumberedRows:
-    """Last non-null value up to the row (forward) or next one from it on (backward)."""
-    pick = F.last if forward else F.first
-    frame = (W.unboundedPreceding, 0) if forward else (0, W.unboundedFollowing)
-    if not rows.split:
-        w = rows.window().rowsBetween(*frame)
-        return rows.replace(rows.df.withColumns({o: pick(v, ignorenulls=True).over(w) for o, v in values.items()}))
-    inputs = {f"_in_{o}": v for o, v in values.items()}
-    w = partition(rows.keys + ["_block"]).orderBy(ROW, rows.pos).rowsBetween(*frame)
-    filled = (
-        _seeded(rows, inputs, forward)
-        .withColumns({o: pick(f"_in_{o}", ignorenulls=True).over(w) for o in values})
-        .filter(F.col(ROW) == 1)
-        .drop(*inputs, "_block", ROW)
+    earlier, later = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    ends = ends.withColumns(
+        {c: F.last(c, ignorenulls=True).over(earlier) for c in ins_b}
+        | {c: F.first(c, ignorenulls=True).over(later) for c in ins_a}
     )
-    return rows.replace(filled)
+    # the first seed of a block carries what came before it, the last what follows
+    both = data
+    for row, columns in ((0, list(ins_b)), (2, list(ins_a))):
+        if columns:
+            seeds = ends.select(*keys, "_block", *columns, F.lit(row).alias(ROW))
+            both = both.unionByName(seeds, allowMissingColumns=True)
+    w = partition(keys + ["_block"]).orderBy(ROW, rows.pos)
+    up, down = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    found = {o: F.last(f"_b_{o}", ignorenulls=True).over(up) for o in before}
+    found |= {o: F.first(f"_a_{o}", ignorenulls=True).over(down) for o in after}
+    return rows.replace(both.withColumns(found).filter(F.col(ROW) == 1).drop(*ins_b, *ins_a, "_block", ROW))
 
 
 def neighbourhood(rows: NumberedRows, before: int, after: int, results) -> NumberedRows:

@@ -6,25 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.operators.ordered import (
-    MAX_ROWS, NumberedRows, neighbourhood, null_safe_join, number_rows, partition,
+    MAX_ROWS, NumberedRows, neighbourhood, null_safe_join, number_rows, partition, with_totals,
 )
+from tabkit.session import stable
 
 
 def group_values(rows: NumberedRows, values: dict[str, Column], by: list[str] = ()) -> NumberedRows:
-    """Add aggregates over the row's group (or finer, with `by`).
-
-    Small groups use a window on the partitioning already there; large ones an
-    aggregate with partial sums on the map side and a join of its few rows.
-    """
-    keys = [*rows.keys, *by]
-    if not rows.split:
-        w = partition(keys)
-        return rows.replace(rows.df.withColumns({n: a.over(w) for n, a in values.items()}))
-    totals = rows.df.groupBy(*keys).agg(*[a.alias(n) for n, a in values.items()])
-    if keys:
-        return rows.replace(null_safe_join(rows.df, totals, keys, "inner"))
-    row = totals.first()
-    return rows.replace(rows.df.withColumns({n: F.lit(row[n]) for n in values}))
+    """Add aggregates over the row's group, or finer, with `by`."""
+    return rows.replace(with_totals(rows.df, [*rows.keys, *by], values, rows.split))
 
 
 def regular_grid(
@@ -115,6 +104,8 @@ def decompose(
         rows, half, half,
         lambda w: {f"_ma_{v}": F.when(F.col(f"{v}_ok"), centred_average(w, x[v], period)) for v in values},
     )
+    if rows.split:
+        rows = rows.replace(stable(rows.df))
 
     front, back = F.lit(half), n - 1 - half
     from_front, from_back = (pos - front).cast("double"), (pos - back).cast("double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tabkit.operators.ordered import MAX_ROWS, null_safe_join, number_rows, partition
+from tabkit.session import small_side
 
 PREFIX = 5  # hex digits: about a million hash ranges per stratum
 
@@ -51,12 +52,12 @@ def stratified_split(
     counts = rows.groupBy(*strata, "_p").agg(F.count(F.lit(1)).alias("_n"))
     sizes = stratum_sizes(counts.groupBy(*strata).agg(F.sum("_n").alias("_n")), strata, test_share)
     upto = F.sum("_n").over(partition(strata).orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
-    boundary = (
+    boundary = small_side(
         null_safe_join(counts.withColumn("_upto", upto), sizes, strata, "inner")
         .filter((F.col("_upto") >= F.col("_test")) & (F.col("_upto") - F.col("_n") < F.col("_test")))
         .select(*strata, "_p", (F.col("_test") - F.col("_upto") + F.col("_n")).alias("_take"))
     )
-    last = (
+    last = small_side(
         null_safe_join(rows, boundary, [*strata, "_p"], "inner")
         .withColumn("_rank", F.row_number().over(partition(strata).orderBy("_h")))
         .filter(F.col("_rank") == F.col("_take"))
@@ -95,7 +96,7 @@ def stratified_folds(
     )
     earlier = W.partitionBy(F.lit(0)).orderBy("_first").rowsBetween(W.unboundedPreceding, -1)
     classes = classes.withColumn("_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_first")
-    joined = null_safe_join(rows.df, classes, [label], "inner")
+    joined = null_safe_join(rows.df, small_side(classes), [label], "inner")
 
     s, n, pos = F.col("_s"), F.col("_n"), F.col(rows.pos)
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from tabkit.functions.scalars import inverse_normal, skew_candidates
 from tabkit.operators.ordered import MAX_ROWS, null_safe_join, number_rows, partition, running_sum, split_hot
 from tabkit.operators.profile import long_form
+from tabkit.session import small_side
 
 MAX_EXPRESSIONS = 200
 
@@ -143,12 +144,9 @@ def quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    totals = distinct.groupBy(*keys).agg(F.sum("_c").alias("_total"))
-    ranked = running_sum(distinct, keys, ["_v"], {"_upto": F.col("_c")}, max_rows)
-    if keys:
-        ranked = null_safe_join(ranked, totals, keys, "inner")
-    else:
-        ranked = ranked.withColumn("_total", totals.select("_total").scalar())
+    ranked = running_sum(
+        distinct, keys, ["_v"], {"_upto": F.col("_c")}, max_rows, {"_total": F.sum("_c")}, derived=True
+    )
 
     def at(p: float, rounder) -> Column:
         rank = rounder(F.lit(p) * (F.col("_total") - 1))
@@ -165,7 +163,7 @@ def quantiles(
 
 def box_stats(df: DataFrame, keys: list[str], value: str, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Quartiles, whiskers within 1.5 IQR, and the number of points outside them, per group."""
-    q = quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, max_rows)
+    q = small_side(quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, max_rows))
     v = F.col(value).cast("double")
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (v >= F.col("q1") - spread) & (v <= F.col("q3") + spread)
@@ -182,7 +180,7 @@ def box_stats(df: DataFrame, keys: list[str], value: str, max_rows: int | None =
 
 def box_outliers(df: DataFrame, keys: list[str], value: str, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """The rows outside the 1.5 IQR fences of their group."""
-    q = quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75}, max_rows)
+    q = small_side(quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75}, max_rows))
     v, spread = F.col(value).cast("double"), 1.5 * (F.col("_q3") - F.col("_q1"))
     outside = (v < F.col("_q1") - spread) | (v > F.col("_q3") + spread)
     return null_safe_join(df, q, keys, "inner").filter(outside).drop("_q1", "_q3")

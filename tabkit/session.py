@@ -51,11 +51,12 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to a shuffle join.
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a join side that is expected to be small, and hint a broadcast if its row count bears that out.
 
-    Call it on a checkpointed table: the count reads the input.
+    Beyond the limit the join is left to a shuffle, where adaptive execution
+    splits skewed keys. The rows are written out first, so that neither the
+    count nor a retried task repeats the work behind them.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    df = stable(df)
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
