@@ -51,7 +51,7 @@ def random_search(spark, d):
     train = L.contiguous_folds(_documents(spark, d).filter("role = 'train'"), ["doc_id"], 3)
     axes = {"C": log_grid(-1, 1, 10), "max_iter": [10, 15]}
     scores = E.MacroAucEvaluator(LABELS).scores
-    _, _, results = T.random_search(train, _label_pipeline, axes, scores, "roc_auc", "fold", 3, draws=3)
+    _, _, results = T.random_search(train, _label_pipeline, axes, scores, "roc_auc", "fold", 3, draws=2)
     # one row per tried combination
     names = sorted(results[0])
     rows = [tuple(float(r[n]) for n in names) for r in results]
