@@ -78,11 +78,11 @@ class FrequentImputer(_ColumnEstimator):
 
 class MedianImputerModel(_ColumnModel):
     def _expression(self, column, learnt):
-        return F.coalesce(F.col(column).cast("double"), F.lit(learnt))
+        return F.coalesce(F.col(column).cast("double"), F.lit(0.0 if learnt is None else learnt))
 
 
 class MedianImputer(_ColumnEstimator):
-    """Nulls become the exact median (mean of the two middle values)."""
+    """Nulls become the exact median (mean of the two middle values), or 0 if no value is known."""
 
     model_class = MedianImputerModel
 
