@@ -48,10 +48,10 @@ def roc_curve(
 
         def bends(w) -> dict[str, Column]:
             def bend(c):
-                return F.first(c).over(w) + F.last(c).over(w) - 2 * F.col(c)
+                return F.lag(c).over(w) + F.lead(c).over(w) - 2 * F.col(c)
 
-            inner = F.count(F.lit(1)).over(w) == 3
-            return {"_keep": ~inner | (bend("_tp") != 0) | (bend("_fp") != 0)}
+            # no neighbour on one side: an end point, which stays
+            return {"_keep": F.coalesce((bend("_tp") != 0) | (bend("_fp") != 0), F.lit(True))}
 
         points = neighbourhood(rows, 1, 1, bends).df.filter("_keep")
     return points.select(

@@ -67,10 +67,11 @@ def _class(x: Column) -> Column:
     )
 
 
-def _profile(df: DataFrame, group: list[str], ordinals: list[tuple[str, Column]]) -> DataFrame:
+def _profile(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Row count per bucket, and what each order column spans in it; `_o<i>` holds column i's ordinal."""
     aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, (name, x) in enumerate(ordinals):
-        finite = F.when(_class(x) == 0, x)
+    for i, name in enumerate(order):
+        finite = F.when(_class(F.col(f"_o{i}")) == 0, F.col(f"_o{i}"))
         aggs += [
             F.count(name).alias(f"_c{i}"),
             F.min(name).alias(f"_rlo{i}"),
@@ -105,14 +106,17 @@ def _choose_cut(profile: DataFrame, n_ordinals: int, max_rows: int) -> DataFrame
     )
 
 
-def _cell(ordinals: list[tuple[str, Column]], dim: Column, lo: Column, hi: Column, cells: Column) -> Column:
-    x = F.lit(None).cast("double")
-    for i, (_, value) in enumerate(ordinals):
-        x = F.when(dim == i, value).otherwise(x)
-    kind = _class(x)
-    inside = F.when(hi > lo, F.least(F.floor((x - lo) * cells / (hi - lo)).cast("double"), cells - 1)).otherwise(0.0)
+def _add_cell(df: DataFrame, n_ordinals: int, out: str) -> DataFrame:
+    """Number of the equally wide cell a row falls in; null and infinite values have cells of their own."""
+    dim, lo, hi, cells = F.col("_dim"), F.col("_from"), F.col("_to"), F.col("_cells")
+    x = F.coalesce(*[F.when(dim == i, F.col(f"_o{i}")) for i in range(n_ordinals)])
+    # steps of their own, so that each is computed once
+    df = df.withColumn("_x", x).withColumn("_kind", _class(F.col("_x")))
+    kind = F.col("_kind")
+    place = F.floor((F.col("_x") - lo) * cells / (hi - lo)).cast("double")
+    inside = F.when(hi > lo, F.least(place, cells - 1)).otherwise(0.0)
     cell = F.when(kind < 0, kind.cast("double")).when(kind > 0, cells + kind).otherwise(inside)
-    return F.when(dim.isNull(), 0).otherwise(cell.cast("long")).cast("long")
+    return df.withColumn(out, F.when(dim.isNull(), 0).otherwise(cell.cast("long")).cast("long")).drop("_x", "_kind")
 
 
 def split_hot(
@@ -131,22 +135,24 @@ def split_hot(
     """
     if max_rows is None:
         return df, []
-    ordinals: list[tuple[str, Column]] = []
+    ordinals: dict[str, Column] = {}
     for name in order:
         x = _ordinal(name, df.schema[name].dataType)
         if x is None:
             break
-        ordinals.append((name, x))
+        ordinals[name] = x
 
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
     if largest is None or largest <= max_rows or not ordinals:
         return df, []
 
     laid, buckets = stable(df) if derived else df, []
+    helpers = [f"_o{i}" for i in range(len(ordinals))]
+    laid = laid.withColumns(dict(zip(helpers, ordinals.values())))
     for level in range(MAX_LEVELS):
         group = keys + buckets
-        todo = laid if level == 0 else laid.filter(F.col(f"_cut{level - 1}"))
-        cuts = small_side(_choose_cut(_profile(todo, group, ordinals), len(ordinals), max_rows))
+        todo = laid if level == 0 else laid.filter(f"_cut{level - 1}")
+        cuts = small_side(_choose_cut(_profile(todo, group, list(ordinals)), len(ordinals), max_rows))
         if cuts.isEmpty():
             break
         if group:
@@ -157,15 +163,15 @@ def split_hot(
                 {c: F.lit(row[c]).cast(cuts.schema[c].dataType) for c in ("_dim", "_from", "_to", "_cells")}
             )
         bucket = f"_bucket{level}"
-        laid = laid.withColumn(
-            bucket, _cell(ordinals, F.col("_dim"), F.col("_from"), F.col("_to"), F.col("_cells"))
-        ).withColumn(f"_cut{level}", F.col("_dim").isNotNull())
+        laid = (
+            _add_cell(laid, len(ordinals), bucket)
+            .withColumn(f"_cut{level}", F.col("_dim").isNotNull())
+            .drop("_dim", "_from", "_to", "_cells")
+        )
         if level == 0:
             laid = laid.withColumn(HOT, F.col("_cut0"))
-        laid = laid.drop("_dim", "_from", "_to", "_cells")
         buckets.append(bucket)
-    laid = laid.drop(*[f"_cut{i}" for i in range(len(buckets))])
-    return laid, buckets
+    return laid.drop(*[f"_cut{i}" for i in range(len(buckets))], *helpers), buckets
 
 
 def with_totals(df: DataFrame, keys: list[str], totals: dict[str, Column], split: bool) -> DataFrame:
@@ -238,9 +244,10 @@ class NumberedRows:
     block_rows: int
     helpers: list[str] = field(default_factory=list)
 
-    def window(self):
+    def window(self, reverse: bool = False):
         """Whole-group order, for the case that no group is above the limit."""
-        return partition(self.keys).orderBy(*[F.col(c).asc_nulls_first() for c in self.order])
+        sort = [F.col(c).desc_nulls_last() if reverse else F.col(c).asc_nulls_first() for c in self.order]
+        return partition(self.keys).orderBy(*sort)
 
     def replace(self, df: DataFrame) -> NumberedRows:
         return NumberedRows(df, self.keys, self.order, self.pos, self.split, self.block_rows, self.helpers)
@@ -288,14 +295,15 @@ def nearest_values(
 ) -> NumberedRows:
     """Per row the last non-null value up to it (`before`) and the next one from it on (`after`).
 
-    Both directions share one shuffle.
+    Both directions share one shuffle. Looking ahead is looking back in the
+    reversed order: a frame that reaches to the end of its group would be
+    evaluated anew for every row.
     """
     before, after = before or {}, after or {}
     if not rows.split:
-        w = rows.window()
-        up, down = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+        up, down = (w.rowsBetween(W.unboundedPreceding, 0) for w in (rows.window(), rows.window(reverse=True)))
         found = {o: F.last(v, ignorenulls=True).over(up) for o, v in before.items()}
-        found |= {o: F.first(v, ignorenulls=True).over(down) for o, v in after.items()}
+        found |= {o: F.last(v, ignorenulls=True).over(down) for o, v in after.items()}
         return rows.replace(rows.df.withColumns(found))
 
     pos, keys = F.col(rows.pos), rows.keys
@@ -312,11 +320,12 @@ def nearest_values(
     ends = data.groupBy(*keys, "_block").agg(
         *[F.max_by(c, known_at(c)).alias(c) for c in ins_b], *[F.min_by(c, known_at(c)).alias(c) for c in ins_a]
     )
-    w = partition(keys).orderBy("_block")
-    earlier, later = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    earlier, later = (
+        partition(keys).orderBy(c).rowsBetween(W.unboundedPreceding, -1) for c in ("_block", F.desc("_block"))
+    )
     ends = ends.withColumns(
         {c: F.last(c, ignorenulls=True).over(earlier) for c in ins_b}
-        | {c: F.first(c, ignorenulls=True).over(later) for c in ins_a}
+        | {c: F.last(c, ignorenulls=True).over(later) for c in ins_a}
     )
     # the first seed of a block carries what came before it, the last what follows
     both = data
@@ -324,21 +333,24 @@ def nearest_values(
         if columns:
             seeds = ends.select(*keys, "_block", *columns, F.lit(row).alias(ROW))
             both = both.unionByName(seeds, allowMissingColumns=True)
-    w = partition(keys + ["_block"]).orderBy(ROW, rows.pos)
-    up, down = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    w = partition(keys + ["_block"])
+    up, down = (
+        w.orderBy(*sort).rowsBetween(W.unboundedPreceding, 0)
+        for sort in ((ROW, rows.pos), (F.desc(ROW), F.desc(rows.pos)))
+    )
     found = {o: F.last(f"_b_{o}", ignorenulls=True).over(up) for o in before}
-    found |= {o: F.first(f"_a_{o}", ignorenulls=True).over(down) for o in after}
+    found |= {o: F.last(f"_a_{o}", ignorenulls=True).over(down) for o in after}
     return rows.replace(both.withColumns(found).filter(F.col(ROW) == 1).drop(*ins_b, *ins_a, "_block", ROW))
 
 
 def neighbourhood(rows: NumberedRows, before: int, after: int, results) -> NumberedRows:
-    """Windows over `before` rows back to `after` rows ahead.
+    """Columns that look at most `before` rows back and `after` rows ahead.
 
-    `results` maps a bounded window spec to {name: Column}. In a split layout
+    `results` maps an ordered window spec to {name: Column}. In a split layout
     the rows near a block's edge are also sent to the neighbouring block.
     """
     if not rows.split:
-        return rows.replace(rows.df.withColumns(results(rows.window().rowsBetween(-before, after))))
+        return rows.replace(rows.df.withColumns(results(rows.window())))
     size = max(rows.block_rows, before + after + 1)
     pos = F.col(rows.pos)
     home = F.floor(pos / F.lit(size))
@@ -346,6 +358,6 @@ def neighbourhood(rows: NumberedRows, before: int, after: int, results) -> Numbe
     first = F.floor(F.greatest(pos - after, F.lit(0)) / F.lit(size))
     span = F.sequence(first, F.floor((pos + before) / F.lit(size)))
     data = rows.df.withColumn("_home", home).withColumn("_block", F.explode(span))
-    w = partition(rows.keys + ["_block"]).orderBy(rows.pos).rowsBetween(-before, after)
+    w = partition(rows.keys + ["_block"]).orderBy(rows.pos)
     out = data.withColumns(results(w)).filter(F.col("_home") == F.col("_block")).drop("_home", "_block")
     return rows.replace(out)

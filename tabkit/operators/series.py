@@ -52,13 +52,13 @@ def calendar_table(df: DataFrame, keys: list[str], date: str, value: str) -> Dat
 
 
 def centred_average(w, value: Column, period: int) -> Column:
-    """Centred moving average; an even period halves the weight of the two end rows."""
-    if period % 2:
-        full, total = period, F.sum(value).over(w)
-    else:
-        full = period + 1
-        total = F.sum(value).over(w) - (F.first(value).over(w) + F.last(value).over(w)) / 2
-    return F.when(F.count(value).over(w) == full, total / period)
+    """Centred moving average over an ordered window; an even period halves the weight of the two end rows."""
+    half = period // 2
+    frame = w.rowsBetween(-half, half)
+    total = F.sum(value).over(frame)
+    if period % 2 == 0:
+        total = total - (F.lag(value, half).over(w) + F.lead(value, half).over(w)) / 2
+    return F.when(F.count(value).over(frame) == 2 * half + 1, total / period)
 
 
 def moving_average(
