@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.operators.series import regular_grid
+from tabkit.session import stable
 
 # readings above this are taken as missing, errors as an unknown kind of event
 READING_LIMIT = 60
@@ -46,7 +47,8 @@ def weekly_orders(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order priority and week, with its number of orders and their value; 0 in weeks without any.
 
     At most one row per priority and week of the calendar leaves the
-    aggregation, so a series fits a task whatever the number of orders.
+    aggregation, so a series fits a task whatever the number of orders. The
+    few rows are written out, so that the orders are read once only.
     """
     weekly = (
         table(spark, folder, "orders")
@@ -58,7 +60,7 @@ def weekly_orders(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("priority", "week")
         .agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.count(F.lit(1)).alias("orders"))
     )
-    return regular_grid(weekly, ["priority"], "week", "7 days", ["total", "orders"])
+    return stable(regular_grid(weekly, ["priority"], "week", "7 days", ["total", "orders"]))
 
 
 WEEKLY_SQL = """sums AS (

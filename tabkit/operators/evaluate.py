@@ -20,7 +20,7 @@ def stack_labels(df: DataFrame, labels: dict[str, tuple[str, str]]) -> DataFrame
 
 def _by_score(df: DataFrame, keys: list[str], truth: str, score: str, max_rows: int | None) -> DataFrame:
     """Positives and negatives per distinct score, their running counts from the top score down, and totals."""
-    per_score = df.groupBy(*keys, (-F.col(score)).alias("_down")).agg(
+    per_score = df.filter(F.col(truth).isNotNull()).groupBy(*keys, (-F.col(score)).alias("_down")).agg(
         F.count(F.when(F.col(truth) == 1, 1)).alias("_pos"), F.count(F.when(F.col(truth) == 0, 1)).alias("_neg")
     )
     sums = {"_tp": F.col("_pos"), "_fp": F.col("_neg")}
@@ -36,13 +36,15 @@ def roc_curve(
 
     `drop_collinear` leaves out the inner points of straight stretches.
     """
-    points = _by_score(df, keys, truth, score, max_rows).select(*keys, "_down", "_tp", "_fp", "_p", "_n")
+    ranked = _by_score(df, keys, truth, score, max_rows)
+    top = F.col("_tp") + F.col("_fp") == F.col("_pos") + F.col("_neg")
     zero = F.lit(0).cast("long")
-    start = points.groupBy(*keys).agg(
-        F.lit(float("-inf")).alias("_down"), zero.alias("_tp"), zero.alias("_fp"),
-        F.max("_p").alias("_p"), F.max("_n").alias("_n"),
+    point = F.struct("_down", "_tp", "_fp")
+    # the top score's row brings the start along
+    start = F.struct(F.lit(float("-inf")).alias("_down"), zero.alias("_tp"), zero.alias("_fp"))
+    points = ranked.select(
+        *keys, "_p", "_n", F.inline(F.when(top, F.array(start, point)).otherwise(F.array(point)))
     )
-    points = points.unionByName(start)
     if drop_collinear:
         rows = number_rows(points, keys, ["_down"], max_rows=max_rows, derived=True)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.operators.ordered import (
-    MAX_ROWS, NumberedRows, neighbourhood, null_safe_join, number_rows, partition, with_totals,
+    MAX_ROWS, NumberedRows, neighbourhood, number_rows, partition, with_totals,
 )
 from tabkit.session import stable
 
@@ -21,24 +21,25 @@ def regular_grid(
 ) -> DataFrame:
     """One row per key and date from its first to its last date; absent ones get `fill`.
 
-    Input has one row per key and date. `step` is an interval such as '7 days'.
+    Input has one row per key and date, on a grid of the interval `step`, such
+    as '7 days'. Every row brings along the absent dates up to the next one, so
+    the rows are read once and nothing is joined.
     """
-    ends = df.groupBy(*keys).agg(F.min(date).alias("_from"), F.max(date).alias("_to"))
-    grid = ends.select(*keys, F.explode(F.expr(f"sequence(_from, _to, interval {step})")).alias(date))
-    joined = null_safe_join(grid, df.select(*keys, date, *values), [*keys, date])
-    return joined.withColumns({v: F.coalesce(v, F.lit(fill)) for v in values})
+    following = F.lead(date).over(partition(keys).orderBy(date))
+    dates = F.expr(f"sequence(`{date}`, coalesce(date_sub(_next, 1), `{date}`), interval {step})")
+    filled = df.select(*keys, date, *values, following.alias("_next")).select(
+        *keys, F.explode(dates).alias("_date"), date, *values
+    )
+    own = F.col("_date") == F.col(date)
+    kept = {v: F.when(own & F.col(v).isNotNull(), F.col(v)).otherwise(F.lit(fill)) for v in values}
+    return filled.withColumns(kept).drop(date).withColumnRenamed("_date", date).select(*keys, date, *values)
 
 
 def resample_month(df: DataFrame, keys: list[str], date: str, value: str) -> DataFrame:
     """Monthly sums labelled by month end; months without rows are there with 0."""
-    monthly = df.groupBy(*keys, F.last_day(date).alias("month_end")).agg(F.sum(value).alias("_sum"))
-    ends = monthly.groupBy(*keys).agg(F.min("month_end").alias("_from"), F.max("month_end").alias("_to"))
-    months = F.expr("sequence(trunc(_from, 'MM'), trunc(_to, 'MM'), interval 1 month)")
-    grid = ends.select(*keys, F.explode(months).alias("_first")).select(
-        *keys, F.last_day("_first").alias("month_end")
-    )
-    return null_safe_join(grid, monthly, [*keys, "month_end"]).select(
-        *keys, "month_end", F.coalesce("_sum", F.lit(0)).alias(value)
+    monthly = df.groupBy(*keys, F.trunc(date, "MM").alias("_month")).agg(F.coalesce(F.sum(value), F.lit(0)).alias(value))
+    return regular_grid(monthly.dropna(subset=["_month"]), keys, "_month", "1 month", [value]).select(
+        *keys, F.last_day("_month").alias("month_end"), value
     )
 
 

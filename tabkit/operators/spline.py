@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabkit.operators.ordered import NumberedRows, null_safe_join, number_rows
+from tabkit.operators.ordered import NumberedRows, number_rows, with_totals
 
 BLOCK_KNOTS = 4096
 HALO_KNOTS = 64
@@ -61,12 +61,8 @@ def knot_curvature(
     """(keys, position, _m) for every non-null row of an entity with at least four of them."""
     keys, pos = rows.keys, rows.pos
     known = rows.df.select(*keys, pos, value.alias("_y")).filter(F.col("_y").isNotNull())
-    knots = number_rows(known, keys, [pos], "_k", max_rows).df
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter("_size >= 4")
-    if keys:
-        knots = null_safe_join(knots, sizes, keys, "inner")
-    else:
-        knots = knots.withColumn("_size", sizes.select("_size").scalar()).filter("_size >= 4")
+    numbered = number_rows(known, keys, [pos], "_k", max_rows)
+    knots = with_totals(numbered.df, keys, {"_size": F.count(F.lit(1))}, numbered.split).filter("_size >= 4")
 
     k = F.col("_k")
     last_block = F.floor((F.col("_size") - 1) / F.lit(block_knots))

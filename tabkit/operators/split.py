@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabkit.operators.ordered import MAX_ROWS, null_safe_join, number_rows, partition
+from tabkit.operators.ordered import MAX_ROWS, null_safe_join, number_rows, partition, with_totals
 from tabkit.session import small_side
 
 PREFIX = 5  # hex digits: about a million hash ranges per stratum
@@ -72,14 +72,14 @@ def contiguous_folds(
 ) -> DataFrame:
     """Fold 0..k-1 in consecutive blocks along `order`; the first n mod k blocks have one row more."""
     rows = number_rows(df, [], order, max_rows=max_rows)
-    n = df.count()
-    small, larger = divmod(n, k)
+    sized = with_totals(rows.df, [], {"_n": F.count(F.lit(1))}, rows.split)
+    pos, n = F.col(rows.pos), F.col("_n")
+    small, larger = F.floor(n / F.lit(k)), n % k
     edge = larger * (small + 1)
-    pos = F.col(rows.pos)
-    number = F.when(pos < edge, F.floor(pos / F.lit(small + 1))).otherwise(
-        larger + F.floor((pos - edge) / F.lit(max(small, 1)))
+    number = F.when(pos < edge, F.floor(pos / (small + 1))).otherwise(
+        larger + F.floor((pos - edge) / F.greatest(small, F.lit(1)))
     )
-    return rows.df.withColumn(fold, number.cast("int")).drop(rows.pos)
+    return sized.withColumn(fold, number.cast("int")).drop(rows.pos, "_n")
 
 
 def stratified_folds(

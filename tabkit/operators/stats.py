@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tabkit.functions.scalars import inverse_normal, skew_candidates
-from tabkit.operators.ordered import MAX_ROWS, null_safe_join, number_rows, partition, running_sum, split_hot
+from tabkit.operators.ordered import MAX_ROWS, null_safe_join, number_rows, partition, running_sum, split_hot, with_totals
 from tabkit.operators.profile import long_form
 from tabkit.session import small_side
 
@@ -195,13 +195,12 @@ def probability_points(
         .dropna(subset=["value"])
         .select("feature", row_id, "value")
     )
-    sizes = long.groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("_n"))
     ranked = number_rows(long, ["feature"], ["value", row_id], "_pos", max_rows)
-    i, n = F.col("_pos") + 1, F.col("_n")
+    sized = with_totals(ranked.df, ["feature"], {"_n": F.count(F.lit(1))}, ranked.split)
+    i, n = F.col("_pos") + 1, F.col("_n").cast("double")
     top = F.pow(F.lit(0.5), 1 / n)
     median = F.when(i == n, top).when(i == 1, 1 - top).otherwise((i - 0.3175) / (n + 0.365))
-    # one row per listed column: bounded by the argument, not by the data
-    return ranked.df.join(F.broadcast(sizes), "feature").select(
+    return sized.select(
         "feature", row_id, inverse_normal(median).alias("theoretical"), F.col("value").alias("ordered")
     )
 
