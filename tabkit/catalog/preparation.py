@@ -43,6 +43,17 @@ def scale_minmax(spark, d):
     return round_columns(R.MinMaxScale([*columns, "constant"]).fit(lines).transform(lines), [*columns, "constant"], 6)
 
 
+def scale_robust(spark, d):
+    columns = ["p_size", "p_retailprice"]
+    parts = table(spark, d, "part").select("p_partkey", *columns)
+    return round_columns(R.RobustScale(columns).fit(parts).transform(parts), columns, 6)
+
+
+def scale_box_cox(spark, d):
+    events = table(spark, d, "events").select("event_id", "value")
+    return round_columns(R.BoxCox(["value"]).fit(events).transform(events), ["value"], 6)
+
+
 def one_hot(spark, d):
     customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     encoded = Pipeline(stages=R.one_hot_stages(["c_mktsegment"])).fit(customers).transform(customers)
@@ -82,7 +93,8 @@ def null_flags(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        strat_split, strat_split_joint, hash_split, strat_folds, scale_standard, scale_minmax, one_hot, one_hot_binary,
+        strat_split, strat_split_joint, hash_split, strat_folds, scale_standard, scale_minmax, scale_robust,
+        scale_box_cox, one_hot, one_hot_binary,
         column_bundle, null_flags,
     )
 }
@@ -125,6 +137,13 @@ ORACLE = {
         for c in ("l_quantity", "l_extendedprice", "l_discount")
     )
     + ", 0.0::DOUBLE AS constant FROM lineitem",
+    "scale_robust": "SELECT p_partkey, "
+    + ", ".join(
+        f"""round(({c} - (SELECT median({c}) FROM part))
+        / (SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM part), 6) AS {c}"""
+        for c in ("p_size", "p_retailprice")
+    )
+    + " FROM part",
     "one_hot": "SELECT c_custkey, "
     + ", ".join(f'CAST(c_mktsegment = \'{s}\' AS INTEGER) AS "{s}"' for s in SEGMENTS)
     + " FROM customer",

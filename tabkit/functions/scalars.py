@@ -62,6 +62,12 @@ def log_positive(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
+def box_cox(x: Column, exponent: float) -> Column:
+    """(x**e - 1) / e, or ln x at e = 0; null for x <= 0."""
+    value = F.ln(x) if exponent == 0 else (F.pow(x, F.lit(float(exponent))) - 1) / exponent
+    return F.when(x > 0, value)
+
+
 def round_half_even(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits)
 

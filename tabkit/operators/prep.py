@@ -10,13 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.feature import OneHotEncoder, RobustScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabkit.functions.scalars import box_cox
 from tabkit.operators.impute import column_medians, column_modes
+from tabkit.operators.profile import long_form
+from tabkit.operators.stats import as_double, box_cox_exponent, quantiles
 
 
 class _Columns(Params):
@@ -159,6 +162,39 @@ class MinMaxScale(_ColumnEstimator):
         return out
 
 
+class RobustScaleModel(_ColumnModel):
+    def _expression(self, column, learnt):
+        centre, span = learnt
+        return (F.col(column) - F.lit(centre)) / F.lit(span)
+
+
+class RobustScale(_ColumnEstimator):
+    """(x - median) / interquartile range, both exact; a range of zero keeps scale 1."""
+
+    model_class = RobustScaleModel
+
+    def _learn(self, df):
+        columns = self.getOrDefault("columns")
+        long = long_form(as_double(df, columns), columns, [])
+        found = quantiles(long, ["feature"], "value", {"q1": 0.25, "mid": 0.5, "q3": 0.75}).collect()
+        learnt = {r["feature"]: [r["mid"], (r["q3"] - r["q1"]) or 1.0] for r in found}
+        return {c: learnt.get(c, [0.0, 1.0]) for c in columns}
+
+
+class BoxCoxModel(_ColumnModel):
+    def _expression(self, column, learnt):
+        return box_cox(F.col(column).cast("double"), learnt)
+
+
+class BoxCox(_ColumnEstimator):
+    """Power transform with the exponent of greatest likelihood; for positive values, others become null."""
+
+    model_class = BoxCoxModel
+
+    def _learn(self, df):
+        return {c: box_cox_exponent(df, c) for c in self.getOrDefault("columns")}
+
+
 class BinaryOneHotModel(_ColumnModel):
     ignoreUnknown = Param(Params._dummy(), "ignoreUnknown", "unknown becomes 0", TypeConverters.toBoolean)
 
@@ -209,14 +245,6 @@ def one_hot_stages(columns: list[str], suffix: str = "_onehot") -> list:
     ]
 
 
-def robust_scale_stages(columns: list[str], out: str) -> list:
-    """Median and interquartile scaling of null-free columns."""
-    return [
-        VectorAssembler(inputCols=columns, outputCol=f"{out}_raw"),
-        RobustScaler(inputCol=f"{out}_raw", outputCol=out, withCentering=True),
-    ]
-
-
 @dataclass
 class Roles:
     """Which columns take which preprocessing chain."""

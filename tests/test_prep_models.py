@@ -92,9 +92,24 @@ def test_column_bundle_names_and_saving(spark, tmp_path):
 
 
 def test_robust_scale(spark):
-    df = frame(spark, [1.0, 2.0, 3.0, 4.0, 5.0])
-    out = Pipeline(stages=R.robust_scale_stages(["x"], "r")).fit(df).transform(df)
-    assert [v[0] for v in column(out.withColumn("a", vector_to_array("r")), "a")] == pytest.approx([-1, -0.5, 0, 0.5, 1])
+    df = frame(spark, [1.0, 2.0, 3.0, 4.0, 9.0, None])
+    assert column(R.RobustScale(["x"]).fit(df).transform(df), "x") == [-1.0, -0.5, 0.0, 0.5, 3.0, None]
+    flat = frame(spark, [5.0, 5.0])
+    assert column(R.RobustScale(["x"]).fit(flat).transform(flat), "x") == [0.0, 0.0]
+
+
+def test_box_cox(spark):
+    rng = np.random.default_rng(2)
+    x = (rng.normal(loc=5, size=400) * 0.5 + 1) ** 2  # a square root makes it normal
+    df = frame(spark, [float(v) for v in x] + [-1.0, None])
+    fitted = R.BoxCox(["x"]).fit(df)
+    exponent = fitted.getOrDefault("state")["x"]
+    fine = np.arange(-2, 2, 0.001)
+    fine = fine[np.abs(fine) > 1e-9]
+    likelihood = [(e - 1) * np.log(x).sum() - len(x) / 2 * np.log(((x**e - 1) / e).var()) for e in fine]
+    assert exponent == pytest.approx(fine[int(np.argmax(likelihood))], abs=2e-3)
+    out = column(fitted.transform(df), "x")
+    assert out[-2:] == [None, None] and out[0] == pytest.approx((x[0] ** exponent - 1) / exponent)
 
 
 def newton(x, y, c):
