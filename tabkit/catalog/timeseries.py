@@ -28,7 +28,7 @@ def ffill_split(spark, d):
 
 
 def interp_linear(spark, d):
-    return round_columns(M.interpolate_linear(_series(spark, d), SERIES, ORDER, ["reading"]), ["reading"])
+    return round_columns(M.interpolate_linear(_series(spark, d), SERIES, ORDER, ["reading"]), ["reading"], 8)
 
 
 def interp_cubic(spark, d):
@@ -44,7 +44,7 @@ def fill_compare(spark, d):
     # a day's highest reading counts as missing when it is too close to the limit to trust
     daily = daily.withColumn("reading", F.when(F.col("reading") < 59, F.col("reading")))
     methods = ("ffill", "mean", "linear", "zero")  # interp_cubic covers the spline
-    return round_columns(M.compare_fills(daily, SERIES, ["day"], "reading", methods, max_rows=None), ["filled"])
+    return round_columns(M.compare_fills(daily, SERIES, ["day"], "reading", methods, max_rows=None), ["filled"], 8)
 
 
 def moving_average(spark, d):
@@ -143,7 +143,7 @@ ORACLE = {
     "ffill": FFILL_SQL,
     "ffill_split": FFILL_SQL,
     "interp_linear": f"""WITH {READINGS_SQL}, {_linear_sql("readings", "event_type", "ts, event_id", "reading")}
-      SELECT event_id, event_type, ts, round(line, 4) AS reading FROM lin""",
+      SELECT event_id, event_type, ts, round(line, 8) AS reading FROM lin""",
     "fill_compare": f"""WITH {READINGS_SQL}, days AS (
         SELECT event_type, CAST(ts AS DATE) AS day, max(reading) AS r FROM readings GROUP BY 1, 2),
       daily AS (SELECT event_type, day, CASE WHEN r < 59 THEN r END AS original FROM days),
@@ -152,7 +152,7 @@ ORACLE = {
       SELECT event_type, day, 'linear', original, line FROM lin UNION ALL
       SELECT event_type, day, 'zero', original, coalesce(original, 0) FROM lin UNION ALL
       SELECT event_type, day, 'mean', original, coalesce(original, (SELECT avg(original) FROM daily)) FROM lin)
-      SELECT event_type, day, 'reading' AS feature, method, original, round(filled, 4) AS filled FROM f""",
+      SELECT event_type, day, 'reading' AS feature, method, original, round(filled, 8) AS filled FROM f""",
     "moving_average": f"""WITH {WEEKLY_SQL} SELECT priority, week, total, orders,
         round(CASE WHEN count(*) OVER w = {PERIOD + 1} THEN
           (sum(orders) OVER w - first_value(orders) OVER w / 2 - last_value(orders) OVER w / 2) / {PERIOD} END, 6) AS moving_average

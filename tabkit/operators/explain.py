@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabkit.operators.ordered import MAX_ROWS, number_rows
 from tabkit.operators.prep import feature_names
+from tabkit.session import stable
 
 
 def impurity_importance(model: PipelineModel, sample: DataFrame, vector: str = "features") -> DataFrame:
@@ -39,15 +40,18 @@ def permutation_importance(
     over rows from differences of squared errors, so a feature the model does not
     use comes out at exactly zero.
     """
-    base = model.transform(df.select(row_id, label, *features)).select(
-        row_id, label, *features, F.col("prediction").alias("_base")
+    # read four times below, so scored once and written out
+    base = stable(
+        model.transform(df.select(row_id, label, *features)).select(
+            row_id, label, *features, F.col("prediction").alias("_base")
+        )
     )
     target = F.col(label).cast("double")
     spread = base.agg((F.var_pop(target) * F.count(target)).alias("s")).first()["s"]
 
-    own = number_rows(base, [], [row_id], max_rows=max_rows, derived=True)
+    own = number_rows(base, [], [row_id], max_rows=max_rows)
     repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    lent = df.select(row_id, F.struct(*features).alias("_lent")).withColumn("_repeat", repeat)
+    lent = base.select(row_id, F.struct(*features).alias("_lent")).withColumn("_repeat", repeat)
     lent = lent.withColumn("_draw", F.xxhash64(F.lit(seed), "_repeat", row_id))
     lent = number_rows(lent, ["_repeat"], ["_draw", row_id], max_rows=max_rows)
     paired = own.df.withColumn("_repeat", repeat).join(
@@ -81,6 +85,7 @@ def eliminate_features(
     """
     rounds: list[list[str]] = []
     features = sorted(features)
+    df = stable(df)
     while True:
         model = fit(df, features)
         scores = permutation_importance(model, df, features, label, row_id, repeats, seed).collect()

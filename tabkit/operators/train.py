@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from contextlib import contextmanager
 from itertools import product
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -14,15 +15,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fit_kept(estimator: Estimator, df: DataFrame) -> Model:
-    """Fit with the rows kept in memory or on disk, as the stages of a pipeline read them again and again."""
+@contextmanager
+def kept(df: DataFrame):
+    """Keep the rows in memory or on disk for the block, unless the caller already does."""
+    if df.is_cached:
+        yield df
+        return
     df = df.persist()
     try:
-        return estimator.fit(df)
+        yield df
     finally:
         df.unpersist()
 
 
+def fit_kept(estimator: Estimator, df: DataFrame) -> Model:
+    """Fit with the rows kept, as the stages of a pipeline read them again and again."""
+    with kept(df) as rows:
+        return estimator.fit(rows)
+
+
 def logistic_stages(
     labels: list[str], n_rows: int, c: float = 1.0, max_iter: int = 100, features: str = "features"
 ) -> list[LogisticRegression]:
@@ -102,8 +113,7 @@ def random_search(
     """
     every = grid(**axes)
     chosen = random.Random(seed).sample(every, min(draws, len(every)))
-    df = df.persist()
-    try:
+    with kept(df) as df:
         sizes = {r[fold]: r["count"] for r in df.groupBy(fold).count().collect()}
         total = sum(sizes.values())
         results = []
@@ -116,8 +126,6 @@ def random_search(
             results.append({**parameters, **means})
         best = max(range(len(chosen)), key=lambda i: results[i][refit])
         return build(**chosen[best], n_rows=total).fit(df), chosen[best], results
-    finally:
-        df.unpersist()
 
 
 def fit_per_entity(

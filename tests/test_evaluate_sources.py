@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,29 @@ def test_parquet(spark, tmp_path):
     df = spark.range(5)
     IO.write_table(df, str(tmp_path / "t"))
     assert IO.read_table(spark, str(tmp_path / "t")).count() == 5
+
+
+def session_like(master, **conf):
+    context = SimpleNamespace(master=master)
+    return SimpleNamespace(conf=conf, sparkContext=context)
+
+
+def test_checkpoints_go_where_the_session_says(spark):
+    from tabkit import session
+
+    named = {"spark.checkpoint.dir": "/shared/checkpoints"}
+    assert session.shared_folder(session_like("yarn", **named)) == "/shared/checkpoints"
+    assert session.shared_folder(session_like("local[2]", **named)) == "/shared/checkpoints"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(session_like("yarn"))
+    assert session.stable(spark.range(3)).count() == 3 and spark.sparkContext.getCheckpointDir()
+
+
+def test_broadcast_only_below_the_limit(spark):
+    from tabkit.session import small_side
+
+    big, small = spark.range(100), spark.range(10)
+    hinted = big.join(small_side(small, 10), "id")
+    assert "rightHint=(strategy=broadcast)" in hinted._jdf.queryExecution().optimizedPlan().toString()
+    left_alone = big.join(small_side(small, 9), "id")
+    assert "broadcast" not in left_alone._jdf.queryExecution().optimizedPlan().toString()
