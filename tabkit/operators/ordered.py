@@ -28,6 +28,7 @@ from tabkit.session import small_side, stable
 
 MAX_ROWS = 250_000
 MAX_LEVELS = 12
+TEXT_PIECES = 6
 
 HOT, ROW = "_hot", "_row"
 
@@ -59,6 +60,28 @@ def _ordinal(name: str, dtype: T.DataType) -> Column | None:
     return None
 
 
+def _order_columns(df: DataFrame, order: list[str]) -> list[tuple[str | None, Column]]:
+    """(column, ordinal) pairs that sort like `order`, as far as that can be told in numbers.
+
+    Text becomes one ordinal per six bytes, in turn; it has no column of its own
+    in the pair, and what comes after it in `order` is left out.
+    """
+    found: list[tuple[str | None, Column]] = []
+    for name in order:
+        dtype = df.schema[name].dataType
+        if isinstance(dtype, T.StringType):
+            code = F.hex(F.col(name).cast("binary"))
+            for i in range(TEXT_PIECES):
+                piece = F.rpad(F.substring(code, 1 + 12 * i, 12), 12, "0")
+                found.append((None, F.conv(piece, 16, 10).cast("double")))
+            break
+        x = _ordinal(name, dtype)
+        if x is None:
+            break
+        found.append((name, x))
+    return found
+
+
 def _class(x: Column) -> Column:
     """Where a value sorts relative to the finite ones: null, -inf, finite, +inf, NaN."""
     inf = float("inf")
@@ -67,10 +90,10 @@ def _class(x: Column) -> Column:
     )
 
 
-def _profile(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+def _profile(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
     """Row count per bucket, and what each order column spans in it; `_o<i>` holds column i's ordinal."""
     aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, name in enumerate(order):
+    for i, name in enumerate(columns):
         finite = F.when(_class(F.col(f"_o{i}")) == 0, F.col(f"_o{i}"))
         aggs += [
             F.count(name).alias(f"_c{i}"),
@@ -135,24 +158,19 @@ def split_hot(
     """
     if max_rows is None:
         return df, []
-    ordinals: dict[str, Column] = {}
-    for name in order:
-        x = _ordinal(name, df.schema[name].dataType)
-        if x is None:
-            break
-        ordinals[name] = x
-
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if largest is None or largest <= max_rows or not ordinals:
+    pairs = _order_columns(df, order)
+    if largest is None or largest <= max_rows or not pairs:
         return df, []
 
     laid, buckets = stable(df) if derived else df, []
-    helpers = [f"_o{i}" for i in range(len(ordinals))]
-    laid = laid.withColumns(dict(zip(helpers, ordinals.values())))
+    helpers = [f"_o{i}" for i in range(len(pairs))]
+    columns = [name or helper for helper, (name, _) in zip(helpers, pairs)]
+    laid = laid.withColumns({helper: x for helper, (_, x) in zip(helpers, pairs)})
     for level in range(MAX_LEVELS):
         group = keys + buckets
         todo = laid if level == 0 else laid.filter(f"_cut{level - 1}")
-        cuts = small_side(_choose_cut(_profile(todo, group, list(ordinals)), len(ordinals), max_rows))
+        cuts = small_side(_choose_cut(_profile(todo, group, columns), len(columns), max_rows))
         if cuts.isEmpty():
             break
         if group:
@@ -164,7 +182,7 @@ def split_hot(
             )
         bucket = f"_bucket{level}"
         laid = (
-            _add_cell(laid, len(ordinals), bucket)
+            _add_cell(laid, len(columns), bucket)
             .withColumn(f"_cut{level}", F.col("_dim").isNotNull())
             .drop("_dim", "_from", "_to", "_cells")
         )

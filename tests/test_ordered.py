@@ -140,6 +140,19 @@ def test_order_types(spark, kind):
     assert got == want
 
 
+@pytest.mark.parametrize("prefix", ["", "Customer#0000000000000"])
+def test_text_order(spark, prefix):
+    rng = random.Random(4)
+    names = [prefix + "".join(rng.choice("abz09é") for _ in range(rng.randrange(9))) for _ in range(150)]
+    names = sorted(set(names)) + [None]
+    df = spark.createDataFrame([("a", n) for n in names], "key string, name string").repartition(3)
+    laid, buckets = split_hot(df, ["key"], ["name"], 10)
+    assert laid.groupBy(*buckets).count().agg(F.max("count")).first()[0] <= 20
+    got = {r["name"]: r["_pos"] for r in number_rows(df, ["key"], ["name"], max_rows=10).df.collect()}
+    ranked = sorted((n for n in names if n is not None), key=lambda n: n.encode())
+    assert got == {n: i for i, n in enumerate([None, *ranked])}
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "key string, t int, v double")
     assert number_rows(df, ["key"], ["t"], max_rows=5).df.count() == 0
