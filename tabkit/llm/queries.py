@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import mixing, sharding, token_counts
-from tabkit.llm.common import table
+from tabkit.llm import decontaminate, mixing, sharding, simhash, suffix_dedup, token_counts
+from tabkit.llm.common import numbered, table
+
+
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = numbered(table(spark, folder, "documents").select("doc_id", "text"))
+    return suffix_dedup.repeated_bytes(docs).drop("__row", "kept")
+
+
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,6 +24,11 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan_mix(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = numbered(table(spark, folder, "documents").select("doc_id", "text"))
+    return decontaminate.contamination(docs, table(spark, folder, "benchmark").select("item_id", "text")).drop("__row")
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.plan_shards(sharding.keyed(table(spark, folder, "documents"), "doc_id"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -26,5 +41,60 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(token_counts.MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op7_sharding, op10_token_counts)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_simhash, op4_mixing, op6_decontaminate, op7_sharding, op10_token_counts)}
+#: One window per start, the windows of items found in documents by join, hit positions counted once.
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+), i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), starts AS (
+  SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS s FROM i WHERE len(w) > 0
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[s : s + 12], ' ') AS k FROM starts
+), sizes AS (SELECT DISTINCT n FROM win),
+ends AS (
+  SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n
+), hit AS (
+  SELECT doc_id, item_id, s, ends.n FROM ends JOIN win ON ends.n = win.n AND array_to_string(w[s : s + ends.n - 1], ' ') = k
+), places AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hit
+), hits AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+held AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+
+#: Every byte start as hexadecimal text; starts whose 400 bytes occur twice cover bytes, the rest is kept.
+OP1_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), s AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k
+  FROM (SELECT r, h, unnest(generate_series(0, length(h) // 2 - 400)) AS i FROM d WHERE length(h) >= 800)
+), rep AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM s) WHERE n > 1
+), runs AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM rep
+), spans AS (
+  SELECT r, min(i) AS lo, max(i) + 400 AS hi
+  FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM runs) GROUP BY r, g
+), edges AS (
+  SELECT r, hi AS lo, lead(lo) OVER (PARTITION BY r ORDER BY lo) AS hi FROM spans
+  UNION ALL SELECT r, 0, min(lo) FROM spans GROUP BY r
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, length(h) // 2) - lo)), '' ORDER BY lo) AS left_over
+  FROM edges JOIN d USING (r) GROUP BY r
+), cut AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE = {"op1_suffix_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL}
