@@ -10,10 +10,12 @@ least length - v + 1 bytes, the *depth*.
    names are dealt to buckets. Each task sorts the names of its buckets, one
    block of suffixes at a time, so memory is bounded by the bucket, whatever
    the corpus. A position whose name occurs again is kept.
-2. Ties. Only strings that begin less than v bytes before a kept position can
-   repeat in full. Each of them is named by all its `length` bytes (two hashes,
-   128 bits) and sorted in buckets in the same way, which settles the ties that
-   `depth` bytes left open. Names that recur are the repeated strings.
+2. Long ties. Two positions that tie on `depth` bytes are compared in their
+   surroundings: all that a repeated string around either could touch. Where
+   every position of one name has the same surroundings, all strings around
+   them repeat, and nothing more is asked. Only around names with more than one
+   kind of surroundings, at the edges of repeated runs, each string is named by
+   all its `length` bytes (96 bits of hash) and sorted in buckets as before.
 
 Copies of whole documents are folded first: if long enough they are repeated
 throughout, and one of them stands for all. Names repeated within a batch of
@@ -106,7 +108,7 @@ class _Batch:
             part = at[i : i + SLICE_BYTES // 8]
             words = _words(data)
             a = names(words, part, self.length, 0)
-            b = names(words, part, self.length, 1) if self.wide else np.zeros(0, np.uint64)
+            b = (names(words, part, self.length, 1) >> np.uint64(32)).astype("<u4") if self.wide else np.zeros(0, "<u4")
             self.found.append((a, b, part.astype("<u4"), np.full(len(part), row, np.int64), np.full(len(part), repeated)))
 
     def rows(self) -> pa.RecordBatch:
@@ -130,6 +132,8 @@ class _Batch:
             for k in np.flatnonzero(np.diff(edges)):
                 mine = order[edges[k] : edges[k + 1]]
                 told, asking = first[mine[known[mine]]], first[mine[~known[mine]]]
+                # in text order, equal rows and rising positions compress well
+                asking = asking[np.lexsort((at[asking], row[asking]))]
                 wide = {"known_b": b[told].tobytes(), "name_b": b[asking].tobytes()} if self.wide else {}
                 self._put(out, int(k), known=a[told].tobytes(), name=a[asking].tobytes(), rows=row[asking].tobytes(), at=at[asking].tobytes(), **wide)
         self.found = []
@@ -161,7 +165,7 @@ def _settle(held: list[dict], wide: bool) -> Iterator[tuple[int, np.ndarray]]:
     a = np.concatenate([ask, told])
     row, at = joined("rows", "<i8"), joined("at", "<u4")
     if wide:
-        b = np.concatenate([joined("name_b", "<u8"), joined("known_b", "<u8")])
+        b = np.concatenate([joined("name_b", "<u4"), joined("known_b", "<u4")])
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.array([], bool)
@@ -217,11 +221,14 @@ def _repeated(texts: DataFrame, chosen, length: int, wide: bool, buckets: int) -
     return named.repartition(buckets, "bucket").mapInArrow(settle, "row long, at binary")
 
 
-def _places(parts: list[bytes] | None) -> np.ndarray:
+def _places(parts: list | None) -> np.ndarray:
+    """Positions, packed by the tasks that found them or as plain numbers."""
+    if parts and not isinstance(parts[0], bytes):
+        return np.array(parts, np.int64)
     return np.concatenate([np.frombuffer(p, "<u4") for p in parts or []] or [np.array([], "<u4")]).astype(np.int64)
 
 
-def _cover(total: int, starts: np.ndarray, lengths: int) -> np.ndarray:
+def _cover(total: int, starts: np.ndarray, lengths: int | np.ndarray) -> np.ndarray:
     """Which of `total` bytes lie in [start, start + lengths) for some start, which may be negative."""
     steps = np.zeros(total + 1, np.int32)
     np.add.at(steps, np.maximum(starts, 0), 1)
@@ -262,30 +269,59 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def before(total: int, marks: list[bytes]) -> np.ndarray:
         return np.flatnonzero(_cover(total, _places(marks) - v + 1, v)[: total - length + 1])
 
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        span = length + v - 1
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in ("<i8", "<i8", "<i8", "<i4")]
+            for row, content, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data, at = content.encode(), np.sort(_places(marks))
+                words, low = _words(data), at - v + 1
+                inner = (low >= 0) & (at + length <= len(data))
+                seen = np.zeros(len(at), np.uint64)
+                seen[inner] = names(words, low[inner], span, 0)
+                for i in np.flatnonzero(~inner):  # cut off by an end of the text: how much counts too
+                    start, stop = max(0, int(low[i])), min(len(data), int(at[i]) + length)
+                    seen[i] = xxhash.xxh64_intdigest(data[start:stop], (int(at[i]) - start) * span + stop - int(at[i]))
+                for column, values in zip(out, (names(words, at, depth, 0).view(np.int64), seen.view(np.int64), np.full(len(at), row), at.astype("<i4")), strict=True):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["name", "seen", "row", "at"])
+
     buckets = parts_for(int(size * len(members) / v), BUCKET_NAMES)
     # copied texts ask like others here, so that step 2 names their strings for the rest
-    sampled = texts.select("row", "text", F.lit(False).alias("whole"), F.lit(None).cast("array<binary>").alias("marks"))
+    sampled = texts.select("row", "text", F.lit(False).alias("whole"), F.lit(None).cast("array<int>").alias("marks"))
     first = _repeated(sampled, samples, depth, False, buckets)
     marked = first.groupBy("row").agg(F.collect_list("at").alias("marks"))
-    open_texts = stable(texts.join(marked, "row"))
-    # strings to name: at most one per byte of the texts that are left
-    left = open_texts.agg(F.sum(F.aggregate("marks", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
-    second = _repeated(open_texts, before, length, True, parts_for(int(left / 4 * v / len(members)), BUCKET_NAMES))
+    tied = stable(texts.join(marked, "row"))
+    places = stable(tied.select("row", "text", "marks").mapInArrow(around, "name long, seen long, row long, at int"))
+    # map-side minima and maxima: a name that a third of all texts share still sends one row per task
+    mixed = places.groupBy("name").agg(F.min("seen").alias("low"), F.max("seen").alias("high")).where("low < high").select(F.col("name").alias("mixed"))
+    judged = places.join(mixed, F.col("name") == F.col("mixed"), "left")
+    of_text = judged.groupBy("row").agg(F.collect_list(F.when(F.col("mixed").isNotNull(), F.col("at"))).alias("open"), F.collect_list(F.when(F.col("mixed").isNull(), F.col("at"))).alias("sure"))
+    judged_texts = stable(tied.select("row", "text", "whole").join(of_text, "row"))
+    asked = judged_texts.where(F.size("open") > 0)
+    left = asked.agg(F.sum(F.size("open"))).first()[0] or 0
+    packed = asked.select("row", "text", "whole", F.col("open").alias("marks"))
+    second = _repeated(packed, before, length, True, parts_for(int(left * v / len(members)), BUCKET_NAMES))
     starts = second.groupBy("row").agg(F.collect_list("at").alias("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for row, content, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, content, sure, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(content.encode(), np.uint8)
-                gone = _cover(len(data), _places(parts), length)
+                sure = np.array(sure, np.int64)
+                begin = np.concatenate([_places(parts), np.maximum(sure - v + 1, 0)])
+                end = np.concatenate([_places(parts), np.minimum(sure, len(data) - length)]) + length
+                gone = _cover(len(data), begin, end - begin)
                 kept = data[~gone].tobytes()
                 edges = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 for column, value in zip(out, (row, int(gone.sum()), edges, hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["row", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    partly = open_texts.where("not whole").select("row", "text").join(starts, "row").mapInArrow(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    partly = judged_texts.where("not whole").select("row", "text", "sure").join(starts, "row", "left").mapInArrow(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     empty = F.lit("").cast("binary")
     gone = copies.join(slim, "row").select("row", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(empty, 256).alias("kept_sha256"), empty.alias("kept"))
     results = gone.union(partly).select(F.col("row").alias("__of"), *[F.col(c).alias(f"__{c}") for c in gone.columns[1:]])
