@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import decontaminate, mixing, sharding, simhash, suffix_dedup, token_counts
+from tabkit.llm import decontaminate, language_id, line_dedup, mixing, pq_dedup, sharding, simhash, suffix_dedup, token_counts, toxicity
 from tabkit.llm.common import numbered, table
 
 
@@ -14,6 +14,11 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(docs).drop("__row", "kept")
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return language_id.languages(pages, table(spark, folder, "documents").select("lang", "text"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -24,6 +29,12 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan_mix(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.scores(docs, toxicity.train_on(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = numbered(table(spark, folder, "documents").select("doc_id", "text"))
     return decontaminate.contamination(docs, table(spark, folder, "benchmark").select("item_id", "text")).drop("__row")
@@ -34,6 +45,16 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    pages = numbered(table(spark, folder, "pages").select("page_id", "url", "html"))
+    cleaned = line_dedup.drop_boilerplate(pages)
+    return cleaned.select("page_id", "n_lines", "n_removed", F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
+
+
+def op9_pq_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return pq_dedup.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,7 +62,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(token_counts.MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_simhash, op4_mixing, op6_decontaminate, op7_sharding, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_language_id, op3_simhash, op4_mixing, op5_toxicity, op6_decontaminate, op7_sharding, op8_line_dedup,
+    op9_pq_dedup, op10_token_counts,
+)}
 #: One window per start, the windows of items found in documents by join, hit positions counted once.
 OP6_SQL = """
 WITH d AS (
@@ -97,4 +121,21 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLE = {"op1_suffix_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL}
+#: Exact distinct sites per line, then the lines that are left of each page.
+OP8_SQL = """
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS site,
+    list_filter(regexp_split_to_array(regexp_replace(coalesce(html, ''), '<[^>]*>', chr(10), 'g'), '[\\r\\n]+'),
+      lambda x: x <> '') AS lines FROM pages
+), l AS (
+  SELECT r, site, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM p
+), bad AS (SELECT line FROM l GROUP BY line HAVING count(DISTINCT site) >= 10),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS t FROM l ANTI JOIN bad USING (line) GROUP BY r
+)
+SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256 FROM p LEFT JOIN kept USING (r)
+"""
+
+ORACLE = {"op1_suffix_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_line_dedup": OP8_SQL}
