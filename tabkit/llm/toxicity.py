@@ -33,10 +33,12 @@ from tabkit.session import small_side
 
 DECAY = 0.6
 #: Letters of a word seen at once; longer words are seen through a window that moves letter by letter.
-SEEN = 6
+SEEN, LEAST_LETTERS = 6, 4
 LETTERS = 64
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 20_000
-LANDMARKS, ROUNDS, NEGATIVES, HARD = 96, 4, 20_000, 2000
+LANDMARKS, ROUNDS, NEGATIVES, HARD = 128, 6, 20_000, 2000
+#: Directions among the landmarks with less kernel than this are noise.
+LEAST_VALUE, RIDGE = 1e-2, 1e-5
 #: Chance allowed that any word at all passes as telling by luck.
 LUCK = 1e-3
 FOLDS, HELD_OUT = 5, 0
@@ -67,19 +69,19 @@ def words_of(text: str | None) -> set[str]:
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(codes of the letters seen at once, which word they come from); signs that aren't letters or digits are skipped."""
-    rows, owner = [], []
-    for i, word in enumerate(words):
-        code = _CODE[np.frombuffer(word.encode("utf-32-le"), "<u4")]
-        code = code[code > 0]
-        if len(code) > SEEN:
-            rows.append(np.lib.stride_tricks.sliding_window_view(code, SEEN))
-            owner.append(np.full(len(code) - SEEN + 1, i))
-        elif len(code) > 2:
-            rows.append(np.pad(code, (0, SEEN - len(code)))[None])
-            owner.append(np.array([i]))
-    if not rows:
-        return np.zeros((0, SEEN), np.uint8), np.array([], np.int64)
-    return np.concatenate(rows), np.concatenate(owner)
+    # all words at once: a line end, which no word holds, closes each of them
+    signs = np.frombuffer("\n".join(words).encode("utf-32-le"), "<u4")
+    ends = signs == 10
+    code, of = _CODE[signs], np.cumsum(ends)
+    code, of = code[code > 0], of[code > 0]
+    many = np.bincount(of, minlength=len(words))
+    stop = np.cumsum(many)
+    place = np.arange(len(code))
+    starts = np.concatenate([place[place + SEEN <= stop[of]], (stop - many)[(many >= LEAST_LETTERS) & (many < SEEN)]])
+    starts.sort()  # rows stand in the order of the words
+    wide = np.minimum(starts[:, None] + np.arange(SEEN), max(0, len(code) - 1))
+    rows = np.where(starts[:, None] + np.arange(SEEN) < stop[of[starts]][:, None], code[wide], 0) if len(starts) else np.zeros((0, SEEN))
+    return rows.astype(np.uint8), of[starts].astype(np.int64) if len(starts) else np.array([], np.int64)
 
 
 def pieces_of(text: str) -> set[str]:
@@ -88,7 +90,7 @@ def pieces_of(text: str) -> set[str]:
     for word in words_of(text):
         kept = "".join(c for c in word if _CODE[ord(c)])
         found.update(kept[i : i + SEEN] for i in range(max(1, len(kept) - SEEN + 1)))
-    return {p for p in found if len(p) > 2}
+    return {p for p in found if len(p) >= LEAST_LETTERS}
 
 
 def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +117,7 @@ class Machine:
         self.table, self.bias, self.cut, self.scale = table, bias, cut, scale
 
     def margins(self, words: list[str]) -> np.ndarray:
-        """Best margin over what is seen of each word; the bias for words of fewer than three letters."""
+        """Best margin over what is seen of each word; the bias for words of fewer than four letters."""
         out = np.full(len(words), self.bias)
         for low in range(0, len(words), 4096):
             codes, owner = letters(words[low : low + 4096])
@@ -143,7 +145,7 @@ def kernel(slots: np.ndarray, weights: np.ndarray, size: np.ndarray, marks: np.n
     return out
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Squared-hinge support vector machine by Newton steps; the bias is the last coefficient and is not shrunk."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, shrink = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 1e-9)
@@ -180,55 +182,68 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, clean_
 
     clean_weight: how many clean texts each given one stands for, against toxic ones.
     """
-    bags, others = [pieces_of(t) for t in toxic], [pieces_of(t) for t in clean]
+    bags, others = [sorted(pieces_of(t)) for t in toxic], [sorted(pieces_of(t)) for t in clean]
     often, rarely = Counter(w for b in bags for w in b), Counter(w for b in others for w in b)
     told = _telling(often, rarely, len(bags), len(others)) if bags and others else {}
     if not told:
         return Machine(np.zeros(LETTERS**3, np.float32), -1.0, 0.0, 1.0)
     best = sorted(told, key=lambda w: (-told[w], w))
-    usual = [w for w, _ in sorted(rarely.items(), key=lambda x: (-x[1], x[0])) if len(w) > 3]
-    negatives = usual[:: max(1, len(usual) // NEGATIVES)][:NEGATIVES]
+    holders: dict[str, list[int]] = {w: [] for w in best}
+    for i, bag in enumerate(bags):
+        for w in bag:
+            if w in told:
+                holders[w].append(i)
     covered, leading = Counter(), []
     for w in best:  # landmarks for every toxic document, not only for the commonest insult
-        holders = [i for i, b in enumerate(bags) if w in b and covered[i] < 4]
-        if len(holders) > 2:
+        fresh = [i for i in holders[w] if covered[i] < 4]
+        if len(fresh) > 2 and len(leading) < landmarks * 3 // 4:
             leading.append(w)
-            covered.update(holders)
-        if len(leading) >= landmarks * 3 // 4:
-            break
+            covered.update(fresh)
+    usual = sorted(rarely, key=lambda w: (-rarely[w], w))
+    negatives = usual[:: max(1, len(usual) // NEGATIVES)][:NEGATIVES]
     marked = [*leading, *negatives[:: max(1, len(negatives) * 4 // landmarks)]][:landmarks]
-    slots, weights, size, owner = _seen(marked)
-    table = np.zeros((LETTERS**3, len(slots)), np.float32)
-    for i in range(len(slots)):
-        np.add.at(table[:, i], slots[i], weights[i] / size[i])
-    between = kernel(slots, weights, size, table).astype(float)
+    # every word of the sample is seen once; all that follows works on its numbers
+    words = sorted(often.keys() | rarely.keys())
+    number = {w: i for i, w in enumerate(words)}
+    slots, weights, size, _ = _seen(words)
+    marks = np.zeros((LETTERS**3, len(marked)), np.float32)
+    for i, w in enumerate(marked):
+        np.add.at(marks[:, i], slots[number[w]], weights[number[w]] / size[number[w]])
+    at = np.array([number[w] for w in marked])
+    between = kernel(slots[at], weights[at], size[at], marks).astype(float)
     value, vector = np.linalg.eigh((between + between.T) / 2)
-    whiten = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
-    positives, hard = best[: 4 * landmarks], set()
-    every = sorted({w for b in bags for w in b})
-    clean_words = sorted(rarely)
+    whiten = vector[:, value > LEAST_VALUE] / np.sqrt(value[value > LEAST_VALUE])
+    in_clean = np.array([w in rarely for w in words])
+    first = np.array([number[w] for w in best[: 4 * landmarks]])
+    positive, negative = first, np.array([number[w] for w in negatives])
+    hardest = np.array([], int)
+    edges = np.cumsum([0, *(len(b) for b in bags), *(len(b) for b in others)])
+    flat = np.array([number[w] for b in (*bags, *others) for w in b] or [0])
+    full = np.flatnonzero(np.diff(edges))
     for _ in range(ROUNDS):
-        parts = [_seen(positives), _seen(sorted({*negatives, *hard} - set(positives)))]
-        x = np.vstack([kernel(s, v, n, table) @ whiten for s, v, n, _ in parts])
-        y = np.repeat([1.0, -1.0], [len(parts[0][0]), len(parts[1][0])])
-        share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y) / 2
-        w, bias = fit_linear(x, y, share)
-        machine = Machine((table @ (whiten @ w)).astype(np.float32), bias)
-        margin = dict(zip(every, machine.margins(every), strict=True))
-        clean_margin = dict(zip(clean_words, machine.margins(clean_words), strict=True))
-        highest = sorted(clean_words, key=lambda v: (-clean_margin[v], v))[:HARD]
-        hard |= {v for v in highest if clean_margin[v] > -0.8}
-        chosen = [max(b, key=lambda v: (margin[v], v)) for b in bags if b]
-        positives = sorted({*best[: 4 * landmarks], *(v for v in chosen if margin[v] > 0 and not rarely[v])})
-    of_toxic = np.array([max((margin[v] for v in b), default=bias) for b in bags])
-    of_clean = np.array([max((clean_margin[v] for v in b), default=bias) for b in others])
-    values = np.sort(np.concatenate([of_toxic, of_clean]))
-    cuts = (values[1:] + values[:-1]) / 2
+        rows = np.concatenate([positive, np.setdiff1d(np.union1d(negative, hardest), positive)])
+        y = np.where(np.arange(len(rows)) < len(positive), 1.0, -1.0)
+        # the three kinds weigh alike, so that a few clean words that look like insults are not outvoted
+        mined = np.isin(rows, hardest)
+        share = np.where(y > 0, 1 / len(positive), np.where(mined, 1 / max(1, mined.sum()), 1 / max(1, len(rows) - len(positive) - mined.sum()))) / 3
+        w, bias = fit_linear(kernel(slots[rows], weights[rows], size[rows], marks) @ whiten, y, share)
+        machine = Machine((marks @ (whiten @ w)).astype(np.float32), bias)
+        margin = bias + np.maximum(np.concatenate([np.einsum("ij,ij->i", machine.table[slots[i : i + 65536]], weights[i : i + 65536]) for i in range(0, len(words), 65536)]) / size, 0)
+        hard = np.flatnonzero(in_clean & (margin > -0.8))
+        hardest = np.union1d(hardest, hard[np.argsort(-margin[hard], kind="stable")][:HARD])
+        # the best word of each toxic document, where it tells something and no clean document holds it
+        best_of = np.full(len(edges) - 1, bias)
+        best_of[full] = np.maximum.reduceat(margin[flat], edges[:-1][full])
+        chosen = [max(bag, key=lambda v: (margin[number[v]], v)) for bag in bags if bag]
+        positive = np.union1d(first, [number[v] for v in chosen if margin[number[v]] > 0 and often[v] > 2 and not rarely[v]]).astype(int)
+    of_toxic, of_clean = best_of[: len(bags)], best_of[len(bags) :]
+    values = np.unique(best_of)
+    cuts = (values[1:] + values[:-1]) / 2 if len(values) > 1 else values
     wrong = np.searchsorted(np.sort(of_toxic), cuts) + clean_weight * (len(of_clean) - np.searchsorted(np.sort(of_clean), cuts))
     # the middle of the cuts with the fewest errors
     fewest = cuts[wrong == wrong.min()]
-    machine.cut = float((fewest.min() + fewest.max()) / 2) if len(cuts) else 0.0
-    machine.scale = float(4 / max(np.std(values), 1e-6))
+    machine.cut = float((fewest.min() + fewest.max()) / 2)
+    machine.scale = float(2 / max(np.std(best_of), 1e-6))
     return machine
 
 
@@ -255,7 +270,7 @@ def train_on(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC,
 def scores(docs: DataFrame, machine: Machine) -> DataFrame:
     """The columns of `docs` but the text, and score (0 to 1); one pass, no shuffle.
 
-    Null and empty texts, and texts without a word of three letters, get the
+    Null and empty texts, and texts without a word of four letters, get the
     score of a text the machine knows nothing against. Repeated rows stay.
     """
     kept = [c for c in docs.columns if c not in ("text", "score")]
