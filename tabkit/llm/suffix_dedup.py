@@ -102,6 +102,7 @@ class _Batch:
     def __init__(self, length: int, wide: bool, buckets: int):
         self.length, self.wide, self.buckets = length, wide, buckets
         self.found: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
 
     def add(self, row: int, data: bytes, at: np.ndarray, repeated: bool) -> None:
         for i in range(0, len(at), SLICE_BYTES // 8):
@@ -110,6 +111,7 @@ class _Batch:
             a = names(words, part, self.length, 0)
             b = (names(words, part, self.length, 1) >> np.uint64(32)).astype("<u4") if self.wide else np.zeros(0, "<u4")
             self.found.append((a, b, part.astype("<u4"), np.full(len(part), row, np.int64), np.full(len(part), repeated)))
+            self.size += len(part)
 
     def rows(self) -> pa.RecordBatch:
         out: dict[str, list] = {"bucket": [], "row": [], "known": [], "known_b": [], "name": [], "name_b": [], "rows": [], "at": []}
@@ -136,7 +138,7 @@ class _Batch:
                 asking = asking[np.lexsort((at[asking], row[asking]))]
                 wide = {"known_b": b[told].tobytes(), "name_b": b[asking].tobytes()} if self.wide else {}
                 self._put(out, int(k), known=a[told].tobytes(), name=a[asking].tobytes(), rows=row[asking].tobytes(), at=at[asking].tobytes(), **wide)
-        self.found = []
+        self.found, self.size = [], 0
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
@@ -195,7 +197,11 @@ def _repeated(texts: DataFrame, chosen, length: int, wide: bool, buckets: int) -
             rows, content, whole, marks = (batch.column(i) for i in range(4))
             for i in range(batch.num_rows):
                 data = content[i].as_py().encode()
-                work.add(rows[i].as_py(), data, chosen(len(data), marks[i].as_py()), whole[i].as_py())
+                at = chosen(len(data), marks[i].as_py())
+                for low in range(0, len(at), BUCKET_NAMES):
+                    work.add(rows[i].as_py(), data, at[low : low + BUCKET_NAMES], whole[i].as_py())
+                    if work.size >= BUCKET_NAMES:
+                        yield work.rows()
             yield work.rows()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ DECAY = 0.6
 #: Letters of a word seen at once; longer words are seen through a window that moves letter by letter.
 SEEN, LEAST_LETTERS = 6, 4
 LETTERS = 64
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 20_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 2000, 10_000
 LANDMARKS, ROUNDS, NEGATIVES, HARD = 128, 6, 20_000, 2000
 #: Directions among the landmarks with less kernel than this are noise.
 LEAST_VALUE, RIDGE = 1e-2, 1e-5
