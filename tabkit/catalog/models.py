@@ -137,7 +137,7 @@ def per_entity(spark, d):
 
     models = T.fit_per_entity(weeks, "priority", fit)
     test = weeks.filter("role = 'test'")
-    parts = [Z.score_counts(m, test.filter(F.col("priority") == e), ["priority", "week", "total"]) for e, m in models.items()]
+    parts = [Z.score_counts(m, test.filter(F.col("priority").eqNullSafe(F.lit(e))), ["priority", "week", "total"]) for e, m in models.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

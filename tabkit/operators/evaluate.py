@@ -19,8 +19,11 @@ def stack_labels(df: DataFrame, labels: dict[str, tuple[str, str]]) -> DataFrame
 
 
 def _by_score(df: DataFrame, keys: list[str], truth: str, score: str, max_rows: int | None) -> DataFrame:
-    """Positives and negatives per distinct score, their running counts from the top score down, and totals."""
-    per_score = df.filter(F.col(truth).isNotNull()).groupBy(*keys, (-F.col(score)).alias("_down")).agg(
+    """Positives and negatives per distinct score, their running counts from the top score down, and totals.
+
+    Only rows with truth 0 or 1 and a score count: a null score ranks nowhere.
+    """
+    per_score = df.filter(F.col(truth).isin(0, 1) & F.col(score).isNotNull()).groupBy(*keys, (-F.col(score)).alias("_down")).agg(
         F.count(F.when(F.col(truth) == 1, 1)).alias("_pos"), F.count(F.when(F.col(truth) == 0, 1)).alias("_neg")
     )
     sums = {"_tp": F.col("_pos"), "_fp": F.col("_neg")}
@@ -78,16 +81,21 @@ def macro_auc(per_label: DataFrame) -> DataFrame:
 
 
 def multilabel_scores(df: DataFrame, labels: dict[str, tuple[str, str]]) -> DataFrame:
-    """Subset accuracy, micro precision and micro recall from (truth, predicted) 0/1 column pairs."""
+    """Subset accuracy, micro precision and micro recall from (truth, predicted) 0/1 column pairs.
+
+    A null prediction is a wrong one: it matches no truth, and misses a truth of 1.
+    Rows in which a truth is null are left out.
+    """
     pairs = list(labels.values())
     same = F.lit(True)
     tp = fp = fn = F.lit(0)
+    df = df.dropna(subset=[y for y, _ in pairs])
     for y, p in pairs:
-        y, p = F.col(y), F.col(p)
+        y, p = F.col(y), F.coalesce(F.col(p).cast("double"), F.lit(-1.0))
         same = same & (y == p)
         tp = tp + F.when((y == 1) & (p == 1), 1).otherwise(0)
         fp = fp + F.when((y == 0) & (p == 1), 1).otherwise(0)
-        fn = fn + F.when((y == 1) & (p == 0), 1).otherwise(0)
+        fn = fn + F.when((y == 1) & (p != 1), 1).otherwise(0)
     return df.agg(
         F.avg(same.cast("double")).alias("accuracy"),
         F.try_divide(F.sum(tp), F.sum(tp) + F.sum(fp)).alias("precision_micro"),
@@ -96,14 +104,17 @@ def multilabel_scores(df: DataFrame, labels: dict[str, tuple[str, str]]) -> Data
 
 
 def f1_micro(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """Micro F1 of a single-label problem, which is its accuracy."""
-    return df.agg(F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("f1_micro"))
+    """Micro F1 of a single-label problem, which is its accuracy; a null prediction is a wrong one, a null truth no row."""
+    right = F.coalesce(F.col(truth) == F.col(predicted), F.lit(False))
+    return df.filter(F.col(truth).isNotNull()).agg(F.avg(right.cast("double")).alias("f1_micro"))
 
 
 def rmse_r2(df: DataFrame, truth: str, predicted: str, keys: list[str] = ()) -> DataFrame:
+    """Root mean squared error and R² over the rows that have both values."""
     error = F.col(truth).cast("double") - F.col(predicted).cast("double")
     sse = F.sum(error * error)
-    spread = F.var_pop(F.col(truth).cast("double")) * F.count(truth)
+    known = F.when(F.col(predicted).isNotNull(), F.col(truth).cast("double"))
+    spread = F.var_pop(known) * F.count(known)
     return df.groupBy(*keys).agg(
         F.sqrt(F.avg(error * error)).alias("rmse"), (1 - F.try_divide(sse, spread)).alias("r2")
     )

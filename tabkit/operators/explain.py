@@ -63,7 +63,7 @@ def permutation_importance(
     )
     wrong, right = target - F.col("prediction"), target - F.col("_base")
     per_repeat = model.transform(shuffled).groupBy("_feature", "_repeat").agg(
-        (F.sum(wrong * wrong - right * right) / F.lit(spread)).alias("_drop")
+        F.try_divide(F.sum(wrong * wrong - right * right), F.lit(spread)).alias("_drop")
     )
     return per_repeat.groupBy(F.col("_feature").alias("feature")).agg(
         F.avg("_drop").alias("mean"), F.stddev_pop("_drop").alias("std")

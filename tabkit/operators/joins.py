@@ -38,24 +38,28 @@ def append_columns(left: DataFrame, right: DataFrame, keys: list[str], assign: b
 
 
 def key_mismatch(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys found in one table only, with the side they are on."""
-    a = left.select(*keys).distinct().withColumn("_l", F.lit(1))
-    b = right.select(*keys).distinct().withColumn("_r", F.lit(1))
-    return (
-        a.join(b, keys, "full_outer")
-        .filter(F.col("_l").isNull() | F.col("_r").isNull())
-        .select(*keys, F.when(F.col("_r").isNull(), "left").otherwise("right").alias("side"))
+    """Keys found in one table only, with the side they are on; a null key matches a null key."""
+    counted = _key_counts(left, right, keys).filter((F.col("n_left") == 0) | (F.col("n_right") == 0))
+    return counted.select(*keys, F.when(F.col("n_right") == 0, "left").otherwise("right").alias("side"))
+
+
+def _key_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each key on either side: one scan and one partial count per table, one shuffle of keys."""
+    sides = left.select(*keys, F.lit(1).alias("n_left"), F.lit(0).alias("n_right")).unionByName(
+        right.select(*keys, F.lit(0).alias("n_left"), F.lit(1).alias("n_right"))
     )
+    # a group holds null keys together, which an equi-join would not
+    return sides.groupBy(*keys).agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
 
 
 def assert_same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
-    """Raise unless both tables hold the same keys in the same number of rows."""
-    odd = key_mismatch(left, right, keys).take(10)
+    """Raise unless both tables hold the same keys, each in the same number of rows."""
+    odd = _key_counts(left, right, keys).filter("n_left <> n_right").take(10)
+    alone = [tuple(r)[:-2] + ("right" if not r["n_left"] else "left",) for r in odd if not (r["n_left"] and r["n_right"])]
+    if alone:
+        raise ValueError(f"keys on one side only: {sorted(alone, key=str)}")
     if odd:
-        raise ValueError(f"keys on one side only: {sorted(tuple(r) for r in odd)}")
-    n_left, n_right = left.count(), right.count()
-    if n_left != n_right:
-        raise ValueError(f"row counts differ: {n_left} and {n_right}")
+        raise ValueError(f"row counts differ: {sorted((tuple(r) for r in odd), key=str)}")
 
 
 def date_lags(

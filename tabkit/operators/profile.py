@@ -93,8 +93,8 @@ def diverging_layout(df: DataFrame, question: str, code: str, value: str) -> Dat
 
 
 def cross_tab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
-    """Counts of `column` values per `row` value, and each as a share of its row."""
+    """Counts of the listed `column` values per `row` value, and each as a share of all the row's known values."""
     n = [F.count(F.when(F.col(column) == v, 1)).alias(f"n_{v}") for v in values]
-    total = sum((F.col(f"n_{v}") for v in values[1:]), F.col(f"n_{values[0]}"))
-    counts = df.dropna(subset=[row, column]).groupBy(row).agg(*n)
-    return counts.withColumns({f"pct_{v}": F.try_divide(100.0 * F.col(f"n_{v}"), total) for v in values})
+    counts = df.dropna(subset=[row, column]).groupBy(row).agg(*n, F.count(F.lit(1)).alias("_total"))
+    shares = {f"pct_{v}": F.try_divide(100.0 * F.col(f"n_{v}"), F.col("_total")) for v in values}
+    return counts.withColumns(shares).drop("_total")

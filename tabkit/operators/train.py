@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from itertools import product
 
@@ -14,6 +15,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabkit.session import stable
+
 
 @contextmanager
 def kept(df: DataFrame):
@@ -129,10 +132,15 @@ def random_search(
 
 
 def fit_per_entity(
-    df: DataFrame, entity: str, fit: Callable[[DataFrame, object], Model], max_entities: int = 100
+    df: DataFrame, entity: str, fit: Callable[[DataFrame, object], Model], at_once: int = 4
 ) -> dict[object, Model]:
-    """One distributed fit per entity; meant for a few large entities."""
-    found = [r[0] for r in df.select(entity).distinct().orderBy(entity).limit(max_entities + 1).collect()]
-    if len(found) > max_entities:
-        raise ValueError(f"more than {max_entities} entities in {entity}")
-    return {e: fit(df.filter(F.col(entity).eqNullSafe(F.lit(e))), e) for e in found}
+    """One distributed fit per entity, null being one too; meant for large entities.
+
+    The rows are computed once and written out, not once per entity. `at_once`
+    fits share the cluster at a time.
+    """
+    held = stable(df)
+    found = [r[0] for r in held.select(entity).distinct().orderBy(entity).collect()]
+    with ThreadPoolExecutor(at_once) as pool:
+        models = pool.map(lambda e: fit(held.filter(F.col(entity).eqNullSafe(F.lit(e))), e), found)
+        return dict(zip(found, models, strict=True))

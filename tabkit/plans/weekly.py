@@ -143,7 +143,7 @@ def predict(models: dict[str, Model], rows: DataFrame) -> DataFrame:
     test = rows.filter(F.col("role") == "test")
     scored = None
     for city, model in models.items():
-        part = Z.score_counts(model, test.filter(F.col(CITY) == city), [CITY, DATE, TARGET])
+        part = Z.score_counts(model, test.filter(F.col(CITY).eqNullSafe(F.lit(city))), [CITY, DATE, TARGET])
         scored = part if scored is None else scored.unionByName(part)
     return E.prediction_table(scored, [CITY], DATE, "y_pred", TARGET)
 

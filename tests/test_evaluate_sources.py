@@ -96,7 +96,7 @@ def test_parquet(spark, tmp_path):
 
 
 def session_like(master, **conf):
-    context = SimpleNamespace(master=master)
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
     return SimpleNamespace(conf=conf, sparkContext=context)
 
 
@@ -108,7 +108,8 @@ def test_checkpoints_go_where_the_session_says(spark):
     assert session.shared_folder(session_like("local[2]", **named)) == "/shared/checkpoints"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(session_like("yarn"))
-    assert session.stable(spark.range(3)).count() == 3 and spark.sparkContext.getCheckpointDir()
+    kept = session.stable(spark.range(3))
+    assert kept.count() == 3 and all(session.run_folder(spark) in f for f in kept.inputFiles())
 
 
 def test_broadcast_only_below_the_limit(spark):
@@ -119,3 +120,30 @@ def test_broadcast_only_below_the_limit(spark):
     assert "rightHint=(strategy=broadcast)" in hinted._jdf.queryExecution().optimizedPlan().toString()
     left_alone = big.join(small_side(small, 9), "id")
     assert "broadcast" not in left_alone._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    from tabkit.session import small_side
+
+    wide = spark.range(10).withColumn("t", F.repeat(F.lit("x"), 1000))
+    plan = spark.range(100).join(small_side(wide, 10, max_bytes=5000), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan
+
+
+def test_null_predictions_count_as_wrong(spark):
+    df = spark.createDataFrame([(1, 1), (1, None), (0, 0)], "y int, p int")
+    assert E.f1_micro(df, "y", "p").first()[0] == pytest.approx(2 / 3)
+    row = E.multilabel_scores(df, {"a": ("y", "p")}).first()
+    assert row["accuracy"] == pytest.approx(2 / 3) and row["recall_micro"] == 0.5
+
+
+def test_r2_takes_rows_with_both_values(spark):
+    df = spark.createDataFrame([(1.0, 1.5), (2.0, 1.5), (100.0, None)], "y double, p double")
+    row = E.rmse_r2(df, "y", "p").first()
+    assert row["rmse"] == 0.5 and row["r2"] == 0.0
+
+
+def test_roc_ignores_null_scores_and_other_labels(spark):
+    df = spark.createDataFrame([(0.9, 2), (None, 0), (0.8, 1), (0.1, 0)], "score double, truth int")
+    assert E.roc_auc(df, []).first()["auc"] == 1.0
+    assert E.roc_curve(df, []).filter("threshold = double('infinity')").count() == 1

@@ -59,3 +59,15 @@ def test_date_lags_on_a_hot_date(spark):
     out = J.date_lags(df.withColumn("v", F.when(F.col("i") == 99, 5).otherwise(F.col("v"))), "date", "v", {"lag": 10}, ["e"], "i")
     assert out.count() == 101
     assert out.filter(F.col("date") == d[1]).first()["lag"] == 5
+
+
+def test_keys_repeated_differently_are_reported(spark):
+    left, right = (spark.createDataFrame([(k,) for k in ks], "k int") for ks in ([1, 1, 2], [1, 2, 2]))
+    with pytest.raises(ValueError, match="row counts differ"):
+        J.assert_same_keys(left, right, ["k"])
+
+
+def test_null_keys_match_null_keys(spark):
+    left, right = (spark.createDataFrame([(k,) for k in ks], "k int") for ks in ([None, 1], [1, None]))
+    J.assert_same_keys(left, right, ["k"])
+    assert J.key_mismatch(left, right, ["k"]).count() == 0

@@ -199,5 +199,11 @@ def test_per_entity(spark):
     assert sorted(models) == ["p", "q"]
     whole = Z.score_counts(models["p"], df, ["id"])
     assert dict(whole.dtypes)["y_pred"] == "int"
-    with pytest.raises(ValueError):
-        T.fit_per_entity(df, "id", None, max_entities=5)
+
+
+def test_models_for_many_entities_and_null(spark):
+    from tabkit.operators import train as T
+
+    df = spark.createDataFrame([(i if i else None, float(i)) for i in range(102)], "e int, v double")
+    models = T.fit_per_entity(df, "e", lambda rows, e: (e, rows.count()))
+    assert len(models) == 102 and models[None] == (None, 1)

@@ -126,3 +126,9 @@ def test_phi_and_rare_flags(spark):
     assert A.phi(df, "a", "b").first()["phi"] == pytest.approx(9 / math.sqrt(3 * 4 * 4 * 3))
     rare = spark.range(1000).select((F.col("id") == 0).cast("int").alias("r"), (F.col("id") % 2).alias("c"))
     assert A.rare_binary_columns(rare, ["r", "c"], 0.01) == ["r"]
+
+
+def test_cross_tab_counts_unlisted_values_in_the_total(spark):
+    df = spark.createDataFrame([("a", v) for v in "xyzz"], "g string, y string")
+    row = P.cross_tab(df, "g", "y", ["x", "y"]).first()
+    assert (row["pct_x"], row["pct_y"]) == (25.0, 25.0)
