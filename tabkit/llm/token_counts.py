@@ -1,7 +1,7 @@
 """Token counts by batch encoding: lengths leave the Arrow functions, token ids never do.
 
 A text is cut only where that cannot change the count: at a space that follows
-a non-space. No piece of the vocabulary holds a space mark after another
+neither a space nor the space mark itself. No piece of the vocabulary holds a space mark after another
 character (checked when the model is loaded), so no merge ever crosses such a
 cut, and the mark the library puts before the next part stands for the space
 removed. Parts repeat heavily, so each worker keeps the lengths of those it has
@@ -26,7 +26,8 @@ BATCH_BYTES = 1 << 20
 #: Lengths kept per worker, and the longest part worth keeping (about 100 MB in all at most).
 KNOWN_PARTS, KNOWN_CHARS = 400_000, 64
 
-_CUT = re.compile(r"(?<=[^ ]) ")
+#: The library takes its own mark in a text for a space.
+_CUT = re.compile(r"(?<=[^ ▁]) ")
 _WORKER: dict = {}
 
 
@@ -65,7 +66,7 @@ def count_batch(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES) ->
         held = 0
 
     for i, text in enumerate(texts):
-        first, *rest = _CUT.split(text) if "  " in text or text[:1] == " " else text.split(" ")
+        first, *rest = _CUT.split(text) if "  " in text or text[:1] == " " or "▁" in text else text.split(" ")
         total = 0
         for part in rest:
             if not part:
