@@ -162,7 +162,8 @@ def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
 def _seen(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     codes, owner = letters(words)
     slots, weights = subsequences(codes)
-    return slots, weights, norms(slots, weights), owner
+    size = [norms(slots[i : i + 16384], weights[i : i + 16384]) for i in range(0, len(slots), 16384)]
+    return slots, weights, np.concatenate([*size, np.zeros(0)]), owner
 
 
 def _telling(often: Counter, rarely: Counter, toxic: int, clean: int) -> dict[str, float]:
@@ -206,10 +207,16 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, clean_
     words = sorted(often.keys() | rarely.keys())
     number = {w: i for i, w in enumerate(words)}
     slots, weights, size, _ = _seen(words)
-    marks = np.zeros((LETTERS**3, len(marked)), np.float32)
-    for i, w in enumerate(marked):
-        np.add.at(marks[:, i], slots[number[w]], weights[number[w]] / size[number[w]])
     at = np.array([number[w] for w in marked])
+    # only subsequences of a landmark count; all others share the empty row 0
+    used = np.unique(slots[at][weights[at] > 0])
+    row_of = np.zeros(LETTERS**3, np.int32)
+    row_of[used] = np.arange(1, len(used) + 1)
+    slots = row_of[slots]
+    marks = np.zeros((len(used) + 1, len(marked)), np.float32)
+    for i, k in enumerate(at):
+        np.add.at(marks[:, i], slots[k], weights[k] / size[k])
+    marks[0] = 0
     between = kernel(slots[at], weights[at], size[at], marks).astype(float)
     value, vector = np.linalg.eigh((between + between.T) / 2)
     whiten = vector[:, value > LEAST_VALUE] / np.sqrt(value[value > LEAST_VALUE])
@@ -227,8 +234,8 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, clean_
         mined = np.isin(rows, hardest)
         share = np.where(y > 0, 1 / len(positive), np.where(mined, 1 / max(1, mined.sum()), 1 / max(1, len(rows) - len(positive) - mined.sum()))) / 3
         w, bias = fit_linear(kernel(slots[rows], weights[rows], size[rows], marks) @ whiten, y, share)
-        machine = Machine((marks @ (whiten @ w)).astype(np.float32), bias)
-        margin = bias + np.maximum(np.concatenate([np.einsum("ij,ij->i", machine.table[slots[i : i + 65536]], weights[i : i + 65536]) for i in range(0, len(words), 65536)]) / size, 0)
+        folded = (marks @ (whiten @ w)).astype(np.float32)
+        margin = bias + np.maximum(np.concatenate([np.einsum("ij,ij->i", folded[slots[i : i + 65536]], weights[i : i + 65536]) for i in range(0, len(words), 65536)]) / size, 0)
         hard = np.flatnonzero(in_clean & (margin > -0.8))
         hardest = np.union1d(hardest, hard[np.argsort(-margin[hard], kind="stable")][:HARD])
         # the best word of each toxic document, where it tells something and no clean document holds it
@@ -242,9 +249,9 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, clean_
     wrong = np.searchsorted(np.sort(of_toxic), cuts) + clean_weight * (len(of_clean) - np.searchsorted(np.sort(of_clean), cuts))
     # the middle of the cuts with the fewest errors
     fewest = cuts[wrong == wrong.min()]
-    machine.cut = float((fewest.min() + fewest.max()) / 2)
-    machine.scale = float(2 / max(np.std(best_of), 1e-6))
-    return machine
+    table = np.zeros(LETTERS**3, np.float32)
+    table[used] = folded[1:]
+    return Machine(table, bias, float((fewest.min() + fewest.max()) / 2), float(2 / max(np.std(best_of), 1e-6)))
 
 
 def held_out(doc_id: str = "doc_id"):
