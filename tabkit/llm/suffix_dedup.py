@@ -137,7 +137,7 @@ class _Batch:
                 # in text order, equal rows and rising positions compress well
                 asking = asking[np.lexsort((at[asking], row[asking]))]
                 wide = {"known_b": b[told].tobytes(), "name_b": b[asking].tobytes()} if self.wide else {}
-                self._put(out, int(k), known=a[told].tobytes(), name=a[asking].tobytes(), rows=row[asking].tobytes(), at=at[asking].tobytes(), **wide)
+                self._put(out, int(k), known=a[told].tobytes(), name=a[asking].tobytes(), rows=_pack(row[asking], "<i8"), at=_pack(at[asking], "<i8"), **wide)
         self.found, self.size = [], 0
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
@@ -148,6 +148,19 @@ class _Batch:
             column.append(bucket if key == "bucket" else values.get(key))
 
 
+def _pack(values: np.ndarray, kind: str) -> bytes:
+    """Numbers in their order as compressed steps: equal rows and rising positions take little room."""
+    steps = np.diff(values.astype(kind), prepend=np.zeros(1, kind)).tobytes()
+    return len(steps).to_bytes(8, "little") + pa.compress(steps, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes | None, kind: str) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, kind)
+    steps = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(steps, kind))
+
+
 def _by_row(row: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(row, kind="stable")
     row, at = row[order], at[order]
@@ -165,7 +178,8 @@ def _settle(held: list[dict], wide: bool) -> Iterator[tuple[int, np.ndarray]]:
 
     ask, told = joined("name", "<u8"), joined("known", "<u8")
     a = np.concatenate([ask, told])
-    row, at = joined("rows", "<i8"), joined("at", "<u4")
+    row, at = (np.concatenate([_unpack(x[key], "<i8") for x in held]) if held else np.zeros(0, "<i8") for key in ("rows", "at"))
+    at = at.astype("<u4")
     if wide:
         b = np.concatenate([joined("name_b", "<u4"), joined("known_b", "<u4")])
         order = np.lexsort((b, a))
@@ -298,8 +312,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # copied texts ask like others here, so that step 2 names their strings for the rest
     sampled = texts.select("row", "text", F.lit(False).alias("whole"), F.lit(None).cast("array<int>").alias("marks"))
     first = _repeated(sampled, samples, depth, False, buckets)
-    marked = first.groupBy("row").agg(F.collect_list("at").alias("marks"))
-    tied = stable(texts.join(marked, "row"))
+    marked = stable(first.groupBy("row").agg(F.collect_list("at").alias("marks")))
+    # texts without a tie are left out before the shuffle, as long as the ids of the others fit a broadcast
+    ids = small_side(marked.select("row"), max_rows=1_000_000)
+    tied = stable(texts.join(ids, "row", "left_semi").join(marked, "row"))
     places = stable(tied.select("row", "text", "marks").mapInArrow(around, "name long, seen long, row long, at int"))
     # map-side minima and maxima: a name that a third of all texts share still sends one row per task
     mixed = places.groupBy("name").agg(F.min("seen").alias("low"), F.max("seen").alias("high")).where("low < high").select(F.col("name").alias("mixed"))
