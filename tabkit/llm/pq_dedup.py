@@ -96,13 +96,13 @@ class Index:
         return who[cosine >= least], member[cosine >= least]
 
 
-def _index_rows(index: Index, dims: int):
+def _index_rows(index: Index, dims: int, kind: str):
     """Rows of the lists: each vector once as member of its own, once as query of every list it asks."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cid, times = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            raw = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dims)
+            raw = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), kind).reshape(-1, dims)
             for i in range(0, len(cid), 1024):
                 x = unit(raw[i : i + 1024])
                 own, codes, error, asks = index.encode(x)
@@ -112,7 +112,7 @@ def _index_rows(index: Index, dims: int):
                 who = np.concatenate([np.arange(len(x)), back])
                 query = np.arange(len(who)) >= len(x)
                 none = [None] * len(back)
-                content = [x[k].tobytes() for k in range(len(x))]
+                content = [row.tobytes() for row in raw[i : i + 1024]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(cell, pa.int32()), pa.array(query), pa.array(cid[i : i + 1024][who], pa.int64()),
@@ -125,7 +125,7 @@ def _index_rows(index: Index, dims: int):
     return mapped, "cell int, query boolean, cid long, x binary, times long, codes binary, error double"
 
 
-def _search(index: Index, dims: int, least: float):
+def _search(index: Index, dims: int, least: float, kind: str):
     """Queries stream past one block at a time; per query and block: weight of its links, and a root it is joined to."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def _search(index: Index, dims: int, least: float):
                 if members is None and waiting:
                     held = pa.Table.from_batches(waiting)
                     stacked = lambda name, kind, t=held: np.frombuffer(b"".join(t.column(name).to_pylist()), kind).reshape(t.num_rows, -1)
-                    members = held.column("cid").to_numpy(), stacked("x", np.float64), held.column("times").to_numpy(), stacked("codes", np.uint8), held.column("error").to_numpy()
+                    members = held.column("cid").to_numpy(), unit(stacked("x", kind)), held.column("times").to_numpy(), stacked("codes", np.uint8), held.column("error").to_numpy()
                     waiting = []
                 if members is None:
                     continue
@@ -153,7 +153,7 @@ def _search(index: Index, dims: int, least: float):
                 for i in range(0, part.num_rows, 1024):
                     some = part.slice(i, 1024)
                     ids = some.column(some.schema.get_field_index("cid")).to_numpy()
-                    asked = np.frombuffer(b"".join(some.column(some.schema.get_field_index("x")).to_pylist()), np.float64).reshape(-1, dims)
+                    asked = unit(np.frombuffer(b"".join(some.column(some.schema.get_field_index("x")).to_pylist()), kind).reshape(-1, dims))
                     who, member = index.links(int(cells[low]), asked, codes, error, x, least)
                     other = ids[who] != cid[member]
                     who, member = who[other], member[other]
@@ -186,6 +186,8 @@ def near_vectors(rows: DataFrame, least: float = LEAST, reach: float = REACH, tr
     grouped = judged.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"))
     folded = stable(grouped.withColumn("cid", F.monotonically_increasing_id()).withColumn("dims", F.size("embedding")))
     sizes = {r["dims"]: r["count"] for r in folded.groupBy("dims").count().collect()}
+    # vectors travel as given; floats take half the room of doubles
+    kind = "<f4" if dict(folded.dtypes)["embedding"] == "array<float>" else "<f8"
     found = None
     for dims, n in sorted(sizes.items()):
         same = folded.where(F.col("dims") == dims)
@@ -194,14 +196,14 @@ def near_vectors(rows: DataFrame, least: float = LEAST, reach: float = REACH, tr
         drawn = same.where(F.shiftrightunsigned(F.xxhash64("embedding"), 11) / F.lit(float(1 << 53)) <= share).select("embedding").limit(2 * train_rows).toPandas()
         sample = unit(np.array(drawn["embedding"].tolist() or [[1.0] * dims]))
         index = Index(sample, lists, least, reach)
-        mapped, schema = _index_rows(index, dims)
+        mapped, schema = _index_rows(index, dims, kind)
         entries = stable(same.select("cid", "embedding", "times").mapInArrow(mapped, schema))
         member = entries.where("not query")
         blocks = member.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
         spread = entries.join(F.broadcast(blocks), "cell")  # one row per list, of which there are MOST_LISTS at most
         own = F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         placed = spread.withColumn("block", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
-        search, out = _search(index, dims, least)
+        search, out = _search(index, dims, least, kind)
         parts = parts_for(entries.count(), 50_000)
         dealt = placed.drop("blocks").repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "query")
         part = dealt.mapInArrow(search, out)
