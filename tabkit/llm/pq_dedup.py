@@ -10,8 +10,10 @@ only with the tail probability of z, so z = 3.5 is the default and the tests
 measure recall against brute force. In a list, distances come from
 per-query tables of subspace distances to the codes. A code's own error is
 stored with it and added to the limit, so this step loses no link; what passes
-is compared exactly. Lists are cut into blocks of bounded size that queries
-stream past, and only counts and spanning forests of links leave a task.
+is compared exactly. Of two different lists only one asks the other, and a link
+counts for both ends, so that no pair is compared twice. Vectors travel in
+packs, one per batch and list. Lists are cut into blocks of bounded size that
+queries stream past, and only counts and spanning forests of links leave a task.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ LEAST = 0.9
 TRAIN_ROWS = 20_000
 SUBSPACES, CODES = 8, 64
 BLOCK_ROWS = 1024
+#: Bytes of the vectors of one list that travel together at most, and queries compared at a time, about.
+PACK_BYTES, QUERY_ROWS = 8 << 10, 1024
+MEMBER, OWN, ACROSS = 0, 1, 2
 REACH = 3.5
 MOST_LISTS = 8192
 ROUNDS = 8
@@ -43,9 +48,18 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of every x to every centre."""
+    apart = x @ centres.T
+    apart *= -2
+    apart += np.einsum("ij,ij->i", x, x)[:, None]
+    apart += np.einsum("ij,ij->i", centres, centres)
+    return np.maximum(apart, 0, out=apart)
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the nearest centre, squared distances to all)."""
-    apart = np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1), 0)
+    apart = squared(x, centres)
     return apart.argmin(1), apart
 
 
@@ -71,99 +85,108 @@ class Index:
         rest = sample - self.centres[own]
         self.edges = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
         self.books = [kmeans(rest[:, a:b], codes, rng) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
-        self.apart = np.sqrt(nearest(self.centres, self.centres)[1])
+        self.slim = [book.astype(np.float32) for book in self.books]
+        self.apart = np.sqrt(squared(self.centres, self.centres))
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per vector: its list, its codes, the error of the code, and a flag for every other list it asks.
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Per vector: its list, its codes, the error of the code, and the lists to ask, its own first."""
+        Of two lists the lower asks if their numbers add up to an odd one, else
+        the higher; each so asks about half of its neighbours.
+        """
         own, distance = nearest(x, self.centres)
         rest = x - self.centres[own]
         parts = list(zip(self.edges[:-1], self.edges[1:], self.books, strict=True))
         codes = np.stack([nearest(rest[:, a:b], book)[0] for a, b, book in parts], axis=1)
         coded = np.concatenate([book[codes[:, i]] for i, (_, _, book) in enumerate(parts)], axis=1)
         plane = (distance - distance[np.arange(len(x)), own][:, None]) / (2 * np.maximum(self.apart[own], 1e-12))
-        plane[np.arange(len(x)), own] = -1
-        return own, codes.astype(np.uint8), np.linalg.norm(rest - coded, axis=1), [np.flatnonzero(row <= self.slack) for row in plane]
+        lists = np.arange(len(self.centres))
+        asks = (plane <= self.slack) & (((own[:, None] + lists) % 2 == 1) == (own[:, None] < lists))
+        asks[np.arange(len(x)), own] = False
+        return own, codes.astype(np.uint8), np.linalg.norm(rest - coded, axis=1), asks
 
     def links(self, cell: int, asked: np.ndarray, codes: np.ndarray, error: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (asked, member) of one list with cosine >= least."""
-        rest = asked - self.centres[cell]
+        rest = (asked - self.centres[cell]).astype(np.float32)
         total = np.zeros((len(asked), len(codes)), np.float32)
-        for i, (a, b, book) in enumerate(zip(self.edges[:-1], self.edges[1:], self.books, strict=True)):
-            table = nearest(rest[:, a:b], book)[1].astype(np.float32)
-            total += table[:, codes[:, i]]
+        for i, (a, b, book) in enumerate(zip(self.edges[:-1], self.edges[1:], self.slim, strict=True)):
+            total += squared(rest[:, a:b], book).take(codes[:, i], axis=1)
         who, member = np.nonzero(total <= ((self.far + error) ** 2 + 1e-4).astype(np.float32))
         cosine = np.einsum("ij,ij->i", asked[who], x[member])
         return who[cosine >= least], member[cosine >= least]
 
 
 def _index_rows(index: Index, dims: int, kind: str):
-    """Rows of the lists: each vector once as member of its own, once as query of every list it asks."""
+    """Packs for the lists: each vector once as a member and a query of its own, once as a query of every list it asks."""
+
+    def packs(cell: np.ndarray, who: np.ndarray, what: int, columns: list[np.ndarray]) -> Iterator[list]:
+        """Packs of vectors of one list; `cell` rises, `who` are rows of `columns`."""
+        most = max(1, PACK_BYTES // columns[1][:1].nbytes)
+        edges = [0, *np.flatnonzero(np.diff(cell)) + 1, len(cell)] if len(cell) else [0]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            for start in range(low, high, most):
+                some = who[start : min(high, start + most)]
+                content = [column[some].tobytes() for column in columns]
+                yield [int(cell[low]), what, len(some), *content, *[None] * (5 - len(content))]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid, times = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            cid, times = (batch.column(i).to_numpy().astype("<i8") for i in (0, 2))
             raw = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), kind).reshape(-1, dims)
             for i in range(0, len(cid), 1024):
-                x = unit(raw[i : i + 1024])
-                own, codes, error, asks = index.encode(x)
-                many = [len(a) for a in asks]
-                back = np.repeat(np.arange(len(x)), many)
-                cell = np.concatenate([own, *asks])
-                who = np.concatenate([np.arange(len(x)), back])
-                query = np.arange(len(who)) >= len(x)
-                none = [None] * len(back)
-                content = [row.tobytes() for row in raw[i : i + 1024]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(cell, pa.int32()), pa.array(query), pa.array(cid[i : i + 1024][who], pa.int64()),
-                        pa.array([content[k] for k in who], pa.binary()), pa.array(times[i : i + 1024][who], pa.int64()),
-                        pa.array([codes[k].tobytes() for k in range(len(x))] + none, pa.binary()), pa.array([*error, *none], pa.float64()),
-                    ],
-                    names=["cell", "query", "cid", "x", "times", "codes", "error"],
-                )
-
-    return mapped, "cell int, query boolean, cid long, x binary, times long, codes binary, error double"
+                own, codes, error, asks = index.encode(unit(raw[i : i + 1024]))
+                columns = [cid[i : i + 1024], raw[i : i + 1024], times[i : i + 1024], codes, error]
+                order = np.argsort(own, kind="stable")
+                rows = [*packs(own[order], order, MEMBER, columns), *packs(own[order], order, OWN, columns[:3])]
+                rows += packs(*np.nonzero(asks.T), ACROSS, columns[:3])
+                kinds = [pa.int32()] * 3 + [pa.binary()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(column, k) for column, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["cell", "kind", "size", "cid", "x", "times", "codes", "error"])
+
+    return mapped, "cell int, kind int, size int, cid binary, x binary, times binary, codes binary, error binary"
 
 
 def _search(index: Index, dims: int, least: float, kind: str):
     """Queries stream past one block at a time; per query and block: weight of its links, and a root it is joined to."""
 
+    def opened(packs: list[dict], name: str, form: str) -> np.ndarray:
+        return np.frombuffer(b"".join(pack[name] for pack in packs), form)
+
+    def vectors(packs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return opened(packs, "cid", "<i8"), unit(opened(packs, "x", kind).reshape(-1, dims)), opened(packs, "times", "<i8")
+
+    def compared(cell: int, what: int, members: tuple, packs: list[dict]) -> pa.RecordBatch:
+        cid, x, times, codes, error = members
+        ids, asked, weights = vectors(packs)
+        who, member = index.links(cell, asked, codes, error, x, least)
+        other = ids[who] != cid[member]
+        who, member = who[other], member[other]
+        nodes, local = np.unique(np.concatenate([ids[who], cid[member]]), return_inverse=True)
+        a, b = local[: len(who)], local[len(who) :]
+        links = np.bincount(a, weights=times[member], minlength=len(nodes))
+        if what == ACROSS:  # the other list doesn't ask back
+            links += np.bincount(b, weights=weights[who], minlength=len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(links.astype(np.int64)), pa.array(nodes[forest(a, b, len(nodes))], pa.int64())], names=["cid", "links", "root"])
+
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, members = None, None
-        waiting: list = []
+        block, members, held, asking = None, None, [], []
         for batch in batches:
-            cells, blocks, query = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("cell", "block", "query"))
-            where = cells.astype(np.int64) << 32 | blocks
-            turns = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (query[1:] != query[:-1])]))
-            for low, high in zip(turns, np.append(turns[1:], len(where)), strict=True):
-                part = batch.slice(low, high - low)
-                if where[low] != block:
-                    block, members, waiting = where[low], None, []
-                if not query[low]:
-                    waiting.append(part)
-                    continue
-                if members is None and waiting:
-                    held = pa.Table.from_batches(waiting)
-                    stacked = lambda name, kind, t=held: np.frombuffer(b"".join(t.column(name).to_pylist()), kind).reshape(t.num_rows, -1)
-                    members = held.column("cid").to_numpy(), unit(stacked("x", kind)), held.column("times").to_numpy(), stacked("codes", np.uint8), held.column("error").to_numpy()
-                    waiting = []
-                if members is None:
+            for pack in batch.to_pylist():
+                where = pack["cell"], pack["block"]
+                if asking and (where != block or pack["kind"] != asking[0]["kind"] or sum(p["size"] for p in asking) >= QUERY_ROWS):
+                    yield compared(block[0], asking[0]["kind"], members, asking)
+                    asking = []
+                if where != block:
+                    block, members, held = where, None, []
+                if pack["kind"] == MEMBER:
+                    held.append(pack)
                     continue
-                cid, x, times, codes, error = members
-                for i in range(0, part.num_rows, 1024):
-                    some = part.slice(i, 1024)
-                    ids = some.column(some.schema.get_field_index("cid")).to_numpy()
-                    asked = unit(np.frombuffer(b"".join(some.column(some.schema.get_field_index("x")).to_pylist()), kind).reshape(-1, dims))
-                    who, member = index.links(int(cells[low]), asked, codes, error, x, least)
-                    other = ids[who] != cid[member]
-                    who, member = who[other], member[other]
-                    nodes, local = np.unique(np.concatenate([ids, cid]), return_inverse=True)
-                    a, b = local[: len(ids)][who], local[len(ids) :][member]
-                    label = forest(a, b, len(nodes))
-                    links = np.bincount(who, weights=times[member], minlength=len(ids)).astype(np.int64)
-                    counts = dict(zip(ids.tolist(), links.tolist(), strict=True))
-                    touched = np.unique(np.concatenate([a, b]))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[touched], pa.int64()), pa.array([counts.get(n, 0) for n in nodes[touched].tolist()], pa.int64()), pa.array(nodes[label[touched]], pa.int64())], names=["cid", "links", "root"])
+                if members is None and held:
+                    members = *vectors(held), opened(held, "codes", np.uint8).reshape(-1, len(index.books)), opened(held, "error", "<f8")
+                    held = []
+                if members is not None:
+                    asking.append(pack)
+        if asking:
+            yield compared(block[0], asking[0]["kind"], members, asking)
 
     return mapped, "cid long, links long, root long"
 
@@ -198,14 +221,14 @@ def near_vectors(rows: DataFrame, least: float = LEAST, reach: float = REACH, tr
         index = Index(sample, lists, least, reach)
         mapped, schema = _index_rows(index, dims, kind)
         entries = stable(same.select("cid", "embedding", "times").mapInArrow(mapped, schema))
-        member = entries.where("not query")
-        blocks = member.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+        member = entries.where(F.col("kind") == MEMBER)
+        blocks = member.groupBy("cell").agg(F.ceil(F.sum("size") / block_rows).cast("int").alias("blocks"))
         spread = entries.join(F.broadcast(blocks), "cell")  # one row per list, of which there are MOST_LISTS at most
         own = F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        placed = spread.withColumn("block", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
+        placed = spread.withColumn("block", F.explode(F.when(F.col("kind") == MEMBER, own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
         search, out = _search(index, dims, least, kind)
-        parts = parts_for(entries.count(), 50_000)
-        dealt = placed.drop("blocks").repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "query")
+        parts = parts_for(entries.agg(F.sum("size")).first()[0], 50_000)
+        dealt = placed.drop("blocks").repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "kind")
         part = dealt.mapInArrow(search, out)
         found = part if found is None else found.union(part)
     if found is None:
