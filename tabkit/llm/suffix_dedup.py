@@ -321,10 +321,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     mixed = places.groupBy("name").agg(F.min("seen").alias("low"), F.max("seen").alias("high")).where("low < high").select(F.col("name").alias("mixed"))
     judged = places.join(mixed, F.col("name") == F.col("mixed"), "left")
     of_text = judged.groupBy("row").agg(F.collect_list(F.when(F.col("mixed").isNotNull(), F.col("at"))).alias("open"), F.collect_list(F.when(F.col("mixed").isNull(), F.col("at"))).alias("sure"))
-    judged_texts = stable(tied.select("row", "text", "whole").join(of_text, "row"))
-    asked = judged_texts.where(F.size("open") > 0)
-    left = asked.agg(F.sum(F.size("open"))).first()[0] or 0
-    packed = asked.select("row", "text", "whole", F.col("open").alias("marks"))
+    of_text = stable(of_text)
+    left = of_text.agg(F.sum(F.size("open"))).first()[0] or 0
+    # whole texts move once for the strings still open and once for the cut, and are written only once
+    packed = tied.select("row", "text", "whole").join(of_text.where(F.size("open") > 0).select("row", F.col("open").alias("marks")), "row")
     second = _repeated(packed, before, length, True, parts_for(int(left * v / len(members)), BUCKET_NAMES))
     starts = second.groupBy("row").agg(F.collect_list("at").alias("starts"))
 
@@ -343,7 +343,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["row", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    partly = judged_texts.where("not whole").select("row", "text", "sure").join(starts, "row", "left").mapInArrow(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = of_text.select("row", "sure").join(starts, "row", "left")
+    partly = tied.where("not whole").select("row", "text").join(found, "row").select("row", "text", "sure", "starts").mapInArrow(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     empty = F.lit("").cast("binary")
     gone = copies.join(slim, "row").select("row", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(empty, 256).alias("kept_sha256"), empty.alias("kept"))
     results = gone.union(partly).select(F.col("row").alias("__of"), *[F.col(c).alias(f"__{c}") for c in gone.columns[1:]])
