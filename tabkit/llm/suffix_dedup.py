@@ -9,13 +9,15 @@ least length - v + 1 bytes, the *depth*.
 1. Samples. Every sample position gets the name of its first `depth` bytes, and
    names are dealt to buckets. Each task sorts the names of its buckets, one
    block of suffixes at a time, so memory is bounded by the bucket, whatever
-   the corpus. A position whose name occurs again is kept.
+   the corpus. A position whose name occurs again is kept. Names travel as 48
+   bits here: a false tie costs a comparison in step 2 and decides nothing.
 2. Long ties. Two positions that tie on `depth` bytes are compared in their
    surroundings: all that a repeated string around either could touch. Where
-   every position of one name has the same surroundings, all strings around
-   them repeat, and nothing more is asked. Only around names with more than one
-   kind of surroundings, at the edges of repeated runs, each string is named by
-   all its `length` bytes (96 bits of hash) and sorted in buckets as before.
+   surroundings recur, all strings around them repeat, and nothing more is
+   asked. Where a name has more than one kind of surroundings, at the edges of
+   repeated runs, one position of each kind stands for it: each string around
+   that one is named by all its `length` bytes (96 bits of hash) and sorted in
+   buckets as before.
 
 Copies of whole documents are folded first: if long enough they are repeated
 throughout, and one of them stands for all. Names repeated within a batch of
@@ -26,6 +28,7 @@ of all documents share costs one entry per batch, not one per occurrence.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.llm.common import numbered, parts_for
-from tabkit.session import small_side, stable
+from tabkit.session import run_folder, small_side, stable
 
 LENGTH = 400
 FIELD = 4
 #: Names sorted at a time in one bucket, about.
 BUCKET_NAMES = 1_000_000
 SLICE_BYTES = 4 << 20
+#: Text held in one bucket of tied texts, about, and the engine's own limit of their number.
+TEXT_BYTES = 32 << 20
+MAX_BUCKETS = 100_000
 
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -129,6 +135,7 @@ class _Batch:
             for r, places in _by_row(row[settled], at[settled]):
                 self._put(out, int(r) % self.buckets, row=int(r), at=places.tobytes())
             bucket = (a[first] % np.uint64(self.buckets)).astype(np.int64)
+            shown = (lambda x: x.tobytes()) if self.wide else _short
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
             for k in np.flatnonzero(np.diff(edges)):
@@ -137,7 +144,7 @@ class _Batch:
                 # in text order, equal rows and rising positions compress well
                 asking = asking[np.lexsort((at[asking], row[asking]))]
                 wide = {"known_b": b[told].tobytes(), "name_b": b[asking].tobytes()} if self.wide else {}
-                self._put(out, int(k), known=a[told].tobytes(), name=a[asking].tobytes(), rows=_pack(row[asking], "<i8"), at=_pack(at[asking], "<i8"), **wide)
+                self._put(out, int(k), known=shown(a[told]), name=shown(a[asking]), rows=_pack(row[asking], "<i8"), at=_pack(at[asking], "<i8"), **wide)
         self.found, self.size = [], 0
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
@@ -148,6 +155,11 @@ class _Batch:
             column.append(bucket if key == "bucket" else values.get(key))
 
 
+def _short(name: np.ndarray) -> bytes:
+    """The upper 48 bits of each name."""
+    return name.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
 def _pack(values: np.ndarray, kind: str) -> bytes:
     """Numbers in their order as compressed steps: equal rows and rising positions take little room."""
     steps = np.diff(values.astype(kind), prepend=np.zeros(1, kind)).tobytes()
@@ -176,7 +188,15 @@ def _settle(held: list[dict], wide: bool) -> Iterator[tuple[int, np.ndarray]]:
     def joined(key: str, kind: str) -> np.ndarray:
         return np.concatenate([np.frombuffer(x[key] or b"", kind) for x in held]) if held else np.array([], kind)
 
-    ask, told = joined("name", "<u8"), joined("known", "<u8")
+    def named(key: str) -> np.ndarray:
+        if wide:
+            return joined(key, "<u8")
+        short = joined(key, np.uint8).reshape(-1, 6)
+        out = np.zeros((len(short), 8), np.uint8)
+        out[:, 2:] = short
+        return out.view("<u8").ravel()
+
+    ask, told = named("name"), named("known")
     a = np.concatenate([ask, told])
     row, at = (np.concatenate([_unpack(x[key], "<i8") for x in held]) if held else np.zeros(0, "<i8") for key in ("rows", "at"))
     at = at.astype("<u4")
@@ -241,6 +261,16 @@ def _repeated(texts: DataFrame, chosen, length: int, wide: bool, buckets: int) -
     return named.repartition(buckets, "bucket").mapInArrow(settle, "row long, at binary")
 
 
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    """`rows` written to the shared folder in buckets of column row, so that joins on it don't move them again.
+
+    Only a table of the catalog keeps its buckets; it lies outside the warehouse and is known by a name of its own.
+    """
+    spark, name = rows.sparkSession, f"tabkit_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "row").option("path", f"{run_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def _places(parts: list | None) -> np.ndarray:
     """Positions, packed by the tasks that found them or as plain numbers."""
     if parts and not isinstance(parts[0], bytes):
@@ -315,15 +345,19 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marked = stable(first.groupBy("row").agg(F.collect_list("at").alias("marks")))
     # texts without a tie are left out before the shuffle, as long as the ids of the others fit a broadcast
     ids = small_side(marked.select("row"), max_rows=1_000_000)
-    tied = stable(texts.join(ids, "row", "left_semi").join(marked, "row"))
+    n_buckets = min(parts_for(size, TEXT_BYTES), MAX_BUCKETS)
+    tied = _bucketed(texts.join(ids, "row", "left_semi").repartition(n_buckets, "row").join(marked, "row"), n_buckets)
     places = stable(tied.select("row", "text", "marks").mapInArrow(around, "name long, seen long, row long, at int"))
-    # map-side minima and maxima: a name that a third of all texts share still sends one row per task
-    mixed = places.groupBy("name").agg(F.min("seen").alias("low"), F.max("seen").alias("high")).where("low < high").select(F.col("name").alias("mixed"))
-    judged = places.join(mixed, F.col("name") == F.col("mixed"), "left")
-    of_text = judged.groupBy("row").agg(F.collect_list(F.when(F.col("mixed").isNotNull(), F.col("at"))).alias("open"), F.collect_list(F.when(F.col("mixed").isNull(), F.col("at"))).alias("sure"))
+    # folded on the map side: surroundings that a third of all texts share still send one row per task
+    here = F.struct("row", "at")
+    kinds = stable(places.groupBy("name", "seen").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")))
+    mixed = kinds.groupBy("name").count().where("count > 1").select("name")
+    open_at = kinds.join(mixed, "name", "left_semi").select("first.row", F.col("first.at").alias("open"), F.lit(None).cast("int").alias("sure"))
+    sure_at = places.join(kinds.where("n > 1").select("name", "seen"), ["name", "seen"], "left_semi").select("row", F.lit(None).cast("int").alias("open"), F.col("at").alias("sure"))
+    of_text = open_at.union(sure_at).groupBy("row").agg(F.collect_list("open").alias("open"), F.collect_list("sure").alias("sure"))
     of_text = stable(of_text)
     left = of_text.agg(F.sum(F.size("open"))).first()[0] or 0
-    # whole texts move once for the strings still open and once for the cut, and are written only once
+    # the bucketed texts stay where they are, for the strings still open and for the cut
     packed = tied.select("row", "text", "whole").join(of_text.where(F.size("open") > 0).select("row", F.col("open").alias("marks")), "row")
     second = _repeated(packed, before, length, True, parts_for(int(left * v / len(members)), BUCKET_NAMES))
     starts = second.groupBy("row").agg(F.collect_list("at").alias("starts"))
