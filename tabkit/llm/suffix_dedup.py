@@ -182,8 +182,8 @@ def _by_row(row: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]
             yield row[low], at[low:high]
 
 
-def _settle(held: list[dict], wide: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, positions) whose names occur more than once in the buckets of one task."""
+def _settle(held: list[dict], wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and positions whose names occur more than once in the buckets of one task."""
 
     def joined(key: str, kind: str) -> np.ndarray:
         return np.concatenate([np.frombuffer(x[key] or b"", kind) for x in held]) if held else np.array([], kind)
@@ -215,14 +215,36 @@ def _settle(held: list[dict], wide: bool) -> Iterator[tuple[int, np.ndarray]]:
     if len(first):
         again |= np.logical_or.reduceat(is_told, first)
     answer = order[again[np.cumsum(new) - 1] & ~is_told] if len(a) else np.array([], np.int64)
-    yield from _by_row(row[answer], at[answer])
+    return row[answer], at[answer]
+
+
+def _answers(found: list[tuple[np.ndarray, np.ndarray]], groups: int) -> pa.RecordBatch:
+    """Rows and positions, one record per group of texts."""
+    row, at = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]).astype(np.int64) for i in (0, 1))
+    group = row % groups
+    order = np.lexsort((at, row, group))
+    row, at, group = row[order], at[order], group[order]
+    edges = np.flatnonzero(np.diff(group, prepend=-1, append=groups))
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([int(group[i]) for i, _ in spans], pa.int32())] + [pa.array([_pack(x[i:j], "<i8") for i, j in spans], pa.binary()) for x in (row, at)],
+        names=["group", "rows", "at"],
+    )
+
+
+def _gather(answers: pa.Table) -> pa.Table:
+    """The packed positions of every text of one group."""
+    row, at = (np.concatenate([_unpack(x.as_py(), "<i8") for x in answers.column(c)]) for c in ("rows", "at"))
+    found = [(int(r), _pack(np.sort(places), "<i8")) for r, places in _by_row(row, at)]
+    return pa.table([pa.array([r for r, _ in found], pa.int64()), pa.array([a for _, a in found], pa.binary())], names=["row", "at"])
 
 
-def _repeated(texts: DataFrame, chosen, length: int, wide: bool, buckets: int) -> DataFrame:
+def _repeated(texts: DataFrame, chosen, length: int, wide: bool, buckets: int, groups: int) -> DataFrame:
     """(row, at): per text, the chosen positions whose `length` bytes occur more than once, as packed numbers.
 
     `texts` has row, text, whole (the text has copies) and marks; `chosen` gives
-    the positions to name from the number of bytes and the marks.
+    the positions to name from the number of bytes and the marks. Answers travel
+    by group of texts, so that their records don't multiply with the buckets.
     """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,26 +261,26 @@ def _repeated(texts: DataFrame, chosen, length: int, wide: bool, buckets: int) -
             yield work.rows()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, done_row, done_at = [], [], []
+        held, found, size = [], [], 0
         for batch in batches:
             for x in batch.to_pylist():
-                if x["row"] is not None:
-                    done_row.append(x["row"])
-                    done_at.append(x["at"])
-                else:
+                if x["row"] is None:
                     held.append(x)
-            if len(done_row) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(done_row, pa.int64()), pa.array(done_at, pa.binary())], names=["row", "at"])
-                done_row, done_at = [], []
-        for r, places in _settle(held, wide):
-            done_row.append(int(r))
-            done_at.append(places.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(done_row, pa.int64()), pa.array(done_at, pa.binary())], names=["row", "at"])
+                    continue
+                places = np.frombuffer(x["at"], "<u4")
+                found.append((np.full(len(places), x["row"], np.int64), places))
+                size += len(places)
+                if size > BUCKET_NAMES:
+                    yield _answers(found, groups)
+                    found, size = [], 0
+        found.append(_settle(held, wide))
+        yield _answers(found, groups)
 
     named = texts.select("row", "text", "whole", "marks").mapInArrow(
         name, "bucket int, row long, known binary, known_b binary, name binary, name_b binary, rows binary, at binary"
     )
-    return named.repartition(buckets, "bucket").mapInArrow(settle, "row long, at binary")
+    answers = named.repartition(buckets, "bucket").mapInArrow(settle, "group int, rows binary, at binary")
+    return answers.groupBy("group").applyInArrow(_gather, "row long, at binary")
 
 
 def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
@@ -267,7 +289,8 @@ def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
     Only a table of the catalog keeps its buckets; it lies outside the warehouse and is known by a name of its own.
     """
     spark, name = rows.sparkSession, f"tabkit_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "row").option("path", f"{run_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    writer = rows.write.bucketBy(buckets, "row").option("path", f"{run_folder(spark)}/{name}").option("compression", "zstd")
+    writer.format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -275,7 +298,7 @@ def _places(parts: list | None) -> np.ndarray:
     """Positions, packed by the tasks that found them or as plain numbers."""
     if parts and not isinstance(parts[0], bytes):
         return np.array(parts, np.int64)
-    return np.concatenate([np.frombuffer(p, "<u4") for p in parts or []] or [np.array([], "<u4")]).astype(np.int64)
+    return np.concatenate([_unpack(p, "<i8") for p in parts or []] or [np.zeros(0, np.int64)])
 
 
 def _cover(total: int, starts: np.ndarray, lengths: int | np.ndarray) -> np.ndarray:
@@ -341,11 +364,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = parts_for(int(size * len(members) / v), BUCKET_NAMES)
     # copied texts ask like others here, so that step 2 names their strings for the rest
     sampled = texts.select("row", "text", F.lit(False).alias("whole"), F.lit(None).cast("array<int>").alias("marks"))
-    first = _repeated(sampled, samples, depth, False, buckets)
-    marked = stable(first.groupBy("row").agg(F.collect_list("at").alias("marks")))
+    n_buckets = min(parts_for(size, TEXT_BYTES), MAX_BUCKETS)
+    first = _repeated(sampled, samples, depth, False, buckets, 4 * n_buckets)
+    marked = stable(first.select("row", F.array("at").alias("marks")))
     # texts without a tie are left out before the shuffle, as long as the ids of the others fit a broadcast
     ids = small_side(marked.select("row"), max_rows=1_000_000)
-    n_buckets = min(parts_for(size, TEXT_BYTES), MAX_BUCKETS)
     tied = _bucketed(texts.join(ids, "row", "left_semi").repartition(n_buckets, "row").join(marked, "row"), n_buckets)
     places = stable(tied.select("row", "text", "marks").mapInArrow(around, "name long, seen long, row long, at int"))
     # folded on the map side: surroundings that a third of all texts share still send one row per task
@@ -359,8 +382,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     left = of_text.agg(F.sum(F.size("open"))).first()[0] or 0
     # the bucketed texts stay where they are, for the strings still open and for the cut
     packed = tied.select("row", "text", "whole").join(of_text.where(F.size("open") > 0).select("row", F.col("open").alias("marks")), "row")
-    second = _repeated(packed, before, length, True, parts_for(int(left * v / len(members)), BUCKET_NAMES))
-    starts = second.groupBy("row").agg(F.collect_list("at").alias("starts"))
+    second = _repeated(packed, before, length, True, parts_for(int(left * v / len(members)), BUCKET_NAMES), 4 * n_buckets)
+    starts = second.select("row", F.array("at").alias("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
