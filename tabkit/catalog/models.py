@@ -43,7 +43,7 @@ def _label_pipeline(n_rows, C=1.0, max_iter=100):
 def multilabel_logit(spark, d):
     docs = _documents(spark, d)
     train = docs.filter("role = 'train'")
-    model = T.fit_kept(_label_pipeline(train.count(), max_iter=20), train)
+    model = T.fit_kept(_label_pipeline(train.count()), train)
     return Z.score_probabilities(model, docs.filter("role = 'test'"), ["doc_id"], LABELS)
 
 
@@ -119,12 +119,12 @@ def gbt_series(spark, d):
 
 
 def gbt_grid(spark, d):
-    weeks = _weekly(spark, d).filter("role = 'train'")
-    train = L.contiguous_folds(weeks, ["week", "priority"], 2)
+    weeks = _weekly(spark, d)
+    train = L.contiguous_folds(weeks.filter("role = 'train'"), ["week", "priority"], 2)
     stages = _boosted(FEATURES, rounds=5).getStages()
     maps = T.param_maps(stages[-1], T.grid(stepSize=[0.05, 0.1], maxDepth=[2, 3]))
     search = T.grid_search(train, stages, maps, RegressionEvaluator(labelCol="total", metricName="r2"), "fold", 2)
-    return Z.score_counts(search.bestModel, weeks, ["priority", "week", "total"])
+    return Z.score_counts(search.bestModel, weeks.filter("role = 'test'"), ["priority", "week", "total"])
 
 
 def per_entity(spark, d):
@@ -165,13 +165,13 @@ PRICE_FEATURES = ["c_acctbal", "c_nationkey", "constant", "line_sum", "n_lines"]
 def perm_importance(spark, d):
     rows = _price_rows(spark, d)
     model = _price_model(rows, PRICE_FEATURES)
-    return X.permutation_importance(model, rows, PRICE_FEATURES, "o_totalprice", "o_orderkey", repeats=3)
+    return X.permutation_importance(model, rows, PRICE_FEATURES, "o_totalprice", "o_orderkey")
 
 
 def recursive_elim(spark, d):
     rows = _price_rows(spark, d)
     model, kept, _ = X.eliminate_features(
-        rows, PRICE_FEATURES, "o_totalprice", "o_orderkey", _price_model, repeats=2
+        rows, PRICE_FEATURES, "o_totalprice", "o_orderkey", _price_model
     )
     return E.rmse_r2(model.transform(rows), "o_totalprice", "prediction").withColumn("features", F.lit(",".join(kept)))
 

@@ -86,16 +86,16 @@ def interpolate_linear(
     Nulls before the first known value stay; those after the last one take it.
     """
     rows = number_rows(df, keys, order, max_rows=max_rows)
-    for c in columns:
-        x = F.col(rows.pos)
-        value = F.col(c).cast("double")
-        point = F.when(value.isNotNull(), F.struct(x.alias("x"), value.alias("y")))
-        rows = nearest_values(rows, {"_prev": point}, {"_next": point})
-        p, n = F.col("_prev"), F.col("_next")
+    x, values = F.col(rows.pos), {c: F.col(c).cast("double") for c in columns}
+    points = {c: F.when(v.isNotNull(), F.struct(x.alias("x"), v.alias("y"))) for c, v in values.items()}
+    # all columns share one pair of sorts
+    rows = nearest_values(rows, {f"_prev_{c}": p for c, p in points.items()}, {f"_next_{c}": p for c, p in points.items()})
+    filled = {}
+    for c, value in values.items():
+        p, n = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
         line = p["y"] + (n["y"] - p["y"]) * (x - p["x"]) / (n["x"] - p["x"])
-        filled = F.when(value.isNotNull(), value).when(n.isNull(), p["y"]).otherwise(line)
-        rows = rows.replace(rows.df.withColumn(c, filled).drop("_prev", "_next"))
-    return rows.df.drop(rows.pos)
+        filled[c] = F.when(value.isNotNull(), value).when(n.isNull(), p["y"]).otherwise(line)
+    return rows.df.withColumns(filled).drop(rows.pos, *[f"{side}{c}" for c in columns for side in ("_prev_", "_next_")])
 
 
 def interpolate_cubic(
