@@ -190,6 +190,16 @@ def links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
     return met.repartition(parts, "shard").mapInArrow(mapped, "a long, b long")
 
 
+def rooted(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row per row of `docs` (doc_id, text, and any others): the columns but the text, fp, component_id, and __root, the component's own name."""
+    printed = stable(fingerprints(docs.drop("fp", "component_id")))
+    folded = stable(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    member = components(links(folded.select("fp"), radius))
+    named = folded.join(member, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("__root"))
+    least = named.groupBy("__root").agg(F.min("least").alias("component_id"))
+    return printed.join(named.join(least, "__root").select("fp", "component_id", "__root"), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """One row per row of `docs` (doc_id, text, and any others, which pass): fp and component_id.
 
@@ -200,26 +210,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
     """
     if words != WORDS:
         raise ValueError(f"fingerprints take {WORDS} words")
-    printed = stable(fingerprints(docs.drop("fp", "component_id")))
-    folded = stable(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    member = components(links(folded.select("fp"), radius))
-    rooted = folded.join(member, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return printed.join(named, "fp")
+    return rooted(docs, radius).drop("__root")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` that stay: of each component the one with the smallest doc_id (of repeated ids, one row).
 
+    Ids need not be unique: components are told apart by their fingerprints.
     Null ids come last, and stand for a component only if it has no other id.
     Columns are those of `docs`; __row is reserved.
     """
     whole = numbered(docs)
-    found = near_duplicates(whole.select("doc_id", "text", "__row"), radius)
+    found = rooted(whole.select("doc_id", "text", "__row"), radius)
+    return best_rows(whole, found)
+
+
+def best_rows(whole: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `whole` that stand for their `__root` in `found` (doc_id, __row, __root), without __row."""
     # the component's rows fold on the map side, so a hot group costs no more than any other
-    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("nameless")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("best")
-    )
+    best = found.groupBy("__root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("best"))
     kept = best.select(F.col("best.__row").alias("__kept"))
-    return whole.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return whole.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")

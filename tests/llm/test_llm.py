@@ -127,6 +127,21 @@ def test_bk_trees_lose_no_link(spark, shard_rows):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+def test_repeated_and_null_ids_keep_one_row_a_component(spark):
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    unlike = [prose(60) for _ in range(6)]
+    while True:  # a near copy within the radius
+        base = prose(400).split()
+        copy = [*base[:-1], "other"]
+        apart = (simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(" ".join(copy))).bit_count()
+        if 0 < apart <= 4:
+            break
+    rows = [(-1, t, "en", "a", 0) for t in unlike] + [(None, " ".join(base), "en", "a", 0), (None, " ".join(copy), "en", "a", 0)]
+    kept = [r["text"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(kept) == sorted([*unlike, next(t for t in kept if t not in unlike)]) and len(kept) == 7
+
+
 def test_components_of_a_long_path(spark):
     path = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["component"] for r in common.components(path).collect()} == {0}
