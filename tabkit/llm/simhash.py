@@ -38,21 +38,26 @@ VISITS_AT_ONCE = 2_000_000
 ROW_COST, VISIT_COST = 10e-6, 0.3e-6
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The fingerprint of one text; no words (null, empty, blank): 0."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the runs of `words` words of one text, in order, repeats included; a shorter text is one run."""
     import xxhash
 
     # bytes.lower and bytes.split know A-Z and the six ASCII spaces only
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.array([], np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     last = max(0, len(parts) - words)
     starts = [0, *(ends[:last] + 1).tolist()]
     stops = ends[min(words, len(parts)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, last + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, last + 1)
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The fingerprint of one text; no words (null, empty, blank): 0."""
+    hashes = shingles(text, words)
     count = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         count += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabkit.llm import common, decontaminate, language_id, line_dedup, mixing, pq_dedup, queries, sharding, simhash, suffix_dedup, token_counts, toxicity
+from tabkit.llm import common, decontaminate, language_id, line_dedup, mixing, near_copies, pq_dedup, queries, sharding, simhash, suffix_dedup, token_counts, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the given tables")
@@ -142,6 +142,43 @@ def test_repeated_and_null_ids_keep_one_row_a_component(spark):
     assert sorted(kept) == sorted([*unlike, next(t for t in kept if t not in unlike)]) and len(kept) == 7
 
 
+def five_word_jaccard(a, b):
+    cut = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+
+@pytest.mark.parametrize("per_entry", [0, 4])
+def test_pipeline_stage_links_all_and_only_near_copies(spark, monkeypatch, per_entry):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "PAIRS_PER_ENTRY", per_entry)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(150)]
+        texts.append(" ".join(base))
+        for changed in (1, 2, 3, 4, 6):
+            copy = list(base)
+            for at in rng.sample(range(150), changed):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    group = {i: i for i in range(len(texts))}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i // 6 * 6, i):
+            if five_word_jaccard(texts[i], texts[j]) >= 0.8:
+                group[max(root(i), root(j))] = min(root(i), root(j))
+    want = {i for i in group if root(i) == i}
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents(spark, texts), FOLDER).collect()}
+    assert got == want and 60 < len(want) < 300
+
+
 def test_components_of_a_long_path(spark):
     path = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["component"] for r in common.components(path).collect()} == {0}
