@@ -4,10 +4,13 @@ Equal vectors are folded first. A bounded sample trains the coarse centroids
 and the subspace codebooks; every vector is indexed. A vector y that links with
 x can only lie in another list c if it lies beyond the plane between x's own
 centroid and c's. x therefore asks every list whose plane is nearer than
-`slack`: the whole linking distance would be a guarantee, but in d dimensions a
-step of that length crosses a given plane at a distance of z / sqrt(d) of it
-only with the tail probability of z, so z = 3.5 is the default and the tests
-measure recall against brute force. In a list, distances come from
+`slack`: the whole linking distance would be a guarantee, but a step of that
+length goes along a given direction by more than z * sqrt(s) of it only with the
+tail probability of z, if s is the share of that direction in the squared length
+of steps. s is measured on the sample, as the share of its strongest direction,
+and of that of the differences of its linked pairs where they are as many as the
+dimensions. z = 3.5 is the default, few strong directions so lead to the whole
+distance, and the tests measure recall against brute force. In a list, distances come from
 per-query tables of subspace distances to the codes. A code's own error is
 stored with it and added to the limit, so this step loses no link; what passes
 is compared exactly. Of two different lists only one asks the other, and a link
@@ -31,6 +34,8 @@ from tabkit.session import stable
 LEAST = 0.9
 #: Vectors that train the index at most; all are indexed.
 TRAIN_ROWS = 20_000
+#: Sample vectors whose links are looked up to measure how even steps are.
+PAIR_ROWS = 4096
 SUBSPACES, CODES = 8, 64
 BLOCK_ROWS = 1024
 #: Bytes of the vectors of one list that travel together at most, and queries compared at a time, about.
@@ -73,13 +78,36 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centres
 
 
+def strongest(x: np.ndarray) -> float:
+    """Share of the squared length of the rows of x that lies along their strongest direction."""
+    spread = np.linalg.eigvalsh(x.T @ x)
+    return float(spread[-1] / max(spread.sum(), np.finfo(np.float64).tiny))
+
+
+def share_of_steps(sample: np.ndarray, least: float) -> float:
+    """The largest share of a step between linked vectors that one direction takes, as far as the sample shows."""
+    share = strongest(sample - sample.mean(axis=0))
+    steps, held = [], 0
+    for i in range(0, min(len(sample), PAIR_ROWS), 512):
+        who, other = np.nonzero(sample[i : i + 512] @ sample.T >= least)
+        who, other = who[who + i != other], other[who + i != other]
+        steps.append(sample[who + i][:PAIR_ROWS] - sample[other][:PAIR_ROWS])
+        held += len(steps[-1])
+        if held >= 4 * PAIR_ROWS:
+            break
+    if held >= sample.shape[1]:
+        # so few steps look up to this much more uneven than they are
+        share = max(share, strongest(np.concatenate(steps)) / (1 + np.sqrt(sample.shape[1] / held)) ** 2)
+    return share
+
+
 class Index:
     """Coarse centroids and one codebook per subspace, from a sample of unit vectors."""
 
     def __init__(self, sample: np.ndarray, lists: int, least: float = LEAST, reach: float = REACH, subspaces: int = SUBSPACES, codes: int = CODES):
         rng = np.random.default_rng(SEED)
         self.far = np.sqrt(2 - 2 * least)
-        self.slack = min(1.0, reach / np.sqrt(sample.shape[1])) * self.far
+        self.slack = min(1.0, reach * np.sqrt(share_of_steps(sample, least))) * self.far
         self.centres = kmeans(sample, lists, rng)
         own, _ = nearest(sample, self.centres)
         rest = sample - self.centres[own]

@@ -296,6 +296,23 @@ def test_near_vectors_against_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) and r["component_id"] <= r["vec_id"] for r in got.values())
 
 
+@pytest.mark.parametrize(("dims", "spectrum"), [(64, "even"), (256, "eight"), (768, "eight"), (256, "falling"), (768, "root")])
+def test_lists_asked_meet_the_links_of_uneven_vectors(dims, spectrum):
+    rng = np.random.default_rng(8)
+    i = np.arange(1, dims + 1)
+    deviation = {"even": i**0.0, "eight": np.where(i <= 8, 1.0, 0.02), "falling": 1 / i, "root": i**-0.5}[spectrum]
+    base = rng.normal(size=(3000, dims)) * deviation
+    near = base[:1500] + rng.normal(size=(1500, dims)) * deviation * 0.4
+    x = pq_dedup.unit(np.concatenate([base, near]))
+    index = pq_dedup.Index(x, 134)
+    own, _, _, asks = index.encode(x)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    met = (own[a] == own[b]) | asks[a, own[b]] | asks[b, own[a]]
+    assert len(a) > 500 and met.mean() >= 0.97
+    if spectrum == "even":
+        assert index.slack < 0.6 * index.far
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 
