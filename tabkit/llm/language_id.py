@@ -19,12 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tabkit.llm.line_dedup import site
 from tabkit.session import small_side, stable
 
-#: Labelled documents that train the text model at most, and what is read of each for training.
+#: Labelled documents that train the text model, dealt evenly to the languages, and what is read of each for training.
 TRAIN_DOCS, TRAIN_CHARS = 4000, 4000
+#: A language's share of them is never below this, however many languages there are.
+LEAST_DOCS = 20
 SLOTS = 1 << 16
 #: Trigrams of a text are far from independent: their evidence is divided by this.
 TEMPER = 20.0
@@ -44,13 +47,23 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def train_text(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probability of each slot per language) from at most `most` labelled documents."""
-    labelled = docs.where("lang is not null and text is not null").select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    # a hash share first: else every task would send its own `most` texts to be ordered
-    chance = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    share = 1.2 * most / max(1, labelled.count())
-    rows = labelled.where(chance <= share).orderBy(F.xxhash64("text"), "lang").limit(most).collect()
-    names = sorted({r["lang"] for r in rows})
+    """(languages, log-probability of each slot per language) from labelled documents.
+
+    Every language of the labels is there. Texts that are equal as far as they
+    are read count once per language; each language trains on `most` texts over
+    the number of languages, on LEAST_DOCS at least, or on all it has.
+    """
+    labelled = docs.where("lang is not null and text is not null").select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.countDistinct("h").alias("n")).collect()}
+    names = sorted(texts)
+    if not names:
+        return names, np.zeros((0, SLOTS))
+    each = max(LEAST_DOCS, most // len(names))
+    # a hash share first: else every task would send all its texts to be ordered
+    shares = docs.sparkSession.createDataFrame([(n, min(1.0, (1.2 * each + 50) / texts[n])) for n in names], "lang string, share double")
+    chance = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    drawn = labelled.join(F.broadcast(shares), "lang").where(chance <= F.col("share")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = drawn.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each).collect()
     counts = np.full((len(names), SLOTS), 0.5)
     for r in rows:
         np.add.at(counts[names.index(r["lang"])], trigrams(r["text"]), 1)

@@ -377,6 +377,12 @@ def test_languages_from_other_evidence(spark):
     assert got[0]["language"] == got[100]["language"] == "de" and got[50]["language"] == "en" and got[101]["declared"] is None
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [("en", f"the house and garden {i}") for i in range(600)] + [("en", "one hot text")] * 600 + [("de", f"das haus und garten {i}") for i in range(600)] + [("fi", "talo ja puutarha")]
+    names, _ = language_id.train_text(spark.createDataFrame(rows, "lang string, text string"), 40)
+    assert names == ["de", "en", "fi"]
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_same_rows_as_sql(spark, name):
