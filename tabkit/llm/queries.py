@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import decontaminate, language_id, line_dedup, mixing, pq_dedup, sharding, simhash, suffix_dedup, token_counts, toxicity
+from tabkit.llm import centroids, decontaminate, language_id, line_dedup, mixing, pq_dedup, quality_rules, sharding, simhash, suffix_dedup, token_alignment, token_counts, toxicity
 from tabkit.llm.common import numbered, table
 
 
@@ -62,9 +62,26 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(token_counts.MODEL))
 
 
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings").select("vec_id", "embedding"))[0]
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    paths = public_tokenizers.path(token_alignment.BYTE_BPE), public_tokenizers.path(token_alignment.PIECE_BPE)
+    return token_alignment.alignment_summary(docs, *paths)
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality_rules.judged(docs, table(spark, folder, "labels")).drop("anomaly")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_language_id, op3_simhash, op4_mixing, op5_toxicity, op6_decontaminate, op7_sharding, op8_line_dedup,
-    op9_pq_dedup, op10_token_counts,
+    op9_pq_dedup, op10_token_counts, op11_centroids, op12_token_alignment, op13_quality_rules,
 )}
 #: One window per start, the windows of items found in documents by join, hit positions counted once.
 OP6_SQL = """
