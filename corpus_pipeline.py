@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabkit.llm import decontaminate, mixing, near_copies, sharding, toxicity
+from tabkit.llm import decontaminate, mixing, sharding, simhash, toxicity
 from tabkit.llm.common import table
 from tabkit.session import stable
 
@@ -19,8 +19,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more."""
-    return near_copies.drop_near_copies(docs)
+    """One document of each group linked by fingerprints of four-word shingles at most four bits apart."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
 
-#: Fingerprints and the trained machine have no SQL form; the tests hold run() against brute force.
+#: Fingerprints and the trained machine have no SQL form; tests/llm holds run() against brute force on planted rows.
 ORACLE_SQL = None
 
 
