@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabkit.llm import common, decontaminate, language_id, line_dedup, mixing, near_copies, pq_dedup, queries, sharding, simhash, suffix_dedup, token_counts, toxicity
+from tabkit.llm import common, decontaminate, language_id, line_dedup, mixing, pq_dedup, queries, sharding, simhash, suffix_dedup, token_counts, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the given tables")
@@ -142,41 +142,81 @@ def test_repeated_and_null_ids_keep_one_row_a_component(spark):
     assert sorted(kept) == sorted([*unlike, next(t for t in kept if t not in unlike)]) and len(kept) == 7
 
 
-def five_word_jaccard(a, b):
-    cut = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
-    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+def brute_groups(texts):
+    """Per text the smallest index reachable over fingerprints at most four bits apart, all pairs compared."""
+    prints = [simhash.fingerprint(t) for t in texts]
+    least = list(range(len(texts)))
+    while True:
+        now = [min(least[j] for j in range(len(texts)) if (prints[i] ^ prints[j]).bit_count() <= 4) for i in range(len(texts))]
+        if now == least:
+            return least
+        least = now
 
 
-@pytest.mark.parametrize("per_entry", [0, 4])
-def test_pipeline_stage_links_all_and_only_near_copies(spark, monkeypatch, per_entry):
-    import corpus_pipeline
-
-    monkeypatch.setattr(near_copies, "PAIRS_PER_ENTRY", per_entry)
-    rng = random.Random(12)
+def near_texts(rng, groups, words=150):
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     texts = []
-    for _ in range(60):
-        base = [word() for _ in range(150)]
-        texts.append(" ".join(base))
-        for changed in (1, 2, 3, 4, 6):
+    for _ in range(groups):
+        base = [word() for _ in range(words)]
+        texts += [" ".join(base)] * 2
+        for changed in (1, 1, 2, 6):
             copy = list(base)
-            for at in rng.sample(range(150), changed):
+            for at in rng.sample(range(words), changed):
                 copy[at] = word()
             texts.append(" ".join(copy))
-    group = {i: i for i in range(len(texts))}
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i // 6 * 6, i):
-            if five_word_jaccard(texts[i], texts[j]) >= 0.8:
-                group[max(root(i), root(j))] = min(root(i), root(j))
-    want = {i for i in group if root(i) == i}
-    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents(spark, texts), FOLDER).collect()}
-    assert got == want and 60 < len(want) < 300
+    return texts
+
+
+def test_pipeline_stage_keeps_one_text_of_each_group(spark):
+    import corpus_pipeline
+
+    texts = near_texts(random.Random(12), 40)
+    texts[7] = None
+    want = {i for i, least in enumerate(brute_groups(texts)) if i == least}
+    docs = documents(spark, texts, fp="mine", component_id=7)
+    got = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+    assert {r["doc_id"] for r in got.collect()} == want and 40 < len(want) < 200 and got.columns == docs.columns
+
+
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    texts = near_texts(rng, 30, 200) + [" ".join(word() for _ in range(rng.randrange(40, 300))) for _ in range(200)]
+    toxic = set(range(len(texts), len(texts) + 60))
+    texts += [" ".join([word() for _ in range(40)] + ["zorkwit"] + [word() for _ in range(40)]) for _ in toxic]
+    items = [" ".join(word() for _ in range(20)) for _ in range(5)]
+    planted = set(range(len(texts), len(texts) + 20))
+    texts += [" ".join([word() for _ in range(60)] + [items[i % 5]] + [word() for _ in range(60)]) for i in range(20)]
+    rows = [(i, t, "en", "hot" if i % 3 else f"s{i % 4}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    stays = [i for i in range(len(texts)) if i not in toxic]
+    least = brute_groups([texts[i] for i in stays])
+    stays = [i for n, i in enumerate(stays) if least[n] == n and i not in planted]
+    source = {i: rows[i][3] for i in stays}
+    words = {s: sum(len(texts[i].split()) for i in stays if source[i] == s) for s in set(source.values())}
+    targets = mixing.source_targets(words, mixing.WEIGHTS, mixing.MOST)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    times = {i: 0 for i in stays}
+    for r in out:
+        assert (r["text"], r["source"], r["n_chars"]) == (texts[r["doc_id"]], source[r["doc_id"]], len(texts[r["doc_id"]]))
+        times[r["doc_id"]] += 1
+    assert set(times) == set(stays)  # nothing from outside the brute-force survivors
+    for s in words:
+        rate = targets[s] / words[s]
+        assert all(int(rate) <= times[i] <= -(-rate // 1) for i in stays if source[i] == s)
+        taken = sum(times[i] * len(texts[i].split()) for i in stays if source[i] == s)
+        assert abs(taken - targets[s]) < 2 * max(len(texts[i].split()) for i in stays)
+    size = {}
+    for r in out:
+        size.setdefault(r["shard"], []).append((r["slot"], len(r["text"].encode()) + 1))
+    assert all(sorted(slot for slot, _ in rows) == list(range(len(rows))) for rows in size.values())
+    loads = [sum(n for _, n in rows) for rows in size.values()]
+    assert set(size) <= set(range(16)) and max(loads) - min(loads) < 3 * max(len(t) + 1 for t in texts if t)
 
 
 def test_components_of_a_long_path(spark):
