@@ -38,8 +38,8 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The left side's id in the high half of a pair, the right side's in the low half.
 SHIFT = 32
 BATCH_BYTES = 1 << 19
-#: Alignments kept per worker, and the longest part worth keeping.
-KNOWN_PARTS, KNOWN_CHARS = 300_000, 64
+#: Alignments kept per worker (those met last, and as many met before them), and the longest part worth keeping.
+KNOWN_PARTS, KNOWN_CHARS = 200_000, 64
 #: Pairs that may be broadcast: so many, of three numbers each.
 HOT_PAIRS = 100_000
 
@@ -48,7 +48,7 @@ _CUT = re.compile(r"(?<=[^ ▁]) (?=[^\s᠎])")
 _WORKER: dict = {}
 
 
-@dataclass
+@dataclass(slots=True)
 class Aligned:
     """What is known of one part; pairs as codes, once for each time they are linked."""
 
@@ -83,7 +83,8 @@ class Pair:
         self.bytes_a = [entries[i].encode() if i in special else bytes(byte_of[c] for c in entries[i]) for i in range(len(entries))]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(t) for t in side], np.int64) for side in (self.bytes_a, self.bytes_b))
-        self.known: dict[tuple[str, str], Aligned] = {}
+        self.known: dict[str, dict[str, Aligned]] = {"overlaps": {}, "ends": {}}
+        self.older: dict[str, dict[str, Aligned]] = {"overlaps": {}, "ends": {}}
 
     def align(self, parts: list[str], linked: str) -> list[Aligned]:
         """Alignments of distinct parts, coalesced all at once."""
@@ -109,9 +110,14 @@ class Pair:
     def of_texts(self, texts: list[str], linked: str) -> Iterator[list[Aligned]]:
         """The alignments of the parts of each text, in order."""
         cut = [_CUT.split(t) for t in texts]
+        known, older = self.known[linked], self.older[linked]
         fresh, held, met = [], 0, {}
-        for part in dict.fromkeys(chain.from_iterable(cut)):
-            if (part, linked) not in self.known:
+        for part in set(chain.from_iterable(cut)):
+            if (one := known.get(part)) is not None:
+                met[part] = one
+            elif (one := older.get(part)) is not None:
+                met[part] = known[part] = one
+            else:
                 fresh.append(part)
                 held += len(part)
                 if held >= BATCH_BYTES:
@@ -119,12 +125,11 @@ class Pair:
                     fresh, held = [], 0
         if fresh:
             met.update(zip(fresh, self.align(fresh, linked), strict=True))
-        known = self.known
+        known.update((p, one) for p, one in met.items() if len(p) <= KNOWN_CHARS)
+        if len(known) > KNOWN_PARTS:  # what hasn't been met since the last change goes
+            self.known[linked], self.older[linked] = {}, known
         for parts in cut:
-            yield [met[p] if p in met else known[p, linked] for p in parts]
-        if len(known) > KNOWN_PARTS:
-            known.clear()
-        known.update(((p, linked), one) for p, one in met.items() if len(p) <= KNOWN_CHARS)
+            yield [met[p] for p in parts]
 
 
 def _byte_of_sign() -> dict[str, int]:
@@ -249,12 +254,14 @@ def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def _row(text: str | None, parts: list[Aligned]) -> tuple:
-    codes = np.fromiter(chain.from_iterable(p.pairs for p in parts), np.int64)
+    n_a = n_b = n_groups = 0
+    for p in parts:
+        n_a += p.n_a
+        n_b += p.n_b
+        n_groups += p.n_groups
+    codes = np.array(list(chain.from_iterable([p.pairs for p in parts])), np.int64)
     pairs, times = np.unique(codes, return_counts=True)
-    return (
-        sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts), len(codes),
-        ";".join(p.groups for p in parts), pairs, times,
-    )
+    return n_a, n_b, n_groups, len(codes), ";".join([p.groups for p in parts]), pairs, times
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
