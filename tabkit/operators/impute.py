@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.operators.ordered import MAX_ROWS, NumberedRows, nearest_values, null_safe_join, number_rows
+from tabkit.operators.ordered import MAX_ROWS, last_known, nearest_values, null_safe_join, number_rows
 from tabkit.operators.profile import long_form
 from tabkit.operators.spline import knot_curvature
 from tabkit.operators.stats import as_double, quantiles
@@ -74,8 +74,7 @@ def forward_fill(
     df: DataFrame, keys: list[str], order: list[str], columns: list[str], max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Carry the last known value forward within each entity."""
-    rows = number_rows(df, keys, order, max_rows=max_rows)
-    return nearest_values(rows, before={c: F.col(c) for c in columns}).df.drop(rows.pos)
+    return last_known(df, keys, order, {c: F.col(c) for c in columns}, max_rows)
 
 
 def interpolate_linear(

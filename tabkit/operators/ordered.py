@@ -2,12 +2,13 @@
 
 Row numbers, running sums, fills and centred windows all need the rows of a
 group in order. A plain window sends each group to one task, which fails once
-a single group holds a large share of the table. Here a group above a row
-limit is cut into consecutive buckets along its order, every bucket is handled
-by its own task, and what a bucket needs from its neighbours arrives as *seed
-rows*: one extra row per bucket that carries the state of everything before
-(or after) it. Seed rows travel in the same shuffle as the data, so no join
-back is needed, and they are filtered out at the end.
+a single group holds a large share of the table. Where some group is above a
+row limit, the table is range-partitioned once by group and order, sorted
+within its ranges and written, with each row's range and a number that grows
+along the whole table. A window then works per group and range, on that
+number, and what a range needs to know of those before it is its *carry*: one
+row per range of a group, scanned along the ranges and joined back. A range
+boundary lies in one group at most, so there are fewer carries than ranges.
 
 Groups below the limit take the plain window; only a count per group is added.
 Pass ``max_rows=None`` when the group size is bounded by construction, for
@@ -16,21 +17,21 @@ instance one row per group and calendar day straight out of a ``groupBy``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tabkit.session import small_side, stable
 
 MAX_ROWS = 250_000
-MAX_LEVELS = 12
-TEXT_PIECES = 6
+#: Ranges at most: beyond 1.25 billion rows they hold more than the row limit, and windows spill.
+MAX_RANGES = 10_000
 
-HOT, ROW = "_hot", "_row"
+RANGE, AT, ROW = "_range", "_at", "_row"
 
 
 def partition(keys: list[str]):
@@ -45,151 +46,58 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, match, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def _ordinal(name: str, dtype: T.DataType) -> Column | None:
-    """A double that grows with the column, or None when the type has no such form."""
-    c = F.col(name)
-    if isinstance(dtype, T.NumericType):
-        return c.cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dtype, T.TimestampNTZType):
-        whole = F.unix_date(c.cast("date")).cast("long") * 86_400 + F.hour(c) * 3_600 + F.minute(c) * 60
-        return (whole * 1_000_000 + (F.expr(f"extract(SECOND FROM `{name}`)") * 1_000_000).cast("long")).cast("double")
-    return None
-
-
-def _order_columns(df: DataFrame, order: list[str]) -> list[tuple[str | None, Column]]:
-    """(column, ordinal) pairs that sort like `order`, as far as that can be told in numbers.
-
-    Text becomes one ordinal per six bytes, in turn; it has no column of its own
-    in the pair, and what comes after it in `order` is left out.
-    """
-    found: list[tuple[str | None, Column]] = []
-    for name in order:
-        dtype = df.schema[name].dataType
-        if isinstance(dtype, T.StringType):
-            code = F.hex(F.col(name).cast("binary"))
-            for i in range(TEXT_PIECES):
-                piece = F.rpad(F.substring(code, 1 + 12 * i, 12), 12, "0")
-                found.append((None, F.conv(piece, 16, 10).cast("double")))
-            break
-        x = _ordinal(name, dtype)
-        if x is None:
-            break
-        found.append((name, x))
-    return found
-
-
-def _class(x: Column) -> Column:
-    """Where a value sorts relative to the finite ones: null, -inf, finite, +inf, NaN."""
-    inf = float("inf")
-    return (
-        F.when(x.isNull(), -2).when(F.isnan(x), 2).when(x == inf, 1).when(x == -inf, -1).otherwise(0)
-    )
-
-
-def _profile(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
-    """Row count per bucket, and what each order column spans in it; `_o<i>` holds column i's ordinal."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, name in enumerate(columns):
-        finite = F.when(_class(F.col(f"_o{i}")) == 0, F.col(f"_o{i}"))
-        aggs += [
-            F.count(name).alias(f"_c{i}"),
-            F.min(name).alias(f"_rlo{i}"),
-            F.max(name).alias(f"_rhi{i}"),
-            F.min(finite).alias(f"_lo{i}"),
-            F.max(finite).alias(f"_hi{i}"),
-        ]
-    return df.groupBy(*group).agg(*aggs)
-
-
-def _choose_cut(profile: DataFrame, n_ordinals: int, max_rows: int) -> DataFrame:
-    """For every bucket above the limit: the first order column that varies, and its range."""
-    dim, lo, hi = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(None).cast("double")
-    for i in reversed(range(n_ordinals)):
-        c, n = F.col(f"_c{i}"), F.col("_n")
-        varies = ((c > 0) & (c < n)) | (F.col(f"_rlo{i}") < F.col(f"_rhi{i}"))
-        varies = F.coalesce(varies, F.lit(False))
-        dim = F.when(varies, i).otherwise(dim)
-        lo = F.when(varies, F.col(f"_lo{i}")).otherwise(lo)
-        hi = F.when(varies, F.col(f"_hi{i}")).otherwise(hi)
-    keep = [c for c in profile.columns if c not in {"_n"} and not c.startswith(("_c", "_rlo", "_rhi", "_lo", "_hi"))]
-    return (
-        profile.filter(F.col("_n") > max_rows)
-        .select(
-            *keep,
-            dim.alias("_dim"),
-            lo.alias("_from"),
-            hi.alias("_to"),
-            F.ceil(F.col("_n") * 2 / F.lit(max_rows)).cast("double").alias("_cells"),
-        )
-        .filter(F.col("_dim").isNotNull())
-    )
-
-
-def _add_cell(df: DataFrame, n_ordinals: int, out: str) -> DataFrame:
-    """Number of the equally wide cell a row falls in; null and infinite values have cells of their own."""
-    dim, lo, hi, cells = F.col("_dim"), F.col("_from"), F.col("_to"), F.col("_cells")
-    x = F.coalesce(*[F.when(dim == i, F.col(f"_o{i}")) for i in range(n_ordinals)])
-    # steps of their own, so that each is computed once
-    df = df.withColumn("_x", x).withColumn("_kind", _class(F.col("_x")))
-    kind = F.col("_kind")
-    place = F.floor((F.col("_x") - lo) * cells / (hi - lo)).cast("double")
-    inside = F.when(hi > lo, F.least(place, cells - 1)).otherwise(0.0)
-    cell = F.when(kind < 0, kind.cast("double")).when(kind > 0, cells + kind).otherwise(inside)
-    return df.withColumn(out, F.when(dim.isNull(), 0).otherwise(cell.cast("long")).cast("long")).drop("_x", "_kind")
-
-
 def split_hot(
     df: DataFrame, keys: list[str], order: list[str], max_rows: int | None = MAX_ROWS, derived: bool = False
 ) -> tuple[DataFrame, list[str]]:
-    """Cut groups above `max_rows` into consecutive buckets along `order`.
-
-    Returns the rows with bucket columns and a `_hot` flag, and the bucket
-    column names; an empty list means no group was above the limit. Buckets in
-    the order of those columns follow `order` inside each group. A bucket's
-    number is a function of its row and of exact counts and ranges, so a
-    recomputed task puts every row where it was. Cells are equally wide; one
-    that is still too full is cut again, on the next order column once the
-    first no longer varies. Cutting reads the rows several times: say
-    `derived=True` when they come out of a shuffle that should not be repeated.
+    """Lay the table out in ranges along `keys` and `order` if some group is above `max_rows`.
+
+    Returns the rows with their range and a number that grows along the whole
+    order, and the name of the range column in a list; an empty list means that
+    no group was above the limit and nothing was done. The layout is written to
+    the shared folder, so a recomputed task finds every row where it was. Nulls
+    come first; any type that sorts will do; rows that tie in every column share
+    a range. Ranges hold half the limit on average, by sampled bounds. Sampling
+    reads the rows once more: say `derived=True` when they come out of a shuffle
+    that should not be repeated.
     """
     if max_rows is None:
         return df, []
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    pairs = _order_columns(df, order)
-    if largest is None or largest <= max_rows or not pairs:
+    largest, total = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    if largest is None or largest <= max_rows:
         return df, []
+    ranges = max(2, min(MAX_RANGES, -(-2 * total // max_rows)))
+    sort = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    rows = (stable(df) if derived else df).repartitionByRange(ranges, *sort).sortWithinPartitions(*sort)
+    return stable(rows.withColumns({RANGE: F.spark_partition_id(), AT: F.monotonically_increasing_id()})), [RANGE]
 
-    laid, buckets = stable(df) if derived else df, []
-    helpers = [f"_o{i}" for i in range(len(pairs))]
-    columns = [name or helper for helper, (name, _) in zip(helpers, pairs)]
-    laid = laid.withColumns({helper: x for helper, (_, x) in zip(helpers, pairs)})
-    for level in range(MAX_LEVELS):
-        group = keys + buckets
-        todo = laid if level == 0 else laid.filter(f"_cut{level - 1}")
-        cuts = small_side(_choose_cut(_profile(todo, group, columns), len(columns), max_rows))
-        if cuts.isEmpty():
-            break
-        if group:
-            laid = null_safe_join(laid, cuts, group)
-        else:
-            row = cuts.first()
-            laid = laid.withColumns(
-                {c: F.lit(row[c]).cast(cuts.schema[c].dataType) for c in ("_dim", "_from", "_to", "_cells")}
-            )
-        bucket = f"_bucket{level}"
-        laid = (
-            _add_cell(laid, len(columns), bucket)
-            .withColumn(f"_cut{level}", F.col("_dim").isNotNull())
-            .drop("_dim", "_from", "_to", "_cells")
-        )
-        if level == 0:
-            laid = laid.withColumn(HOT, F.col("_cut0"))
-        buckets.append(bucket)
-    return laid.drop(*[f"_cut{i}" for i in range(len(buckets))], *helpers), buckets
+
+def carried(laid: DataFrame, keys: list[str], own: dict[str, Column], scan: Callable = F.sum) -> DataFrame:
+    """Add, per name, what `scan` makes of the aggregate over the earlier ranges of the row's group.
+
+    Null in the first range of a group. Carries exist only from the second
+    range of a group on, so there are fewer of them than ranges.
+    """
+    before = partition(keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+    per_range = laid.groupBy(*keys, RANGE).agg(*[a.alias(name) for name, a in own.items()])
+    scanned = per_range.withColumns({name: scan(name).over(before) for name in own} | {"_nth": F.count(F.lit(1)).over(before)})
+    return null_safe_join(laid, small_side(scanned.filter("_nth > 0").drop("_nth")), [*keys, RANGE])
+
+
+def last_known(
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], max_rows: int | None = MAX_ROWS
+) -> DataFrame:
+    """Add the last non-null value of each expression up to the row, in its group."""
+    laid, ranges = split_hot(df, keys, order, max_rows)
+    if not ranges:
+        w = partition(keys).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, 0)
+        return laid.withColumns({o: F.last(v, ignorenulls=True).over(w) for o, v in values.items()})
+    inputs = {f"_in_{o}": v for o, v in values.items()}
+    laid = laid.withColumns(inputs)
+    ends = {f"_carry_{o}": F.max_by(f"_in_{o}", F.when(F.col(f"_in_{o}").isNotNull(), F.col(AT))) for o in values}
+    laid = carried(laid, keys, ends, lambda c: F.last(c, ignorenulls=True))
+    w = partition(keys + ranges).orderBy(AT).rowsBetween(W.unboundedPreceding, 0)
+    found = {o: F.coalesce(F.last(f"_in_{o}", ignorenulls=True).over(w), F.col(f"_carry_{o}")) for o in values}
+    return laid.withColumns(found).drop(*inputs, *ends, RANGE, AT)
 
 
 def with_totals(df: DataFrame, keys: list[str], totals: dict[str, Column], split: bool) -> DataFrame:
@@ -229,21 +137,14 @@ def running_sum(
         w = partition(keys).orderBy(*sort).rowsBetween(W.unboundedPreceding, 0)
         return laid.withColumns({o: F.sum(f"_in_{o}").over(w) for o in sums}).drop(*inputs)
 
-    before = partition(keys).orderBy(*buckets).rowsBetween(W.unboundedPreceding, -1)
-    seeds = (
-        laid.filter(HOT)
-        .groupBy(*keys, *buckets)
-        .agg(*[F.sum(c).alias(c) for c in inputs])
-        .withColumns({c: F.sum(c).over(before) for c in inputs})
-        .withColumn(ROW, F.lit(0))
-    )
-    rows = laid.withColumn(ROW, F.lit(1)).unionByName(seeds, allowMissingColumns=True)
-    w = partition(keys + buckets).orderBy(ROW, *sort).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        rows.withColumns({o: F.sum(f"_in_{o}").over(w) for o in sums})
-        .filter(F.col(ROW) == 1)
-        .drop(*inputs, *buckets, HOT, ROW)
-    )
+    earlier = {f"_carry_{o}": F.sum(f"_in_{o}") for o in sums}
+    w = partition(keys + buckets).orderBy(AT).rowsBetween(W.unboundedPreceding, 0)
+    running = {
+        o: F.when(F.col(f"_carry_{o}").isNull(), F.sum(f"_in_{o}").over(w))
+        .otherwise(F.col(f"_carry_{o}") + F.coalesce(F.sum(f"_in_{o}").over(w), F.lit(0)))
+        for o in sums
+    }
+    return carried(laid, keys, earlier).withColumns(running).drop(*inputs, *earlier, RANGE, AT)
 
 
 @dataclass
@@ -260,7 +161,6 @@ class NumberedRows:
     pos: str
     split: bool
     block_rows: int
-    helpers: list[str] = field(default_factory=list)
 
     def window(self, reverse: bool = False):
         """Whole-group order, for the case that no group is above the limit."""
@@ -268,7 +168,7 @@ class NumberedRows:
         return partition(self.keys).orderBy(*sort)
 
     def replace(self, df: DataFrame) -> NumberedRows:
-        return NumberedRows(df, self.keys, self.order, self.pos, self.split, self.block_rows, self.helpers)
+        return NumberedRows(df, self.keys, self.order, self.pos, self.split, self.block_rows)
 
 
 def number_rows(
@@ -284,28 +184,10 @@ def number_rows(
     if not buckets:
         return rows.replace(laid.withColumn(pos, F.row_number().over(rows.window()) - F.lit(1).cast("long")))
 
-    before = partition(keys).orderBy(*buckets).rowsBetween(W.unboundedPreceding, -1)
-    seeds = (
-        laid.filter(HOT)
-        .groupBy(*keys, *buckets)
-        .agg(F.count(F.lit(1)).alias("_weight"))
-        .withColumn("_weight", F.coalesce(F.sum("_weight").over(before), F.lit(0)))
-        .withColumn(ROW, F.lit(0))
-    )
-    both = laid.withColumns({"_weight": F.lit(1).cast("long"), ROW: F.lit(1)}).unionByName(
-        seeds, allowMissingColumns=True
-    )
-    w = (
-        partition(keys + buckets)
-        .orderBy(ROW, *[F.col(c).asc_nulls_first() for c in order])
-        .rowsBetween(W.unboundedPreceding, 0)
-    )
-    numbered = (
-        both.withColumn(pos, F.sum("_weight").over(w) - 1)
-        .filter(F.col(ROW) == 1)
-        .drop("_weight", ROW, HOT, *buckets)
-    )
-    return rows.replace(stable(numbered))
+    w = partition(keys + buckets).orderBy(AT)
+    place = F.coalesce("_carry", F.lit(0)) + F.row_number().over(w) - F.lit(1).cast("long")
+    numbered = carried(laid, keys, {"_carry": F.count(F.lit(1))}).withColumn(pos, place)
+    return rows.replace(stable(numbered.drop("_carry", RANGE, AT)))
 
 
 def nearest_values(

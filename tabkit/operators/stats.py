@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tabkit.functions.scalars import box_cox, inverse_normal, skew_candidates
-from tabkit.operators.ordered import MAX_ROWS, null_safe_join, number_rows, partition, running_sum, split_hot, with_totals
+from tabkit.operators.ordered import AT, MAX_ROWS, null_safe_join, number_rows, partition, running_sum, split_hot, with_totals
 from tabkit.operators.profile import long_form
 from tabkit.session import small_side
 
@@ -250,7 +250,7 @@ def is_monotonic(
     """
     keys = list(keys)
     laid, buckets = split_hot(df, keys, order, max_rows)
-    w = partition(keys + buckets).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    w = partition(keys + buckets).orderBy(*([AT] if buckets else order)).rowsBetween(W.unboundedPreceding, -1)
     c = F.col(column)
     earlier = F.max(c).over(w)
     ok = c.isNotNull() & F.coalesce(c >= earlier, F.lit(True))

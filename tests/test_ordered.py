@@ -157,3 +157,55 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "key string, t int, v double")
     assert number_rows(df, ["key"], ["t"], max_rows=5).df.count() == 0
     assert M.forward_fill(df, ["key"], ["t"], ["v"], 5).count() == 0
+
+
+def uneven(spark, kind):
+    """20,000 rows of one group whose order columns are hard to cut into even pieces."""
+    n, rng = 20_000, random.Random(9)
+    if kind == "repeated text and id":
+        rows = [("the same name" if i % 10 else f"n{i}", i) for i in range(n)]
+        schema = "a string, b long"
+    elif kind == "long prefix":
+        rows = [("a prefix that is shared by every single row: " + f"{rng.random():.12f}", i) for i in range(n)]
+        schema = "a string, b long"
+    elif kind == "boolean first":
+        rows = [(i % 7 == 0, rng.random()) for i in range(n)]
+        schema = "a boolean, b double"
+    elif kind == "beyond doubles":
+        rows = [(2**60 + i, i) for i in range(n)]
+        schema = "a long, b long"
+    elif kind == "binary":
+        rows = [(bytes([i % 3, *rng.randbytes(6)]), i) for i in range(n)]
+        schema = "a binary, b long"
+    else:
+        rows = [(10.0 ** rng.uniform(-300, 300), i) for i in range(n)]
+        schema = "a double, b long"
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, schema).repartition(6)
+
+
+@pytest.mark.parametrize("kind", ["repeated text and id", "long prefix", "boolean first", "beyond doubles", "binary", "log-uniform"])
+def test_ranges_are_even_and_rows_equal_the_plain_window(spark, kind):
+    df = uneven(spark, kind)
+    laid, ranges = split_hot(df, [], ["a", "b"], 1000)
+    sizes = [r["count"] for r in laid.groupBy(*ranges).count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) > 20 and max(sizes) <= 3 * 20_000 / len(sizes)
+    plain = number_rows(df, [], ["a", "b"], max_rows=None).df
+    assert number_rows(df, [], ["a", "b"], max_rows=1000).df.exceptAll(plain).isEmpty()
+
+
+def test_carries_are_fewer_than_ranges(spark):
+    """Many small groups beside a hot one: only groups that cross a boundary need a carry."""
+    df = spark.range(6000).select(F.when(F.col("id") < 4000, -1).otherwise(F.col("id")).alias("key"), "id", (F.col("id") % 5).alias("x"))
+    laid, _ = split_hot(df, ["key"], ["id"], 500)
+    n_ranges = laid.select("_range").distinct().count()
+    per_group = laid.groupBy("key").agg(F.countDistinct("_range").alias("n"))
+    assert per_group.agg(F.sum(F.col("n") - 1)).first()[0] < n_ranges
+    got = running_sum(df, ["key"], ["id"], {"s": F.col("x")}, 500)
+    assert got.exceptAll(running_sum(df, ["key"], ["id"], {"s": F.col("x")}, None)).isEmpty()
+
+
+def test_running_sums_of_nulls(spark):
+    df = spark.range(400).select("id", F.when(F.col("id") > 250, F.col("id")).alias("x"))
+    got = running_sum(df, [], ["id"], {"s": F.col("x")}, 50)
+    assert got.exceptAll(running_sum(df, [], ["id"], {"s": F.col("x")}, None)).isEmpty()
