@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tabkit.functions.scalars import box_cox, inverse_normal, skew_candidates
-from tabkit.operators.ordered import AT, MAX_ROWS, null_safe_join, number_rows, partition, running_sum, split_hot, with_totals
+from tabkit.operators.gram import pair_correlations
+from tabkit.operators.ordered import AT, MAX_ROWS, null_safe_join, number_rows, partition, split_hot, with_totals
 from tabkit.operators.profile import long_form
+from tabkit.operators.ranks import values_at_ranks
 from tabkit.session import small_side
 
-MAX_EXPRESSIONS = 200
-
 
 def as_double(df: DataFrame, columns: list[str], ids: list[str] = ()) -> DataFrame:
     return df.select(*ids, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
@@ -104,30 +104,12 @@ def box_cox_exponent(df: DataFrame, column: str, low: float = -2.0, high: float
 
 
 def correlations(df: DataFrame, columns: list[str], absolute: bool = False) -> DataFrame:
-    """Pairwise-complete Pearson correlation of every column pair, in long form.
+    """Pairwise-complete Pearson correlation of every column pair, in long form, from one scan.
 
-    Pairs are computed once and mirrored. Expressions go out in chunks, as one
-    aggregate of thousands would leave generated code; each chunk is one scan.
+    Null for a column that does not vary, or with fewer than two common rows.
     """
     columns = sorted(columns)
-    pairs = list(combinations(columns, 2)) + [(c, c) for c in columns]
-    out = None
-    for start in range(0, len(pairs), MAX_EXPRESSIONS):
-        chunk = pairs[start : start + MAX_EXPRESSIONS]
-        row = df.agg(
-            *[
-                F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(str(i))
-                for i, (a, b) in enumerate(chunk)
-            ]
-        )
-        cells = []
-        for i, (a, b) in enumerate(chunk):
-            for x, y in {(a, b), (b, a)}:
-                cells.append(
-                    F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"), F.col(str(i)).alias("corr"))
-                )
-        part = row.select(F.inline(F.array(*cells)))
-        out = part if out is None else out.unionByName(part)
+    out = pair_correlations(df, columns, columns)
     return out.withColumn("corr", F.abs("corr")) if absolute else out
 
 
@@ -137,9 +119,8 @@ def high_correlations(corr: DataFrame, cut: float = 0.95) -> DataFrame:
 
 def target_correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Correlation of each feature with the target, highest first."""
-    y = F.col(f"`{target}`").cast("double")
-    row = df.agg(*[F.corr(F.col(f"`{c}`").cast("double"), y).alias(c) for c in features])
-    return row.unpivot([], features, "feature", "corr").orderBy(F.desc_nulls_last("corr"), "feature")
+    pairs = pair_correlations(df, features, [target])
+    return pairs.select(F.col("feature_a").alias("feature"), "corr").orderBy(F.desc_nulls_last("corr"), "feature")
 
 
 def redundant_columns(corr_pairs: list[tuple[str, str]]) -> list[str]:
@@ -157,23 +138,20 @@ def rare_binary_columns(df: DataFrame, columns: list[str], share: float) -> list
     return [c for c in columns if row[c] is not None and min(row[c], 1 - row[c]) < share]
 
 
-def quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], max_rows: int | None = MAX_ROWS
-) -> DataFrame:
-    """Exact interpolated quantiles per group, one column per named probability.
+def _between(low: Column, high: Column, share: Column) -> Column:
+    return F.when(low == high, low).otherwise(low + (high - low) * share)
 
-    Equal values are first folded to (value, count), which shrinks hot values
-    on the map side. Running counts over the distinct values then locate the
-    two ranks each quantile lies between, so no task holds a group's values.
-    """
-    distinct = (
-        df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    ranked = running_sum(
-        distinct, keys, ["_v"], {"_upto": F.col("_c")}, max_rows, {"_total": F.sum("_c")}, derived=True
-    )
+
+def _interpolated(p: float, total: Column, at: Callable[[Column], Column]) -> Column:
+    exact = F.lit(p) * (total - 1)
+    return _between(at(F.floor(exact)), at(F.ceil(exact)), exact - F.floor(exact))
+
+
+def _small_quantiles(known: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """Quantiles of groups that fit a task: equal values are folded, running counts find the ranks."""
+    folded = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = partition(keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = folded.withColumns({"_upto": F.sum("_c").over(upto), "_total": F.sum("_c").over(partition(keys))})
 
     def at(p: float, rounder) -> Column:
         rank = rounder(F.lit(p) * (F.col("_total") - 1))
@@ -182,12 +160,62 @@ def quantiles(
 
     def interpolated(p: float) -> Column:
         exact = F.lit(p) * (F.max("_total") - 1)
-        low, high = at(p, F.floor), at(p, F.ceil)
-        return low + (high - low) * (exact - F.floor(exact))
+        return _between(at(p, F.floor), at(p, F.ceil), exact - F.floor(exact))
 
     return ranked.groupBy(*keys).agg(*[interpolated(p).alias(name) for name, p in probabilities.items()])
 
 
+def _known_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    v = F.col(value).cast("double")
+    return df.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"))
+
+
+def quantiles(
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], max_rows: int | None = MAX_ROWS
+) -> DataFrame:
+    """Exact interpolated quantiles per group, one column per named probability; nulls and NaN don't count.
+
+    Groups above `max_rows` get the values at their ranks by narrowing cells,
+    which shuffles counts only and reads `df` a few times; the rest are ranked
+    by a window. Without keys there is one row if `df` has a value.
+    """
+    known, by = _known_values(df, keys, value), keys
+    if not keys:
+        known, by = known.withColumn("_all", F.lit(0)), ["_all"]
+    hot = None
+    if max_rows is not None:
+        sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
+        hot = small_side(sizes.filter(F.col("_total") > max_rows))
+    if hot is None or hot.isEmpty():
+        return _small_quantiles(known, by, probabilities).drop("_all")
+    total = F.col("_total")
+    ranks = [r for p in probabilities.values() for r in (F.floor(F.lit(p) * (total - 1)), F.ceil(F.lit(p) * (total - 1)))]
+    targets = hot.select(*by, F.explode(F.array_distinct(F.array(*ranks))).alias("_rank"))
+    found = values_at_ranks(known, by, targets)
+    # two entries per probability and group
+    held = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at"))
+    large = null_safe_join(hot, held, by).select(
+        *by, *[_interpolated(p, total, lambda rank: F.element_at("_at", rank)).alias(name) for name, p in probabilities.items()]
+    )
+    if not keys:
+        return large.drop("_all")
+    small = null_safe_join(known, hot.select(*by, F.lit(True).alias("_hot")), by).filter("_hot is null").drop("_hot")
+    return large.unionByName(_small_quantiles(small, by, probabilities))
+
+
+def approximate_quantiles(
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], accuracy: int = 10_000
+) -> DataFrame:
+    """Quantiles from one mergeable sketch per group and one scan; a rank is off by at most a share of 1 / accuracy.
+
+    Always a value of the group, never between two. Ask for it by name: nothing
+    else in the library uses it in place of the exact ones.
+    """
+    sketch = F.percentile_approx("_v", list(probabilities.values()), accuracy).alias("_found")
+    found = _known_values(df, keys, value).groupBy(*keys).agg(sketch)
+    return found.select(*keys, *[F.col("_found")[i].alias(name) for i, name in enumerate(probabilities)])
+
+
 def box_stats(df: DataFrame, keys: list[str], value: str, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Quartiles, whiskers within 1.5 IQR, and the number of points outside them, per group."""
     q = small_side(quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, max_rows))

@@ -1,10 +1,16 @@
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tabkit.operators import gram
 from tabkit.operators import profile as P
 from tabkit.operators import stats as A
+from tabkit.operators.ranks import values_at_ranks
 
 
 def test_value_counts(spark):
@@ -77,14 +83,82 @@ def test_correlations_skip_null_pairs(spark):
     assert {(r["feature_a"], r["feature_b"]) for r in high.collect()} >= {("a", "b"), ("a", "c")}
 
 
-def test_correlations_in_chunks(spark, monkeypatch):
+def test_correlations_in_tiles(spark, monkeypatch):
     df = spark.range(20).select(*[(F.col("id") * i + F.rand(i)).alias(f"c{i}") for i in range(5)])
     whole = {tuple(r)[:2]: r["corr"] for r in A.correlations(df, df.columns).collect()}
-    monkeypatch.setattr(A, "MAX_EXPRESSIONS", 4)
+    monkeypatch.setattr(gram, "TILE", 2)
     parts = {tuple(r)[:2]: r["corr"] for r in A.correlations(df, df.columns).collect()}
     assert parts == pytest.approx(whole) and len(parts) == 25
 
 
+def test_many_columns_are_read_once(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(300, 500)) + 10.0 ** rng.integers(0, 6, 500)) * 10.0 ** rng.integers(-6, 7, 500)
+    x[:, 1::2] += x[:, ::2] / 10
+    x[rng.random(x.shape) < 0.1] = np.nan
+    frame = pd.DataFrame(x, columns=[f"c{i:03}" for i in range(500)])
+    pq.write_table(pa.Table.from_pandas(frame, preserve_index=False), f"{tmp_path}/wide.parquet")  # NaN becomes null
+    out = A.correlations(spark.read.parquet(f"{tmp_path}/wide.parquet"), list(frame))
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = out.toPandas().pivot(index="feature_a", columns="feature_b", values="corr").to_numpy()
+    np.testing.assert_allclose(got, frame.corr().to_numpy(), rtol=1e-7, atol=1e-9)
+
+
+def test_correlations_of_awkward_columns(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, 5.0, None, 1.0, 1.0, 1e9), (2.0, 5.0, None, nan, inf, 1e9 + 1), (4.0, 5.0, 3.0, 2.0, 3.0, 1e9 + 3), (3.0, None, None, 5.0, 0.0, 1e9 + 2)]
+    df = spark.createDataFrame(rows, "a double, same double, one double, odd double, far double, big double")
+    out = {tuple(r)[:2]: r["corr"] for r in A.correlations(df, df.columns).collect()}
+    assert out["a", "big"] == pytest.approx(1.0) and out["a", "a"] == 1.0
+    assert out["a", "same"] is None and out["same", "same"] is None and out["a", "one"] is None
+    assert math.isnan(out["a", "odd"]) and math.isnan(out["far", "a"]) and math.isnan(out["odd", "odd"])
+    assert A.correlations(df.limit(0), ["a", "big"]).filter("corr is not null").isEmpty()
+    assert A.target_correlations(df, ["same", "big"], "a").first()["feature"] == "big"
+
+
+SPREADS = {
+    "log-uniform": lambda rng, n: 10.0 ** rng.uniform(-300, 300, n) * rng.choice([-1, 1], n),
+    "ties": lambda rng, n: rng.integers(0, 4, n).astype(float),
+    "one value": lambda rng, n: np.full(n, -2.5),
+    "infinite": lambda rng, n: rng.choice([np.inf, -np.inf, 0.0, -0.0, 1.0, 1.7976931348623157e308, 5e-324, 1e-323, 1.5e-323, 2e-323], n),
+    "neighbours": lambda rng, n: 1.0 + rng.integers(0, 50, n) * 2.0**-52,
+    "normal": lambda rng, n: rng.normal(1e6, 1, n),
+}
+
+
+@pytest.mark.parametrize("spread", SPREADS)
+@pytest.mark.parametrize("few", [0, 200])
+def test_values_at_ranks(spark, spread, few):
+    rng = np.random.default_rng(7)
+    values = {k: SPREADS[spread](rng, n) for k, n in (("a", 3000), (None, 800))}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, _v double")
+    ranks = {"a": [0, 1, 700, 1500, 2998, 2999], None: [0, 399, 400, 799]}
+    targets = spark.createDataFrame([(k, r) for k, rs in ranks.items() for r in rs], "k string, _rank long")
+    got = {(r["k"], r["_rank"]): r["_value"] for r in values_at_ranks(rows, ["k"], targets, few=few).collect()}
+    assert got == {(k, r): sorted(values[k])[r] for k, rs in ranks.items() for r in rs}
+
+
+def test_quantiles_of_large_and_small_groups(spark):
+    rng = np.random.default_rng(3)
+    groups = {"hot": rng.lognormal(0, 4, 5000), "small": rng.normal(size=40), None: rng.normal(size=900), "one": np.array([2.0])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None), ("hot", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    asked = {"low": 0.0, "q1": 0.25, "mid": 0.5, "p99": 0.99, "top": 1.0}
+    for limit in (None, 500, 10):
+        got = {r["k"]: tuple(r)[1:] for r in A.quantiles(df, ["k"], "v", asked, limit).collect()}
+        assert got.keys() == groups.keys()
+        for k, vs in groups.items():
+            assert got[k] == pytest.approx(np.quantile(vs, list(asked.values())), rel=1e-12)
+    assert A.quantiles(df.filter("v is null"), [], "v", asked, 10).count() == 0
+
+
+def test_approximate_quantiles(spark):
+    df = spark.range(1, 10_001).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    got = {r["g"]: (r["a"], r["b"]) for r in A.approximate_quantiles(df, ["g"], "v", {"a": 0.1, "b": 0.5}, 1000).collect()}
+    for g, (a, b) in got.items():
+        assert abs(a - 1000) <= 25 and abs(b - 5000) <= 25 and a % 2 == b % 2 == g
+
+
 def test_redundant_columns():
     assert A.redundant_columns([("a", "b"), ("b", "a"), ("b", "c")]) == ["b"]
     assert A.redundant_columns([("a", "b"), ("a", "c")]) == ["b", "c"]
