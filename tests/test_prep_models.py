@@ -154,6 +154,47 @@ def test_multilabel_search_and_submission(spark):
         Z.submission(scored, template.filter("i > 3"), ["i"])
 
 
+class CountedScale(R.StandardScale):
+    """Notes every fit of the preparation."""
+
+    fits: list[int] = []
+
+    def _learn(self, df):
+        CountedScale.fits.append(df.count())
+        return super()._learn(df)
+
+
+@pytest.mark.parametrize("draws", [2, 5])
+def test_search_prepares_once_per_fold(spark, draws):
+    df = L.contiguous_folds(people(spark).withColumn("mix", F.hash("i")), ["mix"], 3)
+
+    def build(n_rows, c):
+        bundle = R.column_bundle(R.Roles(numeric=["age"], categorical=["kind"]), [CountedScale, R.MedianImputer])
+        return Pipeline(stages=[bundle, *T.logistic_stages(["late"], n_rows, c, 5)])
+
+    CountedScale.fits.clear()
+    scores = lambda rows: {"mean": rows.agg(F.avg("late_prediction")).first()[0], "n": float(rows.count())}
+    model, _, results = T.random_search(df, build, {"c": [0.01, 0.1, 1.0, 5.0, 10.0]}, scores, "mean", "fold", 3, draws=draws)
+    assert sorted(CountedScale.fits) == [40, 40, 40, 60] and len(results) == draws
+    # the same numbers as when every setting prepares for itself
+    for one in results:
+        alone = []
+        for i in range(3):
+            fitted = build(40, one["c"]).fit(df.filter(F.col("fold") != i))
+            alone.append(scores(fitted.transform(df.filter(F.col("fold") == i)))["mean"])
+        assert one["mean"] == pytest.approx(sum(alone) / 3)
+    assert len(model.transform(df).select("late_prediction").collect()) == 60
+
+
+def test_shared_prefix_stops_at_the_first_difference():
+    a = [R.StandardScale(["x"]), R.MedianImputer(["x"]), T.boosted_regressor("y", rounds=3)]
+    b = [R.StandardScale(["x"]), R.MedianImputer(["x"]), T.boosted_regressor("y", rounds=4)]
+    assert T.shared_prefix([a, b]) == 2 and T.shared_prefix([a, a]) == 2
+    assert T.shared_prefix([a, [R.StandardScale(["z"]), *b[1:]]]) == 0
+    unnamed = [[VectorAssembler(inputCols=["x"]), a[2]], [VectorAssembler(inputCols=["x"]), b[2]]]
+    assert T.shared_prefix(unnamed) == 0
+
+
 def regression(spark, n=120):
     rng = np.random.default_rng(1)
     a, b = rng.uniform(0, 1, n), rng.uniform(0, 1, n)
