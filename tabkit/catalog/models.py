@@ -11,6 +11,7 @@ from tabkit.catalog.common import table, weekly_orders
 from tabkit.functions.scalars import date_parts, log_grid
 from tabkit.operators import evaluate as E
 from tabkit.operators import explain as X
+from tabkit.operators import grouped as G
 from tabkit.operators import joins as J
 from tabkit.operators import prep as R
 from tabkit.operators import score as Z
@@ -49,9 +50,9 @@ def multilabel_logit(spark, d):
 
 def random_search(spark, d):
     train = L.contiguous_folds(_documents(spark, d).filter("role = 'train'"), ["doc_id"], 3)
-    axes = {"C": log_grid(-1, 1, 10), "max_iter": [10, 15]}
+    axes = {"C": log_grid(-1, 1, 10), "max_iter": [2500, 5000]}
     scores = E.MacroAucEvaluator(LABELS).scores
-    _, _, results = T.random_search(train, _label_pipeline, axes, scores, "roc_auc", "fold", 3, draws=2)
+    _, _, results = T.random_search(train, _label_pipeline, axes, scores, "roc_auc", "fold", 3)
     # one row per tried combination
     names = sorted(results[0])
     rows = [tuple(float(r[n]) for n in names) for r in results]
@@ -129,18 +130,8 @@ def gbt_grid(spark, d):
 
 def per_entity(spark, d):
     weeks = _weekly(spark, d)
-
-    def fit(rows, _):
-        stages = [R.MedianImputer(["lag1"]), VectorAssembler(inputCols=FEATURES, outputCol="features")]
-        pipeline = Pipeline(stages=[*stages, T.histogram_regressor("total", rounds=2, rate=0.5)])
-        return T.fit_kept(pipeline, rows.filter("role = 'train'"))
-
-    models = T.fit_per_entity(weeks, "priority", fit)
-    test = weeks.filter("role = 'test'")
-    parts = [Z.score_counts(m, test.filter(F.col("priority").eqNullSafe(F.lit(e))), ["priority", "week", "total"]) for e, m in models.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    model = G.fit_groups(weeks.filter("role = 'train'"), "priority", FEATURES, "total")
+    out = Z.score_counts(model, weeks.filter("role = 'test'"), ["priority", "week", "total"])
     return E.rmse_r2(out, "total", "y_pred", ["priority"])
 
 

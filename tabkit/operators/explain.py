@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel, VectorAssembler
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.operators.ordered import MAX_ROWS, number_rows
-from tabkit.operators.prep import feature_names
+from tabkit.operators.prep import _ColumnModel, feature_names
 from tabkit.session import stable
 
+#: Rounds of the shuffle of positions.
+SWAPS = 24
+
 
 def impurity_importance(model: PipelineModel, sample: DataFrame, vector: str = "features") -> DataFrame:
     """(feature, importance) of a tree model at the end of a pipeline, highest first."""
@@ -22,6 +26,46 @@ def impurity_importance(model: PipelineModel, sample: DataFrame, vector: str = "
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def shuffled_position(position: Column, repeat: Column, n: int, seed: int = 0, rounds: int = SWAPS) -> Column:
+    """Where a repeat sends each position of 0 to n - 1: a bijection, computed row by row.
+
+    Swap or not: every round pairs each position with a partner, the same both
+    ways, and a coin of the pair says whether the two change places.
+    """
+
+    repeat = repeat.cast("long")
+
+    def swap(x: Column, i: Column) -> Column:
+        partner = F.pmod(F.xxhash64(F.lit(seed), repeat, i) - x, F.lit(n))
+        coin = F.xxhash64(F.lit(seed + 1), repeat, i, F.greatest(x, partner)).bitwiseAND(1)
+        return F.when(coin == 1, partner).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), position.cast("long"), swap)
+
+
+#: Stages that name what they make of a column after it.
+_KNOWN_STAGES = (_ColumnModel, VectorAssembler, StringIndexerModel, OneHotEncoderModel)
+
+
+def unused_features(model: Model, df: DataFrame, features: list[str], vector: str = "features") -> list[str]:
+    """Features no tree of the model splits on; none if that can't be told from the model's stages."""
+    stages = model.stages if isinstance(model, PipelineModel) else []
+    if not stages or not hasattr(stages[-1], "featureImportances") or not all(isinstance(s, _KNOWN_STAGES) for s in _flat(stages[:-1])):
+        return []
+    weights = stages[-1].featureImportances.toArray()
+    names = feature_names(PipelineModel(stages=stages[:-1]).transform(df.limit(0)), stages[-1].getFeaturesCol())
+    found = []
+    for f in features:
+        slots = [w for name, w in zip(names, weights, strict=True) if name == f or name.startswith(f"{f}_")]
+        if slots and not any(slots):
+            found.append(f)
+    return found
+
+
+def _flat(stages: list) -> list:
+    return [s for stage in stages for s in (_flat(stage.stages) if isinstance(stage, PipelineModel) else [stage])]
+
+
 def permutation_importance(
     model: Model,
     df: DataFrame,
@@ -34,40 +78,48 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and population deviation of the loss in R2 when one feature is shuffled.
 
-    All features and repeats run as one job. Rows are numbered by id, and per
-    repeat once more by a hash of the id; the row with the same number lends
-    its values. A repeat's order serves every feature. The change is summed
-    over rows from differences of squared errors, so a feature the model does not
-    use comes out at exactly zero.
+    Rows are numbered by id once. A repeat's shuffle is a bijection of those
+    numbers that every row computes for itself, so nothing is sorted per
+    repeat: each row sends its values, one slim struct per repeat, to the row
+    it lends them to, and the whole rows move once for all repeats together.
+    A repeat's order serves every feature. The change is summed over rows from
+    differences of squared errors; features that no tree splits on are not
+    shuffled at all and come out at exactly zero.
     """
-    # read four times below, so scored once and written out
-    base = stable(
-        model.transform(df.select(row_id, label, *features)).select(
-            row_id, label, *features, F.col("prediction").alias("_base")
-        )
+    idle = unused_features(model, df, features)
+    asked = [f for f in features if f not in idle]
+    spark = df.sparkSession
+    zeros = spark.createDataFrame([(f, 0.0, 0.0) for f in idle], "feature string, mean double, std double")
+    if not asked:
+        return zeros
+    scored = model.transform(df.select(row_id, label, *features)).select(
+        row_id, label, *features, F.col("prediction").alias("_base")
     )
+    # read twice below, so numbered once and written out
+    own = number_rows(stable(scored), [], [row_id], max_rows=max_rows)
+    base = stable(own.df)
     target = F.col(label).cast("double")
-    spread = base.agg((F.var_pop(target) * F.count(target)).alias("s")).first()["s"]
-
-    own = number_rows(base, [], [row_id], max_rows=max_rows)
-    repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    lent = base.select(row_id, F.struct(*features).alias("_lent")).withColumn("_repeat", repeat)
-    lent = lent.withColumn("_draw", F.xxhash64(F.lit(seed), "_repeat", row_id))
-    lent = number_rows(lent, ["_repeat"], ["_draw", row_id], max_rows=max_rows)
-    paired = own.df.withColumn("_repeat", repeat).join(
-        lent.df.select("_repeat", lent.pos, "_lent"), ["_repeat", own.pos]
-    )
-    shuffled = paired.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in features]))).select(
+    n, spread = base.agg(F.count(F.lit(1)), F.var_pop(target) * F.count(target)).first()
+    if not n:
+        nothing = spark.createDataFrame([(f,) for f in asked], "feature string")
+        return nothing.select("feature", *[F.lit(None).cast("double").alias(c) for c in ("mean", "std")]).unionByName(zeros)
+
+    lent = base.select(F.col(own.pos).alias("_from"), F.struct(*asked).alias("_lent"))
+    lent = lent.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    lent = lent.select("_repeat", "_lent", shuffled_position(F.col("_from"), F.col("_repeat"), n, seed).alias(own.pos))
+    paired = base.join(lent, own.pos)
+    shuffled = paired.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in asked]))).select(
         "_feature", "_repeat", label, "_base",
-        *[F.when(F.col("_feature") == f, F.col("_lent")[f]).otherwise(F.col(f)).alias(f) for f in features],
+        *[F.when(F.col("_feature") == f, F.col("_lent")[f]).otherwise(F.col(f)).alias(f) if f in asked else F.col(f) for f in features],
     )
     wrong, right = target - F.col("prediction"), target - F.col("_base")
     per_repeat = model.transform(shuffled).groupBy("_feature", "_repeat").agg(
         F.try_divide(F.sum(wrong * wrong - right * right), F.lit(spread)).alias("_drop")
     )
-    return per_repeat.groupBy(F.col("_feature").alias("feature")).agg(
+    found = per_repeat.groupBy(F.col("_feature").alias("feature")).agg(
         F.avg("_drop").alias("mean"), F.stddev_pop("_drop").alias("std")
     )
+    return found.unionByName(zeros) if idle else found
 
 
 def eliminate_features(

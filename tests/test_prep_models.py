@@ -226,6 +226,52 @@ def test_permutation_importance(spark, limit):
     assert (out["flat"]["mean"], out["flat"]["std"]) == (0.0, 0.0)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 500])
+def test_shuffled_positions_are_a_bijection(spark, n):
+    df = spark.range(n).crossJoin(spark.range(4).withColumnRenamed("id", "r"))
+    rows = df.select("id", "r", X.shuffled_position(F.col("id"), F.col("r"), n, 5).alias("to")).collect()
+    for r in range(4):
+        to = [x["to"] for x in sorted(rows, key=lambda x: x["id"]) if x["r"] == r]
+        assert sorted(to) == list(range(n))
+        if n == 500:  # spread over the whole range, and another order in every repeat
+            assert abs(np.corrcoef(range(n), to)[0, 1]) < 0.2 and sum(a == b for a, b in enumerate(to)) < 10
+    assert n < 500 or len({tuple(x["to"] for x in rows if x["r"] == r) for r in range(4)}) == 4
+
+
+def test_permutation_importance_against_brute_force(spark):
+    df = regression(spark)
+    features = ["a", "b", "flat"]
+    model = boosted(df, features)
+    pdf = df.toPandas().sort_values("id").reset_index(drop=True)
+    at = spark.range(len(pdf)).crossJoin(spark.range(3).withColumnRenamed("id", "r"))
+    sent = at.select("id", "r", X.shuffled_position(F.col("id"), F.col("r"), len(pdf), 0).alias("to")).toPandas()
+
+    def error(frame):
+        out = model.transform(spark.createDataFrame(frame)).orderBy("id").toPandas()
+        return ((out["y"] - out["prediction"]) ** 2).sum()
+
+    whole = ((pdf["y"] - pdf["y"].mean()) ** 2).sum()
+    for r in X.permutation_importance(model, df, features, "y", "id", 3).collect():
+        drops = []
+        for i in range(3):
+            one = sent[sent["r"] == i]
+            changed = pdf.copy()
+            changed.loc[one["to"].to_numpy(), r["feature"]] = pdf[r["feature"]].to_numpy()[one["id"].to_numpy()]
+            drops.append((error(changed) - error(pdf)) / whole)
+        assert r["mean"] == pytest.approx(np.mean(drops)) and r["std"] == pytest.approx(np.std(drops))
+
+
+def test_importance_moves_whole_rows_once(spark):
+    df = regression(spark)
+    model = boosted(df, ["a", "b", "flat"])
+    assert X.unused_features(model, df, ["a", "b", "flat"]) == ["flat"]
+    plans = [
+        X.permutation_importance(model, df, ["a", "b", "flat"], "y", "id", n)._jdf.queryExecution().optimizedPlan().toString()
+        for n in (2, 20)
+    ]
+    assert plans[0].count("Join ") == plans[1].count("Join ") == 1 and "Window" not in plans[1] and "Sort" not in plans[1]
+
+
 def test_elimination_and_impurity(spark):
     df = regression(spark)
     model, kept, rounds = X.eliminate_features(df, ["flat", "a", "b"], "y", "id", boosted, repeats=2)
