@@ -97,7 +97,8 @@ def permutation_importance(
     )
     # read twice below, so numbered once and written out
     own = number_rows(stable(scored), [], [row_id], max_rows=max_rows)
-    base = stable(own.df)
+    # and spread again, as numbering may have put a small table into one task
+    base = stable(own.df.repartition(spark.sparkContext.defaultParallelism, own.pos) if not own.split else own.df)
     target = F.col(label).cast("double")
     n, spread = base.agg(F.count(F.lit(1)), F.var_pop(target) * F.count(target)).first()
     if not n:
