@@ -155,4 +155,37 @@ SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesc
   sha256(coalesce(t, '')) AS kept_sha256 FROM p LEFT JOIN kept USING (r)
 """
 
-ORACLE = {"op1_suffix_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_line_dedup": OP8_SQL}
+
+
+def _op11_sql(k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS, seed: int = centroids.SEED) -> str:
+    """Plain rounds: every vector against every centroid, ties to the smaller number, sums divided and rounded down."""
+    name = f"sha256('{seed}:' || vec_id)"
+    parts = [f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor({centroids.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {centroids.WIDTH}
+    AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {centroids.WIDTH}
+), c0 AS MATERIALIZED (
+  SELECT n - 1 AS k, x AS c FROM (SELECT x, row_number() OVER (ORDER BY {name}, x) AS n FROM v) WHERE n <= {k}
+)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, vec_id, x, k, d FROM (
+    SELECT r, vec_id, x, k, d, row_number() OVER (PARTITION BY r ORDER BY d, k) AS place FROM (
+      SELECT r, vec_id, x, k, list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d FROM v, c{i}
+    )) WHERE place = 1
+)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT k, coalesce(moved.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM (
+      SELECT k, j, sum(e) AS s, count(*) AS n FROM (SELECT k, unnest(x) AS e, generate_subscripts(x, 1) AS j FROM a{i}) GROUP BY k, j
+    ) GROUP BY k
+  ) AS moved USING (k)
+)""")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+ORACLE = {"op11_centroids": _op11_sql(), "op1_suffix_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_line_dedup": OP8_SQL}
