@@ -258,16 +258,56 @@ def test_toxicity_tolerates_gaps_and_insertions(spark):
     docs = documents(spark, tests, score="mine")
     got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, machine).collect()}
     assert [got[i] >= 0.5 for i in range(6)] == [True, True, True, False, False, False]
-    assert toxicity.train([], clean).score(np.array([-1.0]))[0] < 0.5
-
-
-def test_folded_machine_equals_the_kernel():
-    slots, weights, size, _ = toxicity._seen(["idiot", "idixot", "banana"])
-    table = np.zeros((toxicity.LETTERS**3, 3), np.float32)
-    for i in range(3):
-        np.add.at(table[:, i], slots[i], weights[i] / size[i])
-    k = toxicity.kernel(slots, weights, size, table)
-    assert np.allclose(np.diag(k), 1, atol=1e-5) and np.allclose(k, k.T, atol=1e-5) and k[0, 1] > 0.5 and k[0, 2] == 0
+    assert toxicity.train([], clean).score(np.array([[-1.0, -2.0]]))[0] < 0.5
+
+
+def brute_features(word):
+    """Weight of every subsequence of three signs, by its letters, spelled out."""
+    signs = [toxicity.MARK] + [int(toxicity._CODE[ord(c)]) for c in word if toxicity._CODE[ord(c)]]
+    found = {}
+    for i in range(len(signs)):
+        for j in range(i + 1, len(signs)):
+            for k in range(j + 1, min(len(signs), i + toxicity.SPAN)):
+                slot = (signs[i] * toxicity.LETTERS + signs[j]) * toxicity.LETTERS + signs[k]
+                found[slot] = found.get(slot, 0.0) + toxicity.DECAY ** (k - i + 1)
+    return found
+
+
+def test_kernel_and_folded_machine_equal_brute_force():
+    words = ["idiot", "idixot", "banana", "i.d.i.o.t", "Straße", "anananananananana" * 40]
+    feats = [brute_features(w) for w in words]
+    dot = lambda a, b: sum(v * b.get(slot, 0.0) for slot, v in a.items())
+    want = np.array([[dot(a, b) / np.sqrt(dot(a, a) * dot(b, b)) for b in feats] for a in feats])
+    assert np.allclose(toxicity.kernel(words, words), want, atol=1e-4)
+    slots, weights = toxicity.long_word(words[-1])  # a long word adds up from stretches
+    assert np.allclose([feats[-1][s] for s in slots], weights) and len(slots) == len(feats[-1])
+    used, marks = toxicity.landmark_table(words[:3])
+    table = np.zeros(toxicity.LETTERS**3, np.float32)
+    table[used] = marks @ np.array([1.0, 2.0, -0.5], np.float32)
+    raw = want[:, :3] @ np.array([1.0, 2.0, -0.5])
+    assert np.allclose(toxicity.Machine(table, -1.0).margins([*words, "abc"]), np.append(np.maximum(raw, 0) - 1, -1), atol=1e-4)
+
+
+def test_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=toxicity.LETTERS**3).astype(np.float32)
+    machine = toxicity.Machine(table, -1.0, np.array([0.7, 0.2]), 0.1, 1.5)
+    texts = ["idiot and banana trees", "", None, "idiot idiot! IDIOT", "a b c d e", "xy z", "banana " * 3000]
+    best = []
+    for text in texts:
+        found = set()
+        for word in toxicity.words_of(text):
+            f = brute_features(word)
+            if len([c for c in word if toxicity._CODE[ord(c)]]) >= toxicity.LEAST_LETTERS:
+                raw = sum(v * float(table[s]) for s, v in f.items())
+                found.add(round(-1 + max(0.0, raw / sum(v * v for v in f.values()) ** 0.5), 3))
+            else:
+                found.add(-1.0)
+        top = [min(m, toxicity.MOST_MARGIN) for m in sorted(found, reverse=True)[:2]]
+        best.append(top + [toxicity.LEAST_MARGIN] * (2 - len(top)))
+    want = machine.score(np.array(best))
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(documents(spark, texts), machine).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=2e-3)
 
 
 def test_held_out_rows(spark):
