@@ -226,8 +226,8 @@ def near_vectors(rows: DataFrame, least: float = LEAST, reach: float = REACH, tr
     link with nothing, as do vectors of different lengths. Equal vectors link
     with each other by definition and share their other links. Repeated rows
     count one by one. component_id is the smallest vec_id reached; null ids
-    count as links but never name a component unless it has no other id. kept
-    is true where vec_id equals component_id, or for a vector on its own. An
+    count as links but never name a component. kept is true where vec_id equals
+    component_id, and for a null id on its own or linked with null ids only. An
     empty table gives an empty result.
     """
     spark = rows.sparkSession
@@ -272,5 +272,6 @@ def near_vectors(rows: DataFrame, least: float = LEAST, reach: float = REACH, tr
         "vec_id",
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.coalesce("component_id", "vec_id").cast("long").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"),
+        # without an id: kept on its own, or where nothing it reaches has an id either
+        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.col("component_id").isNull() | (F.coalesce("n_links", F.lit(0)) == 0)).alias("kept"),
     )

@@ -478,3 +478,11 @@ def test_pipeline_stages_against_their_contracts(spark):
     assert clean.columns == before.columns and clean.exceptAll(before).count() == 0
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == [*before.columns, "shard", "slot"] and out.select(*before.columns).distinct().exceptAll(clean).count() == 0
+
+
+def test_null_vector_ids_are_kept_only_without_a_named_copy(spark):
+    rows = [(None, [1.0, 0.0]), (3, [1.0, 0.01]), (3, [1.0, 0.01]), (None, [0.0, 1.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.0]), (None, None), (8, [0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in pq_dedup.near_vectors(vectors).collect()]
+    want = [(None, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (None, 0, None, True), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (8, 0, 8, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
