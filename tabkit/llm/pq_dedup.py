@@ -15,7 +15,7 @@ per-query tables of subspace distances to the codes. A code's own error is
 stored with it and added to the limit, so this step loses no link; what passes
 is compared exactly. Of two different lists only one asks the other, and a link
 counts for both ends, so that no pair is compared twice. Vectors travel in
-packs, one per batch and list. Lists are cut into blocks of bounded size that
+packs, one per batch and list, and are shuffled once without being written before. Lists are cut into blocks of bounded size that
 queries stream past, and only counts and spanning forests of links leave a task.
 """
 
@@ -37,11 +37,14 @@ TRAIN_ROWS = 20_000
 #: Sample vectors whose links are looked up to measure how even steps are.
 PAIR_ROWS = 4096
 SUBSPACES, CODES = 8, 64
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
 #: Bytes of the vectors of one list that travel together at most, and queries compared at a time, about.
 PACK_BYTES, QUERY_ROWS = 8 << 10, 1024
 MEMBER, OWN, ACROSS = 0, 1, 2
 REACH = 3.5
+#: Lists per root of the number of vectors. A vector is sent to a share of the lists that hardly falls
+#: with their number, so what is shuffled grows with it, while the pairs compared stay nearly the same.
+LISTS_PER_ROOT = 0.5
 MOST_LISTS = 8192
 ROUNDS = 8
 SEED = 42
@@ -144,6 +147,21 @@ class Index:
         return who[cosine >= least], member[cosine >= least]
 
 
+def _list_sizes(index: Index, dims: int, kind: str):
+    """Members of each list, one row per batch and list."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), kind).reshape(-1, dims)
+            sizes = np.zeros(len(index.centres), np.int64)
+            for i in range(0, len(raw), 1024):
+                sizes += np.bincount(nearest(unit(raw[i : i + 1024]), index.centres)[0], minlength=len(sizes))
+            cells = np.flatnonzero(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(sizes[cells])], names=["cell", "size"])
+
+    return mapped, "cell int, size long"
+
+
 def _index_rows(index: Index, dims: int, kind: str):
     """Packs for the lists: each vector once as a member and a query of its own, once as a query of every list it asks."""
 
@@ -242,20 +260,22 @@ def near_vectors(rows: DataFrame, least: float = LEAST, reach: float = REACH, tr
     found = None
     for dims, n in sorted(sizes.items()):
         same = folded.where(F.col("dims") == dims)
-        lists = int(min(MOST_LISTS, max(1, 2 * n**0.5)))
+        lists = int(min(MOST_LISTS, max(1, LISTS_PER_ROOT * n**0.5)))
         share = min(1.0, train_rows / n)
         drawn = same.where(F.shiftrightunsigned(F.xxhash64("embedding"), 11) / F.lit(float(1 << 53)) <= share).select("embedding").limit(2 * train_rows).toPandas()
         sample = unit(np.array(drawn["embedding"].tolist() or [[1.0] * dims]))
         index = Index(sample, lists, least, reach)
+        mapped, schema = _list_sizes(index, dims, kind)
+        counted = same.select("embedding").mapInArrow(mapped, schema).groupBy("cell").agg(F.sum("size").alias("size"))
+        blocks = stable(counted.select("cell", F.ceil(F.col("size") / block_rows).cast("int").alias("blocks")))
+        # numbering the lists twice is cheaper than keeping a second copy of all packs
         mapped, schema = _index_rows(index, dims, kind)
-        entries = stable(same.select("cid", "embedding", "times").mapInArrow(mapped, schema))
-        member = entries.where(F.col("kind") == MEMBER)
-        blocks = member.groupBy("cell").agg(F.ceil(F.sum("size") / block_rows).cast("int").alias("blocks"))
+        entries = same.select("cid", "embedding", "times").mapInArrow(mapped, schema)
         spread = entries.join(F.broadcast(blocks), "cell")  # one row per list, of which there are MOST_LISTS at most
         own = F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         placed = spread.withColumn("block", F.explode(F.when(F.col("kind") == MEMBER, own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
         search, out = _search(index, dims, least, kind)
-        parts = parts_for(entries.agg(F.sum("size")).first()[0], 50_000)
+        parts = parts_for(n * (2 + lists // 8), 50_000)  # on even vectors about an eighth of the lists is asked
         dealt = placed.drop("blocks").repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "kind")
         part = dealt.mapInArrow(search, out)
         found = part if found is None else found.union(part)
