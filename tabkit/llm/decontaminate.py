@@ -9,6 +9,12 @@ offset, give candidate starts; the second rarest must stand at its own offset;
 all other terms are then intersected at theirs. Windows that differ only in the
 item they come from are looked up once. Nothing grows with the square of a
 document, item or passage: a candidate is one document start and one window.
+
+Proximity matches come from the same postings: a window is near a place if at
+most a quarter of its terms are missing there and each other one stands at most
+`slack` words from its own offset. With m terms allowed to miss, at least two of
+the m + 2 rarest must stand so; their postings vote for starts, and only starts
+with two votes are looked up for the remaining terms.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from tabkit.session import small_side, stable
 WINDOW = 13
 #: Share of hit words, as one in so many, from which a document counts as contaminated.
 ONE_IN = 20
+#: A proximity match may miss one term in so many, the others may be displaced by so many words.
+MISSING_ONE_IN, SLACK = 4, 1
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -57,8 +65,8 @@ def postings(docs: DataFrame, vocabulary: DataFrame, lone: bool) -> DataFrame:
     return stable(both.join(vocabulary, "term", "left_semi"))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Exact matches (__row, start, words, win), and the items of each window (win, item_id)."""
+def indexed(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The postings, the windows with their terms from the rarest (win, words, by_df), and the items of each (win, item_id)."""
     wins, holders = windows(items, window)
     wins = stable(wins)
     flat = wins.select("win", "words", F.posexplode("terms").alias("off", "term"))
@@ -66,6 +74,11 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     index = postings(docs, small_side(flat.select("term").distinct()), lone)
     frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ordered = flat.join(frequency, "term", "left").groupBy("win", "words").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term"))).alias("by_df"))
+    return index, stable(ordered), holders
+
+
+def occurrences(index: DataFrame, ordered: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Exact matches (__row, start, words, win)."""
     plan = small_side(ordered.where(F.col("by_df")[0]["df"] > 0))
     first = plan.select("win", "words", "by_df", F.col("by_df")[0]["term"].alias("term"), F.col("by_df")[0]["off"].alias("off"))
     found = index.join(first, "term").select("win", "words", "by_df", "__row", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
@@ -79,28 +92,63 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     full = rest.join(listed, at, "left_semi").groupBy("win", "words", "__row", "start", "n").count().where("count = n - 2")
     short = two.where(F.size("by_df") == 2)
     out = ["__row", "start", "words", "win"]
-    return stable(single.select(*out).union(short.select(*out)).union(full.select(*out))), holders
+    return stable(single.select(*out).union(short.select(*out)).union(full.select(*out)))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) -> DataFrame:
+def proximity(index: DataFrame, ordered: DataFrame, missing_one_in: int = MISSING_ONE_IN, slack: int = SLACK) -> DataFrame:
+    """Proximity matches (__row, start, win, n_found): every start at which enough terms of the window stand near their offsets.
+
+    One passage so has a few neighbouring starts. Exact matches are among them,
+    with all terms found. A window of fewer than `missing_one_in` terms may miss none.
+    """
+    sized = ordered.withColumn("n", F.size("by_df")).withColumn("missing", F.floor(F.col("n") / missing_one_in).cast("int"))
+    possible = sized.where(F.size(F.filter("by_df", lambda t: t["df"] == 0)) <= F.col("missing"))
+    anchors = possible.select("win", "n", "missing", F.explode(F.slice("by_df", F.lit(1), F.col("missing") + 2)).alias("t"))
+    asked = small_side(anchors.where("t.df > 0").select("win", F.least("n", F.col("missing") + 2).alias("n_asked"), "missing", F.col("t.off").alias("off"), F.col("t.term").alias("term")))
+    near = F.explode(F.sequence(F.col("pos") - F.col("off") - slack, F.col("pos") - F.col("off") + slack))
+    votes = index.join(asked, "term").select("win", "__row", "n_asked", "missing", "off", near.alias("start"))
+    counted = votes.groupBy("win", "__row", "start").agg(F.size(F.collect_set("off")).alias("n_voted"), F.max(F.col("n_asked") - F.col("missing")).alias("least"))
+    open_ = stable(counted.where("n_voted >= least").select("win", "__row", "start", "n_voted"))
+    rest = small_side(possible.select("win", "n", "missing", F.expr("slice(by_df, missing + 3, greatest(n - missing - 2, 0))").alias("others")))
+    both = open_.join(rest, "win")
+    places = F.explode(F.transform("others", lambda t: F.struct(t["off"].alias("off"), t["term"].alias("term"))))
+    wanted = both.select("win", "__row", "start", places.alias("t"))
+    shifted = wanted.select("win", "__row", "start", F.col("t.off").alias("off"), F.col("t.term").alias("term"), F.explode(F.sequence(F.col("start") + F.col("t.off") - slack, F.col("start") + F.col("t.off") + slack)).alias("pos"))
+    seen = shifted.join(index, ["__row", "term", "pos"], "left_semi").groupBy("win", "__row", "start").agg(F.size(F.collect_set("off")).alias("n_more"))
+    full = both.join(seen, ["win", "__row", "start"], "left").withColumn("n_found", F.col("n_voted") + F.coalesce("n_more", F.lit(0)))
+    return stable(full.where("n_found >= n - missing").select("__row", "start", "win", "n_found"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, slack: int | None = SLACK) -> DataFrame:
     """One row per row of `docs` (__row, text and others, which pass but the text): words, hits, items, verdict.
 
+    n_near_items counts the items with a window near some place, exact ones
+    included; the verdict rests on exact hits alone. With `slack` None the
+    proximity matches are not looked for and the column is absent.
+
     Null and empty texts have no words and are never contaminated; items
     without words have no window; an item id of null is left out of the list.
     Repeated rows and items are judged one by one. Empty tables on either side
     give an empty result, or one without hits. Columns n_words, n_hit, n_items,
-    items_sha256 and contaminated are replaced.
+    n_near_items, items_sha256 and contaminated are replaced.
     """
-    found, holders = occurrences(docs.select("__row", "text"), items, window)
+    index, ordered, holders = indexed(docs.select("__row", "text"), items, window)
+    found = occurrences(index, ordered, window)
+    holders = small_side(holders)
     order = W.partitionBy("__row").orderBy("start")
     spans = found.groupBy("__row", "start").agg(F.max(F.col("start") + F.col("words")).alias("stop"))
     reached = F.coalesce(F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     fresh = F.greatest(F.col("stop") - F.greatest("start", reached), F.lit(0))
     hits = spans.withColumn("fresh", fresh).groupBy("__row").agg(F.sum("fresh").cast("long").alias("n_hit"))
-    held = found.select("__row", "win").distinct().join(small_side(holders), "win").select("__row", "item_id").distinct()
+    held = found.select("__row", "win").distinct().join(holders, "win").select("__row", "item_id").distinct()
     listed = held.groupBy("__row").agg(F.count("item_id").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"))
     result = hits.join(listed, "__row", "left")
-    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    near = []
+    if slack is not None:
+        placed = proximity(index, ordered, slack=slack).select("__row", "win").distinct().join(holders, "win")
+        result = placed.groupBy("__row").agg(F.count_distinct("item_id").alias("n_near_items")).join(result, "__row", "left")
+        near = [F.coalesce("n_near_items", F.lit(0).cast("long")).alias("n_near_items")]
+    names = ("n_words", "n_hit", "n_items", "n_near_items", "items_sha256", "contaminated")
     kept = [c for c in docs.columns if c not in ("text", *names)]
     counted = docs.select(*kept, F.size(tokens("text")).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
@@ -111,11 +159,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_i
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (one_in * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *near,
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) -> DataFrame:
     """The rows of `docs` that are not contaminated, with their columns; __row is reserved."""
     whole = numbered(docs)
-    bad = contamination(whole.select("__row", "text"), items, window, one_in).where("contaminated").select(F.col("__row").alias("__bad"))
+    bad = contamination(whole.select("__row", "text"), items, window, one_in, slack=None).where("contaminated").select(F.col("__row").alias("__bad"))
     return whole.join(small_side(bad), F.col("__row") == F.col("__bad"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

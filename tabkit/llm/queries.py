@@ -84,6 +84,7 @@ QUERIES = {f.__name__: f for f in (
     op9_pq_dedup, op10_token_counts, op11_centroids, op12_token_alignment, op13_quality_rules,
 )}
 #: One window per start, the windows of items found in documents by join, hit positions counted once.
+#: Near items: every term that stands near its offset votes for a start of its window.
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -106,10 +107,28 @@ ends AS (
 held AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id
+), cut AS (
+  SELECT DISTINCT array_to_string(w[s : s + 12], ' ') AS k, w[s : s + 12] AS v FROM starts
+), parts AS (
+  SELECT k, greatest(len(v) - 1, 1) AS n, off, array_to_string(v[off + 1 : off + 2], ' ') AS term
+  FROM (SELECT k, v, unnest(generate_series(0, greatest(len(v) - 2, 0))) AS off FROM cut)
+), posted AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 1], ' ') AS term
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS p FROM d)
+  UNION ALL SELECT doc_id, p, w[p] FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM d)
+), votes AS (
+  SELECT doc_id, k, n, off, p - off AS base FROM posted JOIN parts USING (term)
+), near AS (
+  SELECT DISTINCT doc_id, k FROM (
+    SELECT doc_id, k, n, off, base + s AS base FROM votes, (SELECT unnest([-1, 0, 1]) AS s)
+  ) GROUP BY doc_id, k, n, base HAVING count(DISTINCT off) >= n - n // 4
+), near_items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM near JOIN win USING (k) GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id) LEFT JOIN near_items USING (doc_id)
 """
 
 #: Every byte start as hexadecimal text; starts whose 400 bytes occur twice cover bytes, the rest is kept.

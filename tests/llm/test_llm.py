@@ -328,6 +328,46 @@ def test_contamination_of_short_items_and_ties(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(documents(spark, texts), items).collect()) == [3, 4, 5]
 
 
+def brute_near(words, item, slack=1):
+    """Is one of the item's windows near some start, looked at term by term."""
+    places = {}
+    for p, pair in enumerate(zip(words[:-1], words[1:], strict=True)):
+        places.setdefault(pair, set()).add(p)
+    for i in range(max(1, len(item) - 12)):
+        cut = item[i : i + 13]
+        pairs = list(zip(cut[:-1], cut[1:], strict=True))
+        bases = {p - off + d for off, pair in enumerate(pairs) for p in places.get(pair, ()) for d in range(-slack, slack + 1)}
+        for base in bases:
+            found = sum(any(base + off + d in places.get(pair, ()) for d in range(-slack, slack + 1)) for off, pair in enumerate(pairs))
+            if found >= len(pairs) - len(pairs) // 4:
+                return True
+    return False
+
+
+def test_proximity_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 12, n)]
+    items = {i: draw(int(rng.integers(2, 30))) for i in range(25)}
+    texts = [draw(60) for _ in range(30)]
+    for i in range(25):  # an item with words put in, dropped and changed
+        edited = [w for w in items[i] for w in ([w] if rng.random() > 0.1 else [[], [w, "x"], ["y"]][rng.integers(0, 3)])]
+        texts.append(draw(8) + edited + draw(8))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    docs = common.numbered(documents(spark, [" ".join(t) for t in texts]))
+    got = {r["doc_id"]: r["n_near_items"] for r in decontaminate.contamination(docs, table).collect()}
+    assert got == {d: sum(brute_near(t, item) for item in items.values()) for d, t in enumerate(texts)}
+    assert {0, 1} <= set(got.values())
+
+
+def test_passage_with_a_word_put_in_and_one_dropped_every_dozen(spark):
+    item = [f"w{i}" for i in range(60)]
+    loose = [w for i, w in enumerate(item) for w in ([] if i % 12 == 9 else [w, "extra"] if i % 12 == 3 else [w])]
+    texts = [" ".join(loose), " ".join(item), " ".join(item[::-1]), " ".join(w for i, w in enumerate(item) if i % 3)]
+    docs = common.numbered(documents(spark, texts))
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["n_near_items"]) for r in decontaminate.contamination(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {0: (0, 0, 1), 1: (60, 1, 1), 2: (0, 0, 0), 3: (0, 0, 0)}
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
