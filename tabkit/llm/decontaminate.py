@@ -95,26 +95,31 @@ def occurrences(index: DataFrame, ordered: DataFrame, window: int = WINDOW) -> D
     return stable(single.select(*out).union(short.select(*out)).union(full.select(*out)))
 
 
-def proximity(index: DataFrame, ordered: DataFrame, missing_one_in: int = MISSING_ONE_IN, slack: int = SLACK) -> DataFrame:
-    """Proximity matches (__row, start, win, n_found): every start at which enough terms of the window stand near their offsets.
-
-    One passage so has a few neighbouring starts. Exact matches are among them,
-    with all terms found. A window of fewer than `missing_one_in` terms may miss none.
+def proximity(index: DataFrame, ordered: DataFrame, exact: DataFrame, missing_one_in: int = MISSING_ONE_IN, slack: int = SLACK) -> DataFrame:
+    """Proximity matches (__row, start, win, n_found) of windows that the row does not hold exactly.
+
+    Every start at which enough terms of the window stand near their offsets;
+    one passage so has a few neighbouring starts. A window of fewer than
+    `missing_one_in` terms may miss none. `exact` lists the exact matches, which
+    are near as well and are not looked up again. Terms met are bits of a long,
+    so a window has at most 63 terms.
     """
+    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
     sized = ordered.withColumn("n", F.size("by_df")).withColumn("missing", F.floor(F.col("n") / missing_one_in).cast("int"))
     possible = sized.where(F.size(F.filter("by_df", lambda t: t["df"] == 0)) <= F.col("missing"))
-    anchors = possible.select("win", "n", "missing", F.explode(F.slice("by_df", F.lit(1), F.col("missing") + 2)).alias("t"))
-    asked = small_side(anchors.where("t.df > 0").select("win", F.least("n", F.col("missing") + 2).alias("n_asked"), "missing", F.col("t.off").alias("off"), F.col("t.term").alias("term")))
+    anchors = possible.select("win", F.least("n", F.col("missing") + 2).alias("n_asked"), "missing", F.posexplode(F.slice("by_df", F.lit(1), F.col("missing") + 2)).alias("i", "t"))
+    asked = anchors.where("t.df > 0").select("win", (F.col("n_asked") - F.col("missing")).alias("least"), bit("i").alias("bit"), F.col("t.off").alias("off"), F.col("t.term").alias("term"))
     near = F.explode(F.sequence(F.col("pos") - F.col("off") - slack, F.col("pos") - F.col("off") + slack))
-    votes = index.join(asked, "term").select("win", "__row", "n_asked", "missing", "off", near.alias("start"))
-    counted = votes.groupBy("win", "__row", "start").agg(F.size(F.collect_set("off")).alias("n_voted"), F.max(F.col("n_asked") - F.col("missing")).alias("least"))
-    open_ = stable(counted.where("n_voted >= least").select("win", "__row", "start", "n_voted"))
-    rest = small_side(possible.select("win", "n", "missing", F.expr("slice(by_df, missing + 3, greatest(n - missing - 2, 0))").alias("others")))
-    both = open_.join(rest, "win")
-    places = F.explode(F.transform("others", lambda t: F.struct(t["off"].alias("off"), t["term"].alias("term"))))
-    wanted = both.select("win", "__row", "start", places.alias("t"))
-    shifted = wanted.select("win", "__row", "start", F.col("t.off").alias("off"), F.col("t.term").alias("term"), F.explode(F.sequence(F.col("start") + F.col("t.off") - slack, F.col("start") + F.col("t.off") + slack)).alias("pos"))
-    seen = shifted.join(index, ["__row", "term", "pos"], "left_semi").groupBy("win", "__row", "start").agg(F.size(F.collect_set("off")).alias("n_more"))
+    votes = index.join(small_side(asked), "term").select("win", "__row", "least", "bit", near.alias("start"))
+    counted = votes.groupBy("win", "__row", "start").agg(F.bit_count(F.bit_or("bit")).alias("n_voted"), F.max("least").alias("least"))
+    agreed = counted.where("n_voted >= least").select("win", "__row", "start", "n_voted")
+    open_ = stable(agreed.join(exact.select("win", "__row").distinct(), ["win", "__row"], "left_anti"))
+    rest = possible.select("win", "n", "missing", F.expr("slice(by_df, missing + 3, greatest(n - missing - 2, 0))").alias("others"))
+    both = open_.join(small_side(rest), "win")
+    wanted = both.select("win", "__row", "start", F.posexplode("others").alias("i", "t"))
+    places = F.explode(F.sequence(F.col("start") + F.col("t.off") - slack, F.col("start") + F.col("t.off") + slack))
+    shifted = wanted.select("win", "__row", "start", bit("i").alias("bit"), F.col("t.term").alias("term"), places.alias("pos"))
+    seen = shifted.join(index, ["__row", "term", "pos"], "left_semi").groupBy("win", "__row", "start").agg(F.bit_count(F.bit_or("bit")).alias("n_more"))
     full = both.join(seen, ["win", "__row", "start"], "left").withColumn("n_found", F.col("n_voted") + F.coalesce("n_more", F.lit(0)))
     return stable(full.where("n_found >= n - missing").select("__row", "start", "win", "n_found"))
 
@@ -145,7 +150,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_i
     result = hits.join(listed, "__row", "left")
     near = []
     if slack is not None:
-        placed = proximity(index, ordered, slack=slack).select("__row", "win").distinct().join(holders, "win")
+        placed = proximity(index, ordered, found, slack=slack).select("__row", "win").union(found.select("__row", "win")).distinct().join(holders, "win")
         result = placed.groupBy("__row").agg(F.count_distinct("item_id").alias("n_near_items")).join(result, "__row", "left")
         near = [F.coalesce("n_near_items", F.lit(0).cast("long")).alias("n_near_items")]
     names = ("n_words", "n_hit", "n_items", "n_near_items", "items_sha256", "contaminated")
