@@ -71,3 +71,19 @@ def test_null_keys_match_null_keys(spark):
     left, right = (spark.createDataFrame([(k,) for k in ks], "k int") for ks in ([None, 1], [1, None]))
     J.assert_same_keys(left, right, ["k"])
     assert J.key_mismatch(left, right, ["k"]).count() == 0
+
+
+def test_equal_keys_are_settled_without_a_shuffle(spark, monkeypatch):
+    rows = [(None, 1), (1, None), (2, 2), (2, 2), (None, None)]
+    frame = lambda data: spark.createDataFrame(data, "a int, b int")
+    left, right = frame(rows), frame(rows[::-1])
+    assert J.key_fingerprint(left, ["a", "b"]) == J.key_fingerprint(right, ["a", "b"])
+    for other in ([(1, None), (1, None), *rows[2:]], rows[:-1], [*rows[:3], (2, 3), rows[4]]):
+        assert J.key_fingerprint(left, ["a", "b"]) != J.key_fingerprint(frame(other), ["a", "b"])
+    assert J.key_fingerprint(frame([]), ["a", "b"]) == J.key_fingerprint(frame([]), ["a", "b"])
+    monkeypatch.setattr(J, "_key_counts", lambda *_: pytest.fail("keys were compared one by one"))
+    J.assert_same_keys(left, right, ["a", "b"])
+
+
+def test_keys_of_other_types_are_compared_by_value(spark):
+    J.assert_same_keys(spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (1,)], "k long"), ["k"])
