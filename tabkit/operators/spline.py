@@ -4,7 +4,8 @@ The second derivatives at the knots solve one tridiagonal system per entity.
 Its rows are diagonally dominant by a factor of two whatever the spacing, so
 the influence of a knot at least halves with every knot in between. A block
 solved with 64 extra knots on either side therefore agrees with the whole
-system to the last bit of a double, and blocks can be solved apart.
+system to the last bit of a double, and blocks can be solved apart. Only blocks
+that touch a gap are solved: curvature is asked for at the two ends of a gap.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabkit.operators.ordered import NumberedRows, number_rows, with_totals
+from tabkit.operators.ordered import NumberedRows, null_safe_join, number_rows, with_totals
+from tabkit.session import small_side
 
 BLOCK_KNOTS = 4096
 HALO_KNOTS = 64
@@ -58,7 +60,7 @@ def knot_curvature(
     rows: NumberedRows, value: Column, max_rows: int | None,
     block_knots: int = BLOCK_KNOTS, halo_knots: int = HALO_KNOTS,
 ) -> DataFrame:
-    """(keys, position, _m) for every non-null row of an entity with at least four of them."""
+    """(keys, position, _m) for the non-null rows in blocks with a gap, of entities with at least four such rows."""
     keys, pos = rows.keys, rows.pos
     known = rows.df.select(*keys, pos, value.alias("_y")).filter(F.col("_y").isNotNull())
     numbered = number_rows(known, keys, [pos], "_k", max_rows)
@@ -68,7 +70,13 @@ def knot_curvature(
     last_block = F.floor((F.col("_size") - 1) / F.lit(block_knots))
     first = F.floor(F.greatest(k - halo_knots, F.lit(0)) / F.lit(block_knots))
     last = F.least(F.floor((k + halo_knots) / F.lit(block_knots)), last_block)
+    # unknown rows before the knot: a block meets a gap where this changes within it or towards a neighbour
+    before, beside = F.floor(F.greatest(k - 1, F.lit(0)) / F.lit(block_knots)), F.floor((k + 1) / F.lit(block_knots))
+    near = knots.withColumn("_block", F.explode(F.sequence(before, F.least(beside, last_block))))
+    missed = F.col(pos) - k
+    gaps = near.groupBy(*keys, "_block").agg(F.min(missed).alias("_lo"), F.max(missed).alias("_hi")).filter("_lo < _hi")
     copies = knots.withColumn("_block", F.explode(F.sequence(first, last)))
+    copies = null_safe_join(copies, small_side(gaps.select(*keys, "_block")), [*keys, "_block"], "left_semi")
 
     by = [*keys, "_block"]
     schema = T.StructType(

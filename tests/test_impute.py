@@ -122,3 +122,12 @@ def test_compare_fills(spark):
     at_gap = {r["method"]: r["filled"] for r in out.filter("t = 1").collect()}
     assert at_gap == pytest.approx({"ffill": 1.0, "linear": 2.0, "cubic": 2.0, "mean": 3.25, "zero": 0.0})
     assert out.count() == 25
+
+
+def test_only_blocks_with_a_gap_are_solved(spark):
+    known = [float(i % 7) for i in range(200)]
+    rows = M.number_rows(series(spark, [None, None, *known, None]), ["e"], ["t"])
+    assert spline.knot_curvature(rows, F.col("v"), None, block_knots=50).count() == 0
+    # the gap lies between the last knot of the first block and the first of the second
+    rows = M.number_rows(series(spark, [*known[:50], None, *known[50:]]), ["e"], ["t"])
+    assert sorted(r["_pos"] for r in spline.knot_curvature(rows, F.col("v"), None, block_knots=50).collect()) == [*range(50), *range(51, 101)]
