@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabkit.catalog.common import READINGS_SQL, WEEKLY_SQL, readings, round_columns, table, weekly_orders
 from tabkit.operators import impute as M
 from tabkit.operators import series as W
+from tabkit.operators.ordered import number_rows
 from tabkit.operators.split import contiguous_folds
 
 SERIES = ["event_type"]
@@ -35,6 +36,14 @@ def interp_cubic(spark, d):
     return round_columns(M.interpolate_cubic(_series(spark, d), SERIES, ORDER, ["reading"]), ["reading"])
 
 
+def cubic_polynomial_gaps(spark, d):
+    """A cubic of the row's place with the gaps of the readings: the spline must give the polynomial back."""
+    series = number_rows(_series(spark, d), SERIES, ORDER).df
+    u = F.col("_pos") / 1000.0
+    known = series.withColumn("wave", F.when(F.col("reading").isNotNull(), 1 + u - 2 * u * u + u * u * u / 4))
+    return round_columns(M.interpolate_cubic(known, SERIES, ORDER, ["wave"]), ["wave"], 6).select("event_id", "event_type", "wave")
+
+
 def fill_compare(spark, d):
     daily = (
         readings(spark, d)
@@ -95,7 +104,7 @@ def block_folds(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ffill, ffill_split, interp_linear, interp_cubic, fill_compare, moving_average, decompose, decompose_readings,
+        ffill, ffill_split, interp_linear, interp_cubic, cubic_polynomial_gaps, fill_compare, moving_average, decompose, decompose_readings,
         resample_month, calendar, ts_split, ts_folds, first_test_week, block_folds,
     )
 }
@@ -144,6 +153,13 @@ ORACLE = {
     "ffill_split": FFILL_SQL,
     "interp_linear": f"""WITH {READINGS_SQL}, {_linear_sql("readings", "event_type", "ts, event_id", "reading")}
       SELECT event_id, event_type, ts, round(line, 8) AS reading FROM lin""",
+    "cubic_polynomial_gaps": f"""WITH {READINGS_SQL}, n AS (SELECT event_id, event_type, reading,
+        (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1)::DOUBLE AS pos FROM readings),
+      ends AS (SELECT event_type, min(pos) AS a, max(pos) AS b, count(*) AS k FROM n WHERE reading IS NOT NULL GROUP BY 1)
+      SELECT event_id, n.event_type, CASE WHEN reading IS NOT NULL OR (k >= 4 AND pos BETWEEN a AND b) THEN
+        round(1 + pos / 1000.0::DOUBLE - 2 * (pos / 1000.0::DOUBLE) * (pos / 1000.0::DOUBLE)
+          + (pos / 1000.0::DOUBLE) * (pos / 1000.0::DOUBLE) * (pos / 1000.0::DOUBLE) / 4, 6) END AS wave
+      FROM n LEFT JOIN ends ON n.event_type = ends.event_type""",
     "fill_compare": f"""WITH {READINGS_SQL}, days AS (
         SELECT event_type, CAST(ts AS DATE) AS day, max(reading) AS r FROM readings GROUP BY 1, 2),
       daily AS (SELECT event_type, day, CASE WHEN r < 59 THEN r END AS original FROM days),

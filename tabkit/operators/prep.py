@@ -282,4 +282,5 @@ def feature_names(df: DataFrame, vector: str = "features") -> list[str]:
     """Names of a vector column's slots, as its stages recorded them."""
     groups = df.schema[vector].metadata["ml_attr"]["attrs"].values()
     slots = sorted((a["idx"], a["name"]) for group in groups for a in group)
-    return [name.replace("_onehot", "") for _, name in slots]
+    # the encoder's mark stands between column and category; a mark inside a column's own name stays
+    return ["".join(name.rsplit("_onehot", 1)) if "_onehot_" in name else name for _, name in slots]
