@@ -92,37 +92,61 @@ def permutation_importance(
     zeros = spark.createDataFrame([(f, 0.0, 0.0) for f in idle], "feature string, mean double, std double")
     if not asked:
         return zeros
-    scored = model.transform(df.select(row_id, label, *features)).select(
-        row_id, label, *features, F.col("prediction").alias("_base")
-    )
-    # read twice below, so numbered once and written out
-    own = number_rows(stable(scored), [], [row_id], max_rows=max_rows)
-    # and spread again, as numbering may have put a small table into one task
-    base = stable(own.df.repartition(spark.sparkContext.defaultParallelism, own.pos) if not own.split else own.df)
-    target = F.col(label).cast("double")
-    n, spread = base.agg(F.count(F.lit(1)), F.var_pop(target) * F.count(target)).first()
-    if not n:
+    rows = _Numbered(df, features, label, row_id, max_rows)
+    if not rows.n:
         nothing = spark.createDataFrame([(f,) for f in asked], "feature string")
         return nothing.select("feature", *[F.lit(None).cast("double").alias(c) for c in ("mean", "std")]).unionByName(zeros)
-
-    lent = base.select(F.col(own.pos).alias("_from"), F.struct(*asked).alias("_lent"))
-    lent = lent.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    lent = lent.select("_repeat", "_lent", shuffled_position(F.col("_from"), F.col("_repeat"), n, seed).alias(own.pos))
-    paired = base.join(lent, own.pos)
-    shuffled = paired.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in asked]))).select(
-        "_feature", "_repeat", label, "_base",
-        *[F.when(F.col("_feature") == f, F.col("_lent")[f]).otherwise(F.col(f)).alias(f) if f in asked else F.col(f) for f in features],
-    )
-    wrong, right = target - F.col("prediction"), target - F.col("_base")
-    per_repeat = model.transform(shuffled).groupBy("_feature", "_repeat").agg(
-        F.try_divide(F.sum(wrong * wrong - right * right), F.lit(spread)).alias("_drop")
-    )
-    found = per_repeat.groupBy(F.col("_feature").alias("feature")).agg(
+    found = rows.drops(model, features, asked, 0, repeats - 1, seed).groupBy(F.col("_feature").alias("feature")).agg(
         F.avg("_drop").alias("mean"), F.stddev_pop("_drop").alias("std")
     )
     return found.unionByName(zeros) if idle else found
 
 
+class _Numbered:
+    """Rows numbered by id and written out, with their number and the sum of squares of the label."""
+
+    def __init__(self, df: DataFrame, features: list[str], label: str, row_id: str, max_rows: int | None = MAX_ROWS):
+        # read twice below, so numbered once and written out
+        own = number_rows(stable(df.select(row_id, label, *features)), [], [row_id], max_rows=max_rows)
+        # and spread again, as numbering may have put a small table into one task
+        spread = df.sparkSession.sparkContext.defaultParallelism
+        self.rows = stable(own.df.repartition(spread, own.pos)) if not own.split else own.df
+        self.pos, self.label, self.target = own.pos, label, F.col(label).cast("double")
+        self.n, self.spread = self.rows.agg(F.count(F.lit(1)), F.var_pop(self.target) * F.count(self.target)).first()
+
+    def drops(self, model: Model, features: list[str], asked: list[str], first: int, last: int, seed: int) -> DataFrame:
+        """(_feature, _repeat, _drop) of the asked features in the repeats `first` to `last`."""
+        base = model.transform(self.rows.select(self.pos, self.label, *features)).select(
+            self.pos, self.label, *features, F.col("prediction").alias("_base")
+        )
+        lent = self.rows.select(F.col(self.pos).alias("_from"), F.struct(*asked).alias("_lent"))
+        lent = lent.withColumn("_repeat", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        lent = lent.select("_repeat", "_lent", shuffled_position(F.col("_from"), F.col("_repeat"), self.n, seed).alias(self.pos))
+        paired = base.join(lent, self.pos)
+        shuffled = paired.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in asked]))).select(
+            "_feature", "_repeat", self.label, "_base",
+            *[F.when(F.col("_feature") == f, F.col("_lent")[f]).otherwise(F.col(f)).alias(f) if f in asked else F.col(f) for f in features],
+        )
+        wrong, right = self.target - F.col("prediction"), self.target - F.col("_base")
+        return model.transform(shuffled).groupBy("_feature", "_repeat").agg(
+            F.try_divide(F.sum(wrong * wrong - right * right), F.lit(self.spread)).alias("_drop")
+        )
+
+    def without_effect(self, model: Model, features: list[str], asked: list[str], repeats: int, seed: int) -> list[str]:
+        """The asked features whose every repeat leaves the loss as it was.
+
+        One repeat that changes the loss settles a feature, so all are asked
+        once, and those it left unchanged in all other repeats.
+        """
+        for first, last in ((0, 0), (1, repeats - 1)):
+            if asked and first <= last:
+                drops: dict[str, list] = {f: [] for f in asked}
+                for r in self.drops(model, features, asked, first, last, seed).collect():
+                    drops[r["_feature"]].append(r["_drop"])
+                asked = [f for f in asked if drops[f] and all(d == 0 for d in drops[f])]
+        return asked
+
+
 def eliminate_features(
     df: DataFrame,
     features: list[str],
@@ -135,14 +159,20 @@ def eliminate_features(
     """Refit without the features of zero importance until none is left.
 
     Returns the last model, its features, and the features dropped in each round.
+    The importance is zero if no repeat of `permutation_importance` changes the
+    loss; the rows are numbered once for all rounds.
     """
     rounds: list[list[str]] = []
     features = sorted(features)
     df = stable(df)
+    rows = None
     while True:
         model = fit(df, features)
-        scores = permutation_importance(model, df, features, label, row_id, repeats, seed).collect()
-        useless = sorted(r["feature"] for r in scores if r["mean"] == 0 and r["std"] == 0)
+        useless = unused_features(model, df, features)
+        asked = [f for f in features if f not in useless]
+        if asked:
+            rows = rows or _Numbered(df, features, label, row_id)
+            useless = sorted([*useless, *rows.without_effect(model, features, asked, repeats, seed)])
         if not useless or len(useless) == len(features):
             return model, features, rounds
         rounds.append(useless)

@@ -280,6 +280,25 @@ def test_elimination_and_impurity(spark):
     assert weights[0][0] == "a" and sum(w for _, w in weights) == pytest.approx(1.0)
 
 
+def test_elimination_asks_one_repeat_of_what_matters(spark, monkeypatch):
+    """As `permutation_importance` decides, without repeats that can't change the answer; rows are numbered once."""
+    df, asked, numbered = regression(spark), [], []
+    drops, number_rows = X._Numbered.drops, X.number_rows
+
+    def counted(self, model, features, some, first, last, seed):
+        asked.append((list(some), first, last))
+        return drops(self, model, features, some, first, last, seed)
+
+    monkeypatch.setattr(X._Numbered, "drops", counted)
+    monkeypatch.setattr(X, "number_rows", lambda *a, **k: numbered.append(1) or number_rows(*a, **k))
+    # so that features without effect are asked too
+    monkeypatch.setattr(X, "unused_features", lambda *_: [])
+    model, kept, rounds = X.eliminate_features(df, ["flat", "a", "b"], "y", "id", boosted, repeats=4)
+    useless = [r["feature"] for r in X.permutation_importance(boosted(df, ["a", "b", "flat"]), df, ["a", "b", "flat"], "y", "id", 4).collect() if r["mean"] == r["std"] == 0]
+    assert rounds[0] == sorted(useless) and "flat" in useless and len(numbered) == 2
+    assert asked[0] == (["a", "b", "flat"], 0, 0) and asked[1] == (sorted(useless), 1, 3)
+
+
 def test_per_entity(spark):
     df = regression(spark).withColumn("e", F.when(F.col("id") < 60, "p").otherwise("q"))
     models = T.fit_per_entity(df, "e", lambda part, _: boosted(part, ["a", "b"]))
