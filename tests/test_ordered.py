@@ -194,6 +194,20 @@ def test_ranges_are_even_and_rows_equal_the_plain_window(spark, kind):
     assert number_rows(df, [], ["a", "b"], max_rows=1000).df.exceptAll(plain).isEmpty()
 
 
+def test_sample_of_many_ranges_is_bounded(spark, monkeypatch):
+    """With many ranges fewer keys are sampled for each; the layout is as good, and the session as it was."""
+    from tabkit.operators import ordered
+
+    name, seen, write = "spark.sql.execution.rangeExchange.sampleSizePerPartition", [], ordered.stable
+    monkeypatch.setattr(ordered, "MAX_SAMPLE", 200)
+    monkeypatch.setattr(ordered, "stable", lambda rows: seen.append(int(spark.conf.get(name))) or write(rows))
+    before = spark.conf.get(name)
+    df = uneven(spark, "repeated text and id")
+    laid, _ = split_hot(df, [], ["a", "b"], 1000)
+    assert seen == [5] and spark.conf.get(name) == before and laid.count() == 20_000
+    assert number_rows(df, [], ["a", "b"], max_rows=1000).df.exceptAll(number_rows(df, [], ["a", "b"], max_rows=None).df).isEmpty()
+
+
 def test_carries_are_fewer_than_ranges(spark):
     """Many small groups beside a hot one: only groups that cross a boundary need a carry."""
     df = spark.range(6000).select(F.when(F.col("id") < 4000, -1).otherwise(F.col("id")).alias("key"), "id", (F.col("id") % 5).alias("x"))
