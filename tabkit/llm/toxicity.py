@@ -51,6 +51,8 @@ FOLDS, HELD_OUT = 5, 0
 KNOWN_WORDS = 300_000
 #: Letters of words looked at together; a longer word is taken apart into stretches that add up.
 TOGETHER = 1 << 15
+#: Entries that are added up at a time.
+PART = 1 << 20
 
 #: Stands before the first letter of every word, so that beginnings count.
 MARK = LETTERS - 1
@@ -188,20 +190,30 @@ class Seen:
     def __init__(self, words: list[str], size: np.ndarray, used: np.ndarray):
         row_of = np.full(LETTERS**3, -1, np.int32)
         row_of[used] = np.arange(len(used))
+        kind = np.min_scalar_type(len(used))  # mostly two bytes
         rows, weights, many = [], [], []
         for low, high in together(words):
             slots, weight, of = features(words[low:high])
             known = row_of[slots] >= 0  # only subsequences of a landmark count
-            rows.append(row_of[slots[known]])
+            rows.append(row_of[slots[known]].astype(kind))
             weights.append((weight[known] / size[low:high][of[known]]).astype(np.float32))
             many.append(np.bincount(of[known], minlength=high - low))
-        self.rows, self.weights = np.concatenate(rows), np.concatenate(weights)
+        self.rows = np.concatenate(rows)
+        del rows  # the parts of one need not be held beside those of the other
+        self.weights = np.concatenate(weights)
         self.stop = np.cumsum(np.concatenate(many))
 
     def times(self, folded: np.ndarray) -> np.ndarray:
         """Sum over the entries of every word, for one column of weights."""
-        total = np.concatenate([[0.0], np.cumsum(folded[self.rows] * self.weights, dtype=float)])
-        return np.diff(total[np.concatenate([[0], self.stop])])
+        start, before = np.concatenate([[0], self.stop]), 0.0
+        at = np.zeros(len(start))
+        for low in range(0, len(self.rows), PART):  # one running sum, of which a part is held at a time
+            part = slice(low, low + PART)
+            total = np.cumsum(np.concatenate([[before], folded[self.rows[part]] * self.weights[part]]), dtype=float)
+            inside = slice(np.searchsorted(start, low), np.searchsorted(start, low + len(total) - 1, side="right"))
+            at[inside] = total[start[inside] - low]
+            before = total[-1]
+        return np.diff(at)
 
     def kernel(self, which: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Kernel of some words against all landmarks."""
@@ -382,12 +394,13 @@ def train_on(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC,
     """
     usable = labels.where(~held_out()).where("toxic is not null").select(F.col("doc_id").alias("__id"), "toxic").distinct()
     joined = docs.select("doc_id", "text").join(usable, F.col("doc_id") == F.col("__id"))
-    bags = {}
+    bags, name = {}, {}
     for label, most in ((0, train_clean), (1, train_toxic)):
         drawn = joined.where(F.col("toxic") == label).select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(most)
         ids = small_side(drawn.select(F.col("doc_id").alias("__drawn")))
         rows = docs.join(ids, F.col("doc_id") == F.col("__drawn"), "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        bags[label] = [judged(words_of(r["text"])) for r in rows.distinct().orderBy("doc_id", "text").limit(most).toLocalIterator()]
+        # a word of many documents is held once
+        bags[label] = [[name.setdefault(w, w) for w in judged(words_of(r["text"]))] for r in rows.distinct().orderBy("doc_id", "text").limit(most).toLocalIterator()]
     share = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     natural = (share.get(0, 0) / max(1, share.get(1, 0))) / (len(bags[0]) / max(1, len(bags[1])) or 1)
     return train_words(bags[1], bags[0], clean_weight=max(natural, 1e-9))

@@ -526,3 +526,27 @@ def test_null_vector_ids_are_kept_only_without_a_named_copy(spark):
     got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in pq_dedup.near_vectors(vectors).collect()]
     want = [(None, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (None, 0, None, True), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (8, 0, 8, True)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("part", [3, 1000, 1 << 20])
+def test_kernel_sums_hold_a_part_at_a_time(monkeypatch, part):
+    """The same sums to the last bit as over all entries at once, in memory that doesn't grow with them."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tabkit.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "PART", part, raising=False)
+    rng, many = np.random.default_rng(1), 3_000_000 if part == 1 << 20 else 2_000
+    seen = toxicity.Seen.__new__(toxicity.Seen)
+    seen.rows, seen.weights = rng.integers(0, 50, many).astype(np.uint16), rng.random(many, np.float32)
+    seen.stop = np.sort(np.append(rng.integers(0, many + 1, 500), [0, 3, 3, many]))  # some words hold nothing
+    folded = rng.normal(size=50)
+    tracemalloc.start()
+    got = seen.times(folded)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    total = np.concatenate([[0.0], np.cumsum(folded[seen.rows] * seen.weights, dtype=float)])
+    assert (got == np.diff(total[np.concatenate([[0], seen.stop])])).all()
+    assert peak < 40 << 20
