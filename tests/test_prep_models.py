@@ -261,6 +261,52 @@ def test_permutation_importance_against_brute_force(spark):
         assert r["mean"] == pytest.approx(np.mean(drops)) and r["std"] == pytest.approx(np.std(drops))
 
 
+@pytest.mark.parametrize("n", [1, 7, 500])
+def test_shuffled_positions_as_projections(spark, n):
+    """The same bijection, in compiled methods that the JVM does compile, and under a join."""
+    df = spark.range(n).crossJoin(spark.range(4).withColumnRenamed("id", "r"))
+    slow = df.select(F.col("id").alias("was"), "r", X.shuffled_position(F.col("id"), F.col("r"), n, 5).alias("id"))
+    fast = X.with_shuffled_position(df.withColumn("was", F.col("id")), "id", "r", n, 5)
+    assert fast.columns == ["r", "was", "id"]
+    joined = fast.join(spark.range(n), "id").select("was", "r", "id")
+    assert sorted(joined.collect()) == sorted(slow.collect())
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_importance_by_cell(spark, monkeypatch, scaled):
+    """Each pair of cells is predicted once; as with every row predicted for itself."""
+    df = regression(spark).withColumn("k", F.col("id") % 3)
+    df = df.withColumn("y", F.when(F.col("id") != 4, F.col("y") + F.col("k")))
+    features = ["a", "b", "flat", "k"]
+    stages = [VectorAssembler(inputCols=features, outputCol="features"), T.boosted_regressor("y", rounds=3, rate=0.5, depth=3)]
+    if scaled:
+        stages = [R.MinMaxScale(features), *stages]
+    model = T.fit_kept(Pipeline(stages=stages), df.where("y is not null"))
+    found = X.cells(model, df, features, 10**6)
+    assert [bool(c) for c in found.thresholds] == [f not in X.unused_features(model, df, features) for f in features]
+    found = found.predicted(found.of_rows(df, "cell"), "by_cell", "cell").select("id", "by_cell")
+    assert model.transform(df).join(found, "id").where("abs(by_cell - prediction) > 1e-12").count() == 0
+    out = []
+    for limit in (10**6, 0):
+        monkeypatch.setattr(X, "MAX_CELLS", limit)
+        asked = X.permutation_importance(model, df, features, "y", "id", 3)
+        assert "lambda" not in asked._jdf.queryExecution().optimizedPlan().toString()
+        out.append({r["feature"]: (r["mean"], r["std"]) for r in asked.collect()})
+    assert out[0].keys() == out[1].keys() == set(features)
+    for f in features:
+        assert out[0][f] == pytest.approx(out[1][f], rel=1e-9, abs=1e-12)
+
+
+def test_cells_only_where_they_can_be_told(spark):
+    df = regression(spark)
+    model = boosted(df, ["a", "b"])
+    assert X.cells(model, df, ["a", "b"], 1) is None
+    assert X.cells(model.stages[-1], df, ["a", "b"]) is None
+    skips = VectorAssembler(inputCols=["a", "b"], outputCol="features", handleInvalid="skip")
+    tree = T.boosted_regressor("y", rounds=1, depth=1)
+    assert X.cells(T.fit_kept(Pipeline(stages=[skips, tree]), df), df, ["a", "b"]) is None
+
+
 def test_importance_moves_whole_rows_once(spark):
     df = regression(spark)
     model = boosted(df, ["a", "b", "flat"])
