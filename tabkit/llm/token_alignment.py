@@ -23,7 +23,9 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,11 @@ from tabkit.session import small_side, stable
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The left side's id in the high half of a pair, the right side's in the low half.
 SHIFT = 32
+#: Within a side, before the right side, between groups.
+MARKS = ",|;"
 BATCH_BYTES = 1 << 19
+#: Parts the left side encodes as one text, cut again by the bytes of its tokens.
+TOGETHER = 64
 #: Alignments kept per worker (those met last, and as many met before them), and the longest part worth keeping.
 KNOWN_PARTS, KNOWN_CHARS = 200_000, 64
 #: Pairs that may be broadcast: so many, of three numbers each.
@@ -88,23 +94,48 @@ class Pair:
 
     def align(self, parts: list[str], linked: str) -> list[Aligned]:
         """Alignments of distinct parts, coalesced all at once."""
-        ids_a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
-        ids_b = self.b.encode(parts, num_threads=1)
+        spaced = [" " + p for p in parts]
+        ids = self._left(spaced), self.b.encode(parts, num_threads=1)
+        sides = [np.fromiter(chain.from_iterable(side), np.int64) for side in ids]
+        counts = [np.fromiter(map(len, side), np.int64, len(parts)) for side in ids]
+        sizes = [size[side] for size, side in zip((self.size_a, self.size_b), sides)]
+        # all tokens are joined once, and cut where each part ends
+        joined = [b"".join(map(entries.__getitem__, side.tolist())) for entries, side in zip((self.bytes_a, self.bytes_b), sides)]
+        edges = [np.append(0, np.cumsum(size))[np.append(0, np.cumsum(n))].tolist() for size, n in zip(sizes, counts)]
         found: list[Aligned | None] = [None] * len(parts)
-        sound = []
-        for i, p in enumerate(parts):
-            own = (" " + p).encode()
-            joined = b"".join(map(self.bytes_a.__getitem__, ids_a[i])), b"".join(map(self.bytes_b.__getitem__, ids_b[i]))
-            if joined == (own, own):
-                sound.append(i)
-            else:
-                found[i] = Aligned(0, 0, 0, "", (), joined)
-        sides = [np.fromiter(chain.from_iterable(ids[i] for i in sound), np.int64) for ids in (ids_a, ids_b)]
+        sound = np.ones(len(parts), bool)
+        for i, (p, low_a, high_a, low_b, high_b) in enumerate(zip(spaced, edges[0], edges[0][1:], edges[1], edges[1][1:])):
+            own, a, b = p.encode(), joined[0][low_a:high_a], joined[1][low_b:high_b]
+            if a != own or b != own:
+                sound[i] = False
+                found[i] = Aligned(0, 0, 0, "", (), (a, b))
+        if not sound.all():
+            for values in (sides, sizes):
+                values[:] = [v[np.repeat(sound, n)] for v, n in zip(values, counts)]
+            counts = [n[sound] for n in counts]
         if len(sides[0]):
-            counts = [np.array([len(ids[i]) for i in sound]) for ids in (ids_a, ids_b)]
-            groups, pairs = coalesce(sides[0], self.size_a[sides[0]], counts[0], sides[1], self.size_b[sides[1]], counts[1], linked)
-            for i, n_a, n_b, (n, text), linked_ids in zip(sound, *counts, groups, pairs, strict=True):
-                found[i] = Aligned(int(n_a), int(n_b), n, text, linked_ids)
+            groups, pairs = coalesce(sides[0], sizes[0], counts[0], sides[1], sizes[1], counts[1], linked)
+            for i, n_a, n_b, (n, text), linked_ids in zip(np.flatnonzero(sound).tolist(), counts[0].tolist(), counts[1].tolist(), groups, pairs, strict=True):
+                found[i] = Aligned(n_a, n_b, n, text, linked_ids)
+        return found
+
+    def _left(self, spaced: list[str]) -> list[list[int]]:
+        """The left side's ids of each part with its space; parts that a text could be cut into are encoded side by side."""
+        found: list[list[int] | None] = [None] * len(spaced)
+        fits = [i for i, p in enumerate(spaced) if p[-1] not in " ▁" and not p[1].isspace() and p[1] != "\u180e"]
+        runs = [fits[i : i + TOGETHER] for i in range(0, len(fits), TOGETHER)]
+        texts = ["".join([spaced[i] for i in run]) for run in runs]
+        for run, e in zip(runs, self.a.encode_batch_fast(texts, add_special_tokens=False)):
+            ids, upto = e.ids, np.cumsum([len(spaced[i].encode()) for i in run])
+            ends = np.cumsum(self.size_a[ids])
+            stops = np.searchsorted(ends, upto)
+            if ends[-1] == upto[-1] and np.array_equal(ends[stops], upto):
+                low = 0
+                for i, high in zip(run, (stops + 1).tolist()):
+                    found[i], low = ids[low:high], high
+        alone = [i for i, one in enumerate(found) if one is None]
+        for i, e in zip(alone, self.a.encode_batch_fast([spaced[i] for i in alone], add_special_tokens=False)):
+            found[i] = e.ids
         return found
 
     def of_texts(self, texts: list[str], linked: str) -> Iterator[list[Aligned]]:
@@ -112,6 +143,13 @@ class Pair:
         cut = [_CUT.split(t) for t in texts]
         known, older = self.known[linked], self.older[linked]
         fresh, held, met = [], 0, {}
+
+        def settle() -> None:
+            new = self.align(fresh, linked)
+            met.update(zip(fresh, new, strict=True))
+            known.update((p, one) for p, one in zip(fresh, new) if len(p) <= KNOWN_CHARS)
+            fresh.clear()
+
         for part in set(chain.from_iterable(cut)):
             if (one := known.get(part)) is not None:
                 met[part] = one
@@ -121,15 +159,14 @@ class Pair:
                 fresh.append(part)
                 held += len(part)
                 if held >= BATCH_BYTES:
-                    met.update(zip(fresh, self.align(fresh, linked), strict=True))
-                    fresh, held = [], 0
+                    settle()
+                    held = 0
         if fresh:
-            met.update(zip(fresh, self.align(fresh, linked), strict=True))
-        known.update((p, one) for p, one in met.items() if len(p) <= KNOWN_CHARS)
+            settle()
         if len(known) > KNOWN_PARTS:  # what hasn't been met since the last change goes
             self.known[linked], self.older[linked] = {}, known
         for parts in cut:
-            yield [met[p] for p in parts]
+            yield list(map(met.__getitem__, parts))
 
 
 def _byte_of_sign() -> dict[str, int]:
@@ -181,8 +218,8 @@ def _written(ids: np.ndarray, side: np.ndarray, group: np.ndarray, group_of_text
     """Tokens laid out by group and side as text: `,` within a side, `|` before the right side, `;` between groups."""
     new_group = np.append(group[1:] != group[:-1], True)
     new_side = np.append(side[1:] != side[:-1], True)
-    mark = np.where(new_group, ";", np.where(new_side, "|", ",")).tolist()
-    words = list(map("".join, zip(map(str, ids.tolist()), mark)))
+    mark = np.where(new_group, MARKS.index(";"), np.where(new_side, MARKS.index("|"), MARKS.index(",")))
+    words = list(map(_marked(1 << int(ids.max()).bit_length()).__getitem__, (ids * len(MARKS) + mark).tolist()))
     out, begun, first = [], 0, 0
     for until, stop in zip(group_of_text.tolist(), np.searchsorted(group, group_of_text, "left").tolist()):
         out.append((until - first, "".join(words[begun:stop])[:-1]))
@@ -190,6 +227,12 @@ def _written(ids: np.ndarray, side: np.ndarray, group: np.ndarray, group_of_text
     return out
 
 
+@lru_cache(maxsize=None)
+def _marked(n: int) -> list[str]:
+    """Each id below n, written with each mark behind it."""
+    return [f"{i}{m}" for i in range(n) for m in MARKS]
+
+
 def _pair_of(path_a: str, path_b: str) -> Pair:
     if _WORKER.get("paths") != (path_a, path_b):
         _WORKER.update(paths=(path_a, path_b), pair=Pair(path_a, path_b))
@@ -200,7 +243,7 @@ def whole(text: str | None, parts: list[Aligned]) -> list[Aligned]:
     """The parts, or none of them where the text is empty or joins to other bytes than its own."""
     if not text:
         return []
-    if any(p.wrong for p in parts):
+    if any(map(attrgetter("wrong"), parts)):
         return []
     return parts
 

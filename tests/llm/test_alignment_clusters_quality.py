@@ -172,6 +172,34 @@ def test_parts_give_what_whole_texts_give(texts):
         assert (hashlib.sha256(got[4].encode()).hexdigest() if got[0] else "") == digest
 
 
+def test_parts_side_by_side_and_met_parts_left_alone():
+    """A part's alignment does not hang on those encoded with it, and parts already known are not written again."""
+    import public_tokenizers
+
+    pair = token_alignment.Pair(*(str(public_tokenizers.path(n)) for n in (token_alignment.BYTE_BPE, token_alignment.PIECE_BPE)))
+    parts = ["", " ", "one", "two\n", "thr\u0000ee", "ﬁve", "<unk>", "</s>six", "▁", "a▁", "\tb", "\u3000c", "\u180ed", "é" * 9, *(f"w{i}" for i in range(150))]
+    for linked in ("ends", "overlaps"):
+        together = pair.align(parts, linked)
+        assert together == [pair.align([p], linked)[0] for p in parts]
+        assert any(a.wrong for a in together) and not all(a.wrong for a in together)
+    assert pair._left([" " + p for p in parts]) == [pair.a.encode(" " + p, add_special_tokens=False).ids for p in parts]
+
+    class Counted(dict):
+        added = 0
+
+        def update(self, items):
+            items = list(items)
+            self.added += len(items)
+            super().update(items)
+
+    pair.known["ends"] = known = Counted()
+    texts = ["one two three", "two three four"]
+    first = list(pair.of_texts(texts, "ends"))
+    once = known.added
+    assert once == len(known) > 0
+    assert list(pair.of_texts(texts, "ends")) == first and known.added == once
+
+
 def test_overlaps_are_all_pairs_that_share_a_byte():
     rng = random.Random(2)
     for _ in range(60):
