@@ -79,6 +79,21 @@ def test_repeated_bytes_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_removed(texts, 400)
 
 
+def test_buckets_of_names_meet_in_no_task(spark):
+    met = suffix_dedup._dealt(spark.range(93).select((F.col("id") % 31).cast("int").alias("bucket")), 31)
+    held = met.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("bucket").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert [(r["n"], r["rows"]) for r in held] == [(1, 3)] * 31
+
+
+def test_strings_around_marks_are_counted(spark):
+    v, _ = suffix_dedup.difference_cover()
+    rng = random.Random(11)
+    marks = [[5_000], [1_000, 900, 3_000], list(range(2_000, 2_600)), [], rng.sample(range(500, 9_000), 200), [400 * i + 300 for i in range(20)]]
+    df = spark.createDataFrame(list(enumerate(marks)), "id int, open array<int>").select("id", suffix_dedup._strings(F.col("open"), v).alias("n"))
+    named = [int(suffix_dedup._cover(10_000, np.array(m, np.int64) - v + 1, v).sum()) for m in marks]
+    assert [r["n"] for r in df.orderBy("id").collect()] == named
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
