@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, difference
 from hypothesis import given, settings
@@ -448,6 +449,46 @@ def test_lists_asked_meet_the_links_of_uneven_vectors(dims, spectrum):
         assert index.slack < 0.6 * index.far
 
 
+def test_a_vector_travels_once_however_many_lists_it_asks():
+    x = np.random.default_rng(5).normal(size=(2000, 64)).astype(np.float32)
+    index = pq_dedup.Index(pq_dedup.unit(x), 40)
+    assert index.encode(pq_dedup.unit(x))[3].sum() > 2 * len(x)
+    vectors = pa.array(list(x), pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), vectors, pa.array(np.ones(len(x), np.int64))], names=["cid", "embedding", "times"])
+    sent = [len(v) for part in pq_dedup._index_rows(index, 64, "<f4")[0](iter([batch])) for v in part.column("x").to_pylist()]
+    assert sum(sent) == x.nbytes
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 4096])
+def test_blocks_of_any_size_meet_each_pair_once(spark, block_rows, monkeypatch):
+    monkeypatch.setattr(pq_dedup, "PAIRS", 64)
+    monkeypatch.setattr(pq_dedup, "QUERIES", 5)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 8))
+    close = base[0] + rng.normal(size=(50, 8)) * 0.05  # a list of its own, many blocks long
+    x = np.concatenate([base, close, base[10:30] + rng.normal(size=(20, 8)) * 0.2, close[:5]]).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in pq_dedup.near_vectors(vectors, reach=100.0, block_rows=block_rows).collect()}
+    u = pq_dedup.unit(x)
+    links = u @ u.T >= 0.9
+    np.fill_diagonal(links, False)
+    assert [got[i]["n_links"] for i in range(len(x))] == links.sum(1).tolist()
+    root = common.forest(*np.nonzero(links), len(x))
+    assert [got[i]["component_id"] for i in range(len(x))] == root.tolist()
+
+
+def test_folded_links_of_a_task_equal_a_single_forest(monkeypatch):
+    monkeypatch.setattr(pq_dedup, "EDGES", 10)
+    rng = np.random.default_rng(3)
+    tally, a, b = pq_dedup._Tally(), rng.integers(0, 80, 200), rng.integers(0, 80, 200)
+    for i in range(0, 200, 4):
+        tally.join(a[i : i + 4], b[i : i + 4])
+    nodes, root = tally._folded()
+    assert np.array_equal(nodes, np.unique([a, b])) and np.array_equal(root, common.forest(a, b, 80)[nodes])
+    ends = np.unique(np.stack([np.sort(rng.integers(0, 30, 90)), rng.integers(0, 40, 90)], axis=1), axis=0)
+    assert np.array_equal(pq_dedup.spanning(ends[:, 0], ends[:, 1], 30, 40), common.forest(ends[:, 1], ends[:, 0] + 40, 70))
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 
