@@ -18,6 +18,7 @@ from tabkit.operators import score as Z
 from tabkit.operators import series as W
 from tabkit.operators import split as L
 from tabkit.operators import train as T
+from tabkit.session import BROADCAST_ROWS, large_side
 
 LABELS = ["quality", "toxic"]
 
@@ -61,6 +62,8 @@ def random_search(spark, d):
 
 def _orders(spark, d):
     customers = table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    if customers.count() > BROADCAST_ROWS:
+        customers = large_side(customers)
     joined = J.join_on(table(spark, d, "orders"), customers, "o_custkey")
     return joined.select(
         "o_orderkey", "o_orderstatus", "o_totalprice", "c_acctbal", "c_nationkey", "o_orderpriority",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabkit.operators.ordered import MAX_ROWS, number_rows
 from tabkit.operators.prep import _ColumnModel, feature_names
-from tabkit.session import stable
+from tabkit.session import large_side, stable
 
 #: Rounds of the shuffle of positions.
 SWAPS = 24
@@ -246,9 +246,9 @@ class _Numbered:
         )
 
     def _lent(self, rows: DataFrame, values: Column, first: int, last: int, seed: int) -> DataFrame:
-        """(_lent, _repeat, position): the values of each row where each repeat sends them."""
+        """(_lent, _repeat, position): the values of each row where each repeat sends them, to be joined by position."""
         lent = rows.select(self.pos, values.alias("_lent")).withColumn("_repeat", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        return with_shuffled_position(lent, self.pos, "_repeat", self.n, seed)
+        return large_side(with_shuffled_position(lent, self.pos, "_repeat", self.n, seed))
 
     def _drops_by_cell(self, boxes: Cells, asked: list[str], first: int, last: int, seed: int) -> DataFrame:
         rows = boxes.of_rows(self.rows, "_cell").select(self.pos, self.target.alias("_y"), "_cell")

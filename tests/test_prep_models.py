@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tabkit.catalog import models
 from tabkit.operators import evaluate as E
 from tabkit.operators import explain as X
 from tabkit.operators import prep as R
@@ -359,3 +360,25 @@ def test_models_for_many_entities_and_null(spark):
     df = spark.createDataFrame([(i if i else None, float(i)) for i in range(102)], "e int, v double")
     models = T.fit_per_entity(df, "e", lambda rows, e: (e, rows.count()))
     assert len(models) == 102 and models[None] == (None, 1)
+
+
+@pytest.mark.parametrize("cells", [0, 512])
+def test_rows_sent_by_repeats_are_not_broadcast(spark, cells, monkeypatch):
+    """Their number is the rows times the repeats, which Spark's guess from the files doesn't see."""
+    monkeypatch.setattr(X, "MAX_CELLS", cells)
+    df = regression(spark)
+    found = X.permutation_importance(boosted(df, ["a", "b", "flat"]), df, ["a", "b", "flat"], "y", "id", 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("most", [1, 100])
+def test_customers_are_broadcast_only_if_few(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(models, "BROADCAST_ROWS", most)
+    customers = [(1, 0, 1.5), (2, 1, 2.5), (None, 1, 0.5)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.createDataFrame([(7, 1, "O", 9.0, "1-URGENT"), (8, 2, "F", 8.0, None), (9, 5, "O", 7.0, "2-HIGH"), (7, None, "O", 6.0, "2-HIGH")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    orders.withColumn("o_orderdate", F.to_date(F.lit("2024-03-01"))).write.parquet(f"{tmp_path}/orders.parquet")
+    joined = models._orders(spark, str(tmp_path))
+    assert sorted((r["o_orderkey"], r["c_acctbal"], r["month"]) for r in joined.collect()) == [(7, 1.5, 3), (8, 2.5, 3)]
+    assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) == (most == 100)
